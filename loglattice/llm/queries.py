@@ -1,12 +1,20 @@
 """The queries of this package, by name."""
 
 from .bitplane import op1_bitplane
+from .matroska import op5_matroska
 from .mixing import op2_mixing
 from .packing import op8_packing
+from .repetition import op9_repetition
+from .simhash import op4_simhash
+from .wordpiece import op10_wordpiece
 
 QUERIES = {
     "op1_bitplane": op1_bitplane,
     "op2_mixing": op2_mixing,
+    "op4_simhash": op4_simhash,
+    "op5_matroska": op5_matroska,
     "op8_packing": op8_packing,
+    "op9_repetition": op9_repetition,
+    "op10_wordpiece": op10_wordpiece,
 }
 ORACLES: dict[str, str] = {}
