@@ -6,11 +6,13 @@ from .mixing import op2_mixing
 from .packing import op8_packing
 from .repetition import op9_repetition
 from .simhash import op4_simhash
+from .suffix_dedup import op3_suffix_dedup
 from .wordpiece import op10_wordpiece
 
 QUERIES = {
     "op1_bitplane": op1_bitplane,
     "op2_mixing": op2_mixing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash": op4_simhash,
     "op5_matroska": op5_matroska,
     "op8_packing": op8_packing,
