@@ -7,6 +7,7 @@ from .packing import op8_packing
 from .repetition import op9_repetition
 from .simhash import op4_simhash
 from .suffix_dedup import op3_suffix_dedup
+from .toxicity import op7_toxicity
 from .wordpiece import op10_wordpiece
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash": op4_simhash,
     "op5_matroska": op5_matroska,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_repetition": op9_repetition,
     "op10_wordpiece": op10_wordpiece,
