@@ -1,6 +1,7 @@
 """The queries of this package, by name."""
 
 from .bitplane import op1_bitplane
+from .lm import op6_lm
 from .matroska import op5_matroska
 from .mixing import op2_mixing
 from .packing import op8_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash": op4_simhash,
     "op5_matroska": op5_matroska,
+    "op6_lm": op6_lm,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_repetition": op9_repetition,
