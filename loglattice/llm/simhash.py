@@ -78,15 +78,21 @@ def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id, fp`` of every whole text, ``fp`` a signed 64-bit integer; A-Z count as a-z."""
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, with_key: bool = False) -> DataFrame:
+    """``id, fp`` of every whole text, ``fp`` a signed 64-bit integer; A-Z count as a-z.
+
+    If asked, also ``key``, a hash of the text.
+    """
+    names = ["id", "fp", "key"][: 2 + with_key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             fp = fingerprints([t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()], shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64)), *batch.columns[2:]], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    text = text_of(docs, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *([F.xxhash64(text).alias("key")] * with_key))
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _emit(slot: int, passes: int):
@@ -161,5 +167,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_fp, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, passes: int = PASSES) -> DataFrame:
+    """One document of each component: that with the least id, null last, then the least hash of its text.
+
+    Of wholly repeated rows one stays.  All columns pass unchanged.
+    """
+    text = text_of(docs, text_col)
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text)})
+    marked = write_shared(with_fingerprint(docs, id_col, text_col, shingle, with_key=True), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    least = write_shared(marked.groupBy("fp").agg(first.alias("one")), "fingerprint-firsts")
+    roots = write_shared(components(links(least.select("fp"), passes)), "fingerprint-roots")
+    rooted = least.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = rooted.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.id").alias("kept_id"), F.col("one.key").alias("kept_key"))
+    # Rows without an id are told apart by their text alone.
+    same = (F.coalesce("__id", F.lit(0)) == F.coalesce("kept_id", F.lit(0))) & (F.col("__key") == F.col("kept_key")) & (F.col("__id").isNull() == F.col("kept_id").isNull())
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
