@@ -5,8 +5,8 @@ dictionary of its own words, so that what is shuffled are distinct words and
 distinct word pairs of a block, not every token:
 
 1. Documents become blocks: local word codes, local words, training counts.
-2. Local words are counted over all blocks, get dense numbers, and go back to
-   their blocks with their counts.
+2. Local words meet in one shuffle, are counted and get dense numbers, and go
+   back to their blocks with these, packed.
 3. Each block sends its distinct pairs, with training counts, to buckets.  Pairs
    are dealt by context; those of very frequent contexts by both words.
 4. Each bucket builds its part of the trie from all training pairs and answers
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, release_shuffles, slices, text_of, write_shared
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Pairs of all blocks that a bucket answers, about.
-BUCKET_PAIRS = 2_000_000
+BUCKET_PAIRS = 1_000_000
 KAPPA = 100.0
 #: Quantised log10 probabilities: 24 steps for each power of ten; 0 means absent.
 STEPS = 24
@@ -175,26 +175,45 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return write_shared(rows.mapInArrow(run, BLOCKS), "lm-blocks")
 
 
-def vocabulary(entries: DataFrame) -> tuple[DataFrame, int, int]:
-    """``word, number, count`` of every training word with dense numbers; all tokens; distinct words."""
+def settle_words(blocks: DataFrame) -> tuple[DataFrame, dict[int, int], int, int]:
+    """Counts and numbers of all local words: rows packed by block; each partition's first number; all training tokens; distinct words.
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], ["word", "count", "part", "place"])
-            at += n
-
-    counts = entries.filter("count > 0").groupBy("word").agg(F.sum("count").alias("count"))
-    placed = write_shared(counts.mapInArrow(place, "word binary, count long, part int, place long"), "lm-words")
-    parts = placed.groupBy("part").agg(F.count("*").alias("n"), F.sum("count").alias("c")).orderBy("part").collect()
-    total, distinct = sum(r["c"] for r in parts), sum(r["n"] for r in parts)
+    One shuffle brings the local words of all blocks together by word; a
+    word has one row in a block at most, so a frequent word isn't a hot key.
+    """
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        coded = rows.column("word").combine_chunks()
+        coded = (coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded).dictionary_encode()
+        code = coded.indices.to_numpy()
+        total = np.bincount(code, rows.column("count").to_numpy(), len(coded.dictionary)).astype(np.int64)
+        place = np.cumsum(total > 0) - 1
+        part = pa.array([TaskContext.get().partitionId()], pa.int32())
+        block, at = rows.column("block").to_numpy(), rows.column("at").to_numpy()
+        order = np.lexsort((at, block))
+        order = order[total[code[order]] > 0]
+        first = np.flatnonzero(np.diff(block[order], prepend=-1))
+        none = pa.array([None], pa.binary())
+        yield pa.RecordBatch.from_arrays([part, pa.array([None], pa.int64()), none, none, none, pa.array([int((total > 0).sum())]), pa.array([int(total.sum())])], names)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+            own = order[a:b]
+            packed = (at[own].astype("<u4"), place[code[own]].astype("<u4"), total[code[own]].astype("<i8"))
+            yield pa.RecordBatch.from_arrays([part, pa.array([block[own[0]]]), *(pa.array([_squeeze(x)], pa.binary()) for x in packed), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names)
+
+    names = ["part", "to", "at", "place", "count", "distinct", "total"]
+    entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "e")).select("block", "at", F.col("e.words").alias("word"), F.col("e.counts").alias("count"))
+    settled = write_shared(entries.repartition("word").mapInArrow(settle, "part int, to long, at binary, place binary, count binary, distinct long, total long"), "lm-words")
+    parts = settled.filter("to is null").select("part", "distinct", "total").orderBy("part").collect()
+    offsets, distinct = {}, 0
+    for r in parts:
+        offsets[r["part"]], distinct = distinct, distinct + r["distinct"]
     if distinct >= START:
         raise ValueError("more distinct words than 32-bit numbers")
-    # One number for each written partition.
-    offsets = dict(zip([r["part"] for r in parts], np.concatenate([[0], np.cumsum([r["n"] for r in parts])]).tolist()))
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("part")) if offsets and parts else F.lit(0)
-    return placed.select("word", (offset + F.col("place")).cast("long").alias("number"), "count"), total, distinct
+    return settled.filter("to is not null").select(*names[:5]), offsets, sum(r["total"] for r in parts), distinct
 
 
 class BlockPairs(NamedTuple):
@@ -239,23 +258,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     blocks = make_blocks(docs, id_col, text_col)
-    entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "e")).select("block", "at", F.col("e.words").alias("word"), F.col("e.counts").alias("count"))
-    words, total, distinct = vocabulary(entries)
+    settled, offsets, total, distinct = settle_words(blocks)
     sums = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + s)).alias("tokens"), F.sum(F.element_at("counts", 1)).alias("starts")).first()
     tokens_in_all, starts = int(sums["tokens"] or 0), int(sums["starts"] or 0)
     buckets = max(4, tokens_in_all // BUCKET_PAIRS)
-    answered = entries.select("block", "at", "word").join(words, "word").select(F.col("block").alias("to"), "at", "number", "count")
 
     def number(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         n = len(left.column("counts")[0])
-        at = right.column("at").to_numpy()
         numbers, counts = np.full(n, UNKNOWN, np.uint32), np.zeros(n, np.int64)
-        numbers[at], counts[at] = right.column("number").to_numpy(), right.column("count").to_numpy()
+        for part, at, place, count in zip(*(right.column(c).to_pylist() for c in ("part", "at", "place", "count"))):
+            at = _loosen(at, "<u4")
+            numbers[at] = _loosen(place, "<u4") + np.uint32(offsets[part])
+            counts[at] = _loosen(count, "<i8")
         cols = [left.column(c) for c in ("block", "ids", "sizes", "tokens")]
         return pa.table([*cols, pa.array([_squeeze(numbers)], pa.binary()), pa.array([_squeeze(counts)], pa.binary())], names=CODED)
 
     CODED = ["block", "ids", "sizes", "tokens", "numbers", "word_counts"]
-    coded = blocks.select("block", "ids", "sizes", "tokens", "counts").groupBy("block").cogroup(answered.groupBy("to"))
+    coded = blocks.select("block", "ids", "sizes", "tokens", "counts").groupBy("block").cogroup(settled.groupBy("to"))
     coded = write_shared(coded.applyInArrow(number, "block long, ids array<long>, sizes array<int>, tokens binary, numbers binary, word_counts binary"), "lm-coded")
     release_shuffles(spark)
 
