@@ -29,10 +29,10 @@ from .bpe import BpeEncoder, encoder, with_end
 from .common import documents, slices, text_of
 
 LENGTH = 2048
-SENTENCE_PENALTY = 24
-INNER_PENALTY = 256
+SENTENCE_PENALTY = 8
+INNER_PENALTY = 48
 #: Places between far sentence ends at which a cut is allowed.
-INNER_STEP = 64
+INNER_STEP = 16
 #: Ids over which one run of the recurrence goes.
 RUN_IDS = 1 << 19
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -173,7 +173,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Of wholly repeated rows one stays.  All columns pass unchanged.
     """
     text = text_of(docs, text_col)
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text)})
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text).alias("own_key"))
     marked = write_shared(with_fingerprint(docs, id_col, text_col, shingle, with_key=True), "fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     least = write_shared(marked.groupBy("fp").agg(first.alias("one")), "fingerprint-firsts")
@@ -181,8 +181,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rooted = least.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     kept = rooted.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.id").alias("kept_id"), F.col("one.key").alias("kept_key"))
     # Rows without an id are told apart by their text alone.
-    same = (F.coalesce("__id", F.lit(0)) == F.coalesce("kept_id", F.lit(0))) & (F.col("__key") == F.col("kept_key")) & (F.col("__id").isNull() == F.col("kept_id").isNull())
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    same = (F.coalesce("own_id", F.lit(0)) == F.coalesce("kept_id", F.lit(0))) & (F.col("own_key") == F.col("kept_key")) & (F.col("own_id").isNull() == F.col("kept_id").isNull())
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_key"]).select("doc.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
