@@ -99,3 +99,18 @@ def grouped(samples: DataFrame) -> DataFrame:
     """One row for each file and request: its lines in order, and the byte at which its target begins (-1: none)."""
     out = samples.groupBy("file_id", "key").agg(F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("l"), F.max(F.when(F.col("is_target"), F.col("start_offset"))).alias("o"))
     return out.select("file_id", "key", F.col("l.line").alias("lines"), F.coalesce("o", F.lit(-1)).alias("offset"))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """By the number that a key begins with, then by the key."""
+    return rows.orderBy(F.regexp_extract("key", r"^-?\d+", 0).cast("long"), "key")
+
+
+def render(rows: DataFrame, regex: str | None = None) -> DataFrame:
+    """``file_id, key, text``: numbered lines, the target marked, matches of ``regex`` highlighted."""
+    from ..functions.text import highlight
+
+    line = F.col("line") if regex is None else highlight(F.col("line"), regex)
+    one = F.concat(F.when(F.col("is_target"), "> ").otherwise("  "), F.col("line_number").cast("string"), F.lit(": "), line)
+    out = rows.groupBy("file_id", "key").agg(F.array_sort(F.collect_list(F.struct("line_number", one.alias("t")))).alias("l"))
+    return out.select("file_id", "key", F.array_join("l.t", "\n").alias("text"))

@@ -75,3 +75,23 @@ def per_pattern(found: DataFrame, patterns: PatternSet) -> DataFrame:
     names = found.sparkSession.createDataFrame(list(zip(patterns.ids, patterns.patterns)), "pattern_id string, pattern string")
     counts = found.groupBy("pattern_id").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("f"))
     return names.join(counts, "pattern_id", "left").select("pattern_id", "pattern", F.coalesce("n", F.lit(0)).alias("n_matches"), F.coalesce("f", F.lit(0)).alias("n_files"))
+
+
+def with_names(found: DataFrame, files: DataFrame, patterns: PatternSet) -> DataFrame:
+    """Matches with the path of their file (``file_id, path``) and the text of their pattern.
+
+    The patterns are literals in the plan; Spark picks the join with the files by their size.
+    """
+    text = F.create_map(*[F.lit(x) for pair in zip(patterns.ids, patterns.patterns) for x in pair])[F.col("pattern_id")]
+    return found.join(files.select("file_id", "path"), "file_id").withColumn("pattern", text)
+
+
+def first_of_each(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """Distinct values of a column, in the order of their first row."""
+    return rows.groupBy(name).agg(F.min(order).alias("first")).orderBy("first")
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """One JSON object for each row; absent arrays are empty ones."""
+    filled = [F.coalesce(F.col(f.name), F.array()).alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in rows.schema.fields]
+    return rows.select(F.to_json(F.struct(*filled)).alias("json"))

@@ -653,3 +653,33 @@ def tree_listing(spark, sf_dir):
 @query(f"WITH {_ENTRIES} SELECT parent, count(*) AS n_entries, CAST(sum(size) AS BIGINT) AS total_size, count(*) FILTER (WHERE type = 'directory') AS n_directories FROM entries GROUP BY 1")
 def tree_totals(spark, sf_dir):
     return tree.totals(_entries(spark, sf_dir))
+
+
+@query("SELECT DISTINCT key, CAST(regexp_extract(key, '^-?[0-9]+') AS BIGINT) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN CAST(event_id % 97 AS VARCHAR) WHEN 1 THEN CAST(event_id % 89 AS VARCHAR) || '-' || (event_id % 89 + 5) ELSE '-' || (event_id % 83) END AS key FROM events) ORDER BY n, key LIMIT 200")
+def sample_keys_in_order(spark, sf_dir):
+    e = F.col("event_id")
+    text = lambda n: (e % n).cast("string")
+    key = F.when(e % 3 == 0, text(97)).when(e % 3 == 1, F.concat(text(89), F.lit("-"), (e % 89 + 5).cast("string"))).otherwise(F.concat(F.lit("-"), text(83)))
+    keys = table(spark, sf_dir, "events").select(key.alias("key")).distinct()
+    return samples.in_order(keys).limit(200).select("key", F.regexp_extract("key", r"^-?\d+", 0).cast("long").alias("n"))
+
+
+@query(with_lines("SELECT file_id, '2' AS key, string_agg(CASE WHEN line_number = 2 THEN '> ' ELSE '  ' END || line_number || ': ' || line, chr(10) ORDER BY line_number) AS text FROM lines WHERE line_number BETWEEN 1 AND 3 GROUP BY 1"))
+def samples_rendered(spark, sf_dir):
+    return samples.render(samples.by_line(document_lines(spark, sf_dir), "2", 1, 1))
+
+
+@query(f"SELECT m.pattern_id, m.file_id, m.\"offset\", m.line_number, m.line_text, 'src/' || d.source AS path, p.pattern FROM ({_search_sql(SEARCH)}) m JOIN documents d ON d.doc_id = m.file_id JOIN (VALUES ('p1', 'the'), ('p2', 'th[ae]n'), ('p3', 'eau')) p(pattern_id, pattern) USING (pattern_id)")
+def trace_with_names(spark, sf_dir):
+    names = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("src/"), F.col("source")).alias("path"))
+    return trace.with_names(_search(spark, sf_dir, *SEARCH), names, PatternSet.of(*SEARCH))
+
+
+@query("SELECT source, min(doc_id) AS first FROM documents GROUP BY 1")
+def first_of_each(spark, sf_dir):
+    return trace.first_of_each(table(spark, sf_dir, "documents"), "source", "doc_id")
+
+
+@query(with_lines("SELECT '{\"pattern_id\":\"p1\",\"file_id\":' || file_id || ',\"offset\":' || start_offset || ',\"line_number\":' || line_number || '}' AS json FROM lines WHERE contains(line, 'theaan')"))
+def trace_json(spark, sf_dir):
+    return trace.as_json(_search(spark, sf_dir, "theaan").drop("line_text"))
