@@ -35,7 +35,7 @@ MAGIC = b"BPS1"
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 20
 FOOTER = struct.Struct("<QQQI4s")
-SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, payload binary"
+SHARD_SCHEMA = "part int, seq int, before long, n_docs long, n_ids long, payload binary"
 
 
 def pack_block(ids: np.ndarray, planes: str = "bit") -> list[bytes]:
@@ -119,13 +119,13 @@ def write_shards(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held = TaskContext.get().partitionId(), 0, []
+        part, seq, before, held = TaskContext.get().partitionId(), 0, 0, []
 
         def flush() -> pa.RecordBatch:
             keys = [d for k, _, _ in held for d in k]
             sizes, ids = (np.concatenate([h[i] for h in held]) for i in (1, 2))
             payload = pack_shard(keys, sizes, ids, planes, block_ids)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)]), pa.array([len(ids)]), pa.array([payload], pa.binary())], ["part", "seq", "n_docs", "n_ids", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), *(pa.array([n], pa.int64()) for n in (before, len(keys), len(ids))), pa.array([payload], pa.binary())], ["part", "seq", "before", "n_docs", "n_ids", "payload"])
 
         for batch in slices(batches, "text", 8 << 20):
             ids, bounds = with_end(*encoder(vocabulary).encode(batch.column("text")), end_id)
@@ -136,7 +136,7 @@ def write_shards(
             for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if held and (i or group[0]):
                     yield flush()
-                    seq, held = seq + 1, []
+                    seq, before, held = seq + 1, before + sum(len(h[2]) for h in held), []
                 held.append((keys[a:b], np.diff(bounds[a : b + 1]), ids[bounds[a] : bounds[b]]))
         if held:
             yield flush()
@@ -149,29 +149,27 @@ def write_shards(
 def read_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
     """Documents of stored shards: ``doc_id, start, n_tokens, ids_crc32`` and, if asked, ``ids``.
 
-    ``start`` counts the ids before a document over all shards.  The driver
-    gets one number for each partition that was written, not more.
+    ``start`` counts the ids before a document over all shards: those before
+    its shard within the partition that wrote it are stored, and the driver gets
+    one number for each such partition.  Nothing is shuffled.
     """
     totals = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
-    before, run = {}, 0
+    starts, run = {}, 0
     for part in sorted(totals):
-        before[part], run = run, run + totals[part]
-    within = shards.select("part", "seq", "n_ids").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("seq", "n_ids"))).alias("sizes"))
-    placed = shards.join(within, "part").select("part", "payload", F.expr("aggregate(filter(sizes, s -> s.seq < seq), 0L, (a, s) -> a + s.n_ids)").alias("offset"))
-
+        starts[part], run = run, run + totals[part]
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, offset, payload in zip(batch.column("part").to_pylist(), batch.column("offset").to_pylist(), batch.column("payload")):
+            for part, offset, payload in zip(batch.column("part").to_pylist(), batch.column("before").to_pylist(), batch.column("payload")):
                 reader = ShardReader(payload.as_py())
                 ids = reader.ids().astype("<u4")
                 bounds = np.concatenate([[0], np.cumsum(reader.sizes)]).astype(np.int64)
                 view = memoryview(ids.tobytes())
-                cols = [pa.array(reader.doc_ids, pa.int64()), pa.array(bounds[:-1] + (before[part] + offset)), pa.array(reader.sizes.astype(np.int64)), pa.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(bounds, bounds[1:])], pa.int64())]
+                cols = [pa.array(reader.doc_ids, pa.int64()), pa.array(bounds[:-1] + (starts[part] + offset)), pa.array(reader.sizes.astype(np.int64)), pa.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(bounds, bounds[1:])], pa.int64())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return shards.select("part", "before", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def op1_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:

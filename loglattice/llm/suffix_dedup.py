@@ -10,27 +10,35 @@ first, and leave the sort as soon as they stand alone:
 * Second digit: the bytes of all windows of an anchor, its *block*.  Equal
   blocks settle all their windows at once: these are repeated.
 * Third digit, only within grams that have several different blocks: each
-  window's own bytes.  Equal groups of two or more are the repeated windows.
+  window's own bytes, or first those of cells of several windows.  Equal groups
+  of two or more are the repeated windows.
 
 Counts are partial aggregates and joins on hashes of the digits, 128 bits
-together; no group is collected in one task.
+together.  Grams with few blocks are finished within a task, which holds one
+such group at a time; those with more over all tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, release_shuffles, slices, text_of, write_shared
 
 LENGTH = 200
 GRAM = 50
+#: Blocks of one gram that a task compares by itself; more are compared over all tasks.
+GROUP_BLOCKS = 256
+#: Windows in a cell, pass by pass, where blocks are compared over all tasks.
+CELLS = (16, 4, 1)
 #: Bytes that are hashed at once; positions in them fit the low bits of a key.
 RUN = 1 << 22
 _POSITION_BITS = 23
@@ -59,14 +67,14 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, length: int, gram: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and gram hash of each anchor.
+def anchors(data: np.ndarray, length: int, gram: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, distance from the first window, and gram hash of each anchor.
 
     ``starts`` are the ascending starts of the windows.  An anchor is the
     leftmost gram with the least hash in a window.
     """
     if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     hashes = gram_hashes(data, gram)
     low = np.uint64((1 << _POSITION_BITS) - 1)
     least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
@@ -80,7 +88,7 @@ def anchors(data: np.ndarray, length: int, gram: int, starts: np.ndarray) -> tup
     fresh = np.ones(len(at), bool)
     fresh[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(fresh)
-    return starts[first], np.diff(first, append=len(at)), hashes[at[first]]
+    return starts[first], np.diff(first, append=len(at)), at[first] - starts[first], hashes[at[first]]
 
 
 def runs(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -115,12 +123,13 @@ def runs(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray, n
 
 
 KEYS = ["id", "key"]
+SPANS = "id long, key long, first long, many int"
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Documents by their id (null as the least number) and a hash of their text."""
     text = text_of(docs, text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), *more)
 
 
 def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -131,41 +140,130 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -
         for batch in slices(batches, "text", RUN // 2):
             ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
             for data, starts, owner, shift in runs([t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()], length):
-                at, many, grams = anchors(np.frombuffer(data, np.uint8), length, gram, starts)
+                at, many, lead, grams = anchors(np.frombuffer(data, np.uint8), length, gram, starts)
                 where = np.searchsorted(starts, at)
                 blocks = np.array([digest(data[a:b]) for a, b in zip(at.tolist(), (at + many + length - 1).tolist())], np.uint64)
                 own = owner[where]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[own]), pa.array(keys[own]), pa.array(at + shift[where]), pa.array(many.astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(blocks.view(np.int64))],
-                    ["id", "key", "first", "many", "gram", "block"],
+                    [pa.array(ids[own]), pa.array(keys[own]), pa.array(at + shift[where]), pa.array(many.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(blocks.view(np.int64))],
+                    ["id", "key", "first", "many", "lead", "gram", "block"],
                 )
 
-    def third_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+    def block_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for i, key, text, todo in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "text", "todo"))):
                 data = text.encode("utf-8", "replace")
-                for t in todo:
-                    at = list(range(t["first"], t["first"] + t["many"]))
-                    n = len(at)
-                    window = np.array([digest(data[a : a + length]) for a in at], np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(at, pa.int64()), pa.array([t["gram"]] * n, pa.int64()), pa.array(window), pa.array([t["open"]] * n, pa.bool_())], names)
-
-    names = ["id", "key", "at", "gram", "window", "open"]
-    digits = write_shared(keyed.mapInArrow(first_digits, "id long, key long, first long, many int, gram long, block long"), "anchor-digits")
-    blocks = digits.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "first", "many")).alias("one"))
-    blocks = write_shared(blocks, "anchor-blocks")
+                rows += [(t["gram"], t["block"], t["several"], t["open"], i, key, t["first"], t["lead"], data[t["first"] : t["first"] + t["many"] + length - 1]) for t in todo]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    names = ["gram", "block", "several", "open", "id", "key", "first", "lead", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    digits = write_shared(keyed.mapInArrow(first_digits, "id long, key long, first long, many int, lead int, gram long, block long"), "anchor-digits")
+    blocks = write_shared(digits.groupBy("gram", "block").agg(F.count("*").alias("n")), "anchor-blocks")
     # Grams with several blocks, one of which stands alone: their windows are compared.
-    open_grams = blocks.groupBy("gram").agg(F.count("*").alias("blocks"), F.min("n").alias("least")).filter("blocks > 1 and least = 1").select("gram")
-    todo = blocks.join(open_grams, "gram").select("one.*", "gram", (F.col("n") == 1).alias("open"))
-    todo = todo.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "many", "gram", "open")).alias("todo"))
-    settled = digits.join(blocks.filter("n > 1").select("gram", "block"), ["gram", "block"], "left_semi").select(*KEYS, "first", "many")
-    windows = keyed.join(todo, KEYS).mapInArrow(third_digits, "id long, key long, at long, gram long, window long, open boolean")
-    windows = write_shared(windows.distinct(), "window-digits")
+    several = blocks.groupBy("gram").agg(F.count("*").alias("several"), F.min("n").alias("least")).filter("several > 1 and least = 1").select("gram", "several")
+    status = write_shared(blocks.join(several, "gram", "left").filter("n > 1 or several is not null"), "anchor-status")
+    marked = write_shared(digits.join(status, ["gram", "block"]), "anchor-marks")
     release_shuffles(keyed.sparkSession)
-    twice = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "window")
-    single = windows.filter("open").join(twice, ["gram", "window"], "left_semi").select(*KEYS, F.col("at").alias("first"), F.lit(1).alias("many"))
-    return settled.union(single)
+    settled = marked.filter("n > 1").select(*KEYS, "first", "many")
+    todo = marked.filter("several is not null").groupBy("gram", "block").agg(F.min("several").alias("several"), (F.min("n") == 1).alias("open"), F.min(F.struct(*KEYS, "first", "many", "lead")).alias("one"))
+    todo = todo.groupBy("one.id", "one.key").agg(F.collect_list(F.struct("gram", "block", "several", "open", "one.first", "one.many", "one.lead")).alias("todo"))
+    held = write_shared(keyed.join(todo, KEYS).mapInArrow(block_bytes, "gram long, block long, several long, open boolean, id long, key long, first long, lead int, bytes binary"), "anchor-bytes")
+    release_shuffles(keyed.sparkSession)
+    few = held.filter(F.col("several") <= GROUP_BLOCKS).repartition("gram").sortWithinPartitions("gram").mapInArrow(_within_groups(length), SPANS)
+    many = _across_tasks(held.filter(F.col("several") > GROUP_BLOCKS), length)
+    return settled.union(few) if many is None else settled.union(few).union(many)
+
+
+def _windows(data: bytes, length: int) -> list[bytes]:
+    return [data[a : a + length] for a in range(len(data) - length + 1)]
+
+
+def _within_groups(length: int):
+    """Repeated windows of the open blocks of each gram, a group of at most ``GROUP_BLOCKS`` blocks at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int, int]] = []
+        stream = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "open", "id", "key", "first", "bytes"))))
+        for _, group in groupby(stream, key=lambda r: r[0]):
+            rows = list(group)
+            cut = [_windows(r[5], length) for r in rows]
+            seen = Counter(w for ws in cut for w in ws)
+            for (_, is_open, i, key, first, _), ws in zip(rows, cut):
+                if is_open:
+                    at = 0
+                    for again, part in groupby(ws, key=lambda w: seen[w] > 1):
+                        n = sum(1 for _ in part)
+                        if again:
+                            out.append((i, key, first + at, n))
+                        at += n
+            if len(out) >= 10_000:
+                yield _span_batch(out)
+                out = []
+        if out:
+            yield _span_batch(out)
+
+    return run
+
+
+def _span_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["id", "key", "first", "many"])
+
+
+def _cell_hashes(size: int, length: int):
+    """Hashes of the cells of blocks: of the bytes that all windows of the whole cell share, and of the bytes of the cell's own windows.
+
+    A window's offset is the anchor's distance from its start, so equal
+    windows of different blocks have equal offsets and lie in equal cells.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            rows = []
+            for lo, lead, data in zip(*(batch.column(c).to_pylist() for c in ("lo", "lead", "bytes"))):
+                low, high = max(lo, lead - len(data) + length), min(lo + size - 1, lead)
+                core = data[max(0, lead - lo) : max(0, lead - lo - size + 1 + length)]
+                rows.append((low, high, digest(core), digest(data[lead - high : lead - low + length])))
+            if rows:
+                low, high, core, own = zip(*rows)
+                cols = [pa.array(low, pa.int32()), pa.array(high, pa.int32()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (core, own))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("gram", "block", "open", "lo")), *cols], ["gram", "block", "open", "lo", "low", "high", "core", "own"])
+
+    return run
+
+
+def _across_tasks(held: DataFrame, length: int) -> DataFrame | None:
+    """The same for grams with more blocks, over all tasks: cells of ever fewer windows, down to one.
+
+    A cell whose own bytes another block has, at the same offsets, is settled.
+    One whose shared bytes no other block has holds no repeated window.  What
+    is left is cut into smaller cells, together with one block for each
+    settled cell that could still match.
+    """
+    if held.isEmpty():
+        return None
+    lowest = F.col("lead") - F.octet_length("bytes") + length
+    size = CELLS[0]
+    cells = held.select("gram", "block", F.explode(F.sequence((F.floor(lowest / size) * size).cast("int"), F.col("lead"), F.lit(size))).alias("lo"))
+    bytes_of, found = held.select("gram", "block", "open", "lead", "bytes"), None
+    for k, size in enumerate(CELLS):
+        hashed = cells.join(bytes_of, ["gram", "block"]).mapInArrow(_cell_hashes(size, length), "gram long, block long, open boolean, lo int, low int, high int, core long, own long")
+        hashed = write_shared(hashed, "cell-digits")
+        by_own = hashed.groupBy("gram", "low", "high", "own").agg((F.count("*") == 1).alias("alone"), F.min("block").alias("one"))
+        marked = write_shared(hashed.join(by_own, ["gram", "low", "high", "own"]), "cell-marks")
+        part = marked.filter("open and not alone").select("gram", "block", "low", "high")
+        found = part if found is None else found.union(part)
+        if k + 1 < len(CELLS):
+            again = marked.groupBy("gram", "lo", "core").agg(F.count("*").alias("n"), F.max(F.col("open") & F.col("alone")).alias("wanted")).filter("n > 1 and wanted").select("gram", "lo", "core")
+            left = marked.filter("alone or block = one").join(again, ["gram", "lo", "core"], "left_semi")
+            step = CELLS[k + 1]
+            starts = F.sequence(F.floor(F.col("low") / step).cast("int") * step, F.col("high"), F.lit(step))
+            cells = left.select("gram", "block", F.explode(starts).alias("lo"))
+    places = held.select("gram", "block", *KEYS, "first", "lead")
+    return found.join(places, ["gram", "block"]).select(*KEYS, (F.col("first") + F.col("lead") - F.col("high")).alias("first"), (F.col("high") - F.col("low") + 1).alias("many"))
 
 
 def merge_spans(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -181,17 +279,15 @@ def merge_spans(spans: list[tuple[int, int]], length: int) -> list[tuple[int, in
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` and ``__spans``, the runs of windows in each text that also start elsewhere (null: none).
+    """``doc`` (a row's columns), ``text`` and ``spans``, the runs of windows in a text that also start elsewhere (null: none).
 
     Two rows that agree in id and text count as two places.  A null text is
     empty; texts under ``length`` bytes repeat nothing.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    found = repeated_windows(keyed, length, gram)
-    spans = found.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "many")).alias("__spans")).select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__spans")
-    text = text_of(docs, text_col)
-    own = docs.withColumns({"__own_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__own_key": F.xxhash64(text)})
-    return own.join(spans, (F.col("__own_id") == F.col("__id")) & (F.col("__own_key") == F.col("__key")), "left").drop("__own_id", "__own_key", "__id", "__key")
+    found = repeated_windows(_keyed(docs, id_col, text_col), length, gram)
+    spans = found.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "many")).alias("spans"))
+    keyed = _keyed(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return keyed.join(spans, KEYS, "left").select("doc", "text", "spans")
 
 
 def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -208,7 +304,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    marked = with_spans(narrow, length=length, gram=gram).withColumnRenamed("__spans", "spans")
+    marked = with_spans(narrow, length=length, gram=gram).select("doc.doc_id", "text", "spans")
     return marked.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -225,7 +321,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     something, are dropped.
     """
     source = with_spans(docs, id_col, text_col, length, gram)
-    kept = [c for c in docs.columns if c != text_col]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,12 +330,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     data = text.encode("utf-8", "replace")
                     text = _without(data, merge_spans([(s["first"], s["many"]) for s in spans], length)).decode("utf-8", "ignore")
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(out, pa.string()), pa.array([bool(s) for s in batch.column("spans").to_pylist()])], ["rest", "text", "cut"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.string()), pa.array([bool(s) for s in batch.column("spans").to_pylist()])], ["doc", "text", "cut"])
 
-    rows = source.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest"), F.col(text_col).cast("string").alias("text"), F.col("__spans").alias("spans"))
-    done = rows.mapInArrow(cut, f"rest {rows.schema['rest'].dataType.simpleString()}, text string, cut boolean")
+    done = source.mapInArrow(cut, f"doc {source.schema['doc'].dataType.simpleString()}, text string, cut boolean")
     done = done.filter(~F.col("cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    text = F.when(F.col("cut"), F.col("text")).otherwise(F.col(f"doc.`{text_col}`"))
+    return done.select(*[text.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
