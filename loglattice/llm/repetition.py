@@ -24,9 +24,11 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 MIN_WORDS = 8
 #: A text fails if maximal repeats cover more than this share of its words,
-MAX_COVERED = 0.6
-#: or if the longest repeat has more than this share of them.
-MAX_LONGEST = 0.3
+MAX_COVERED = 0.2
+#: or if the longest repeat has more than this share of them.  Both lie below
+#: what the base rule implies: words in long repeats are also in repeated
+#: triples, so a limit of 0.5 or more on the first could never decide.
+MAX_LONGEST = 0.1
 
 
 def suffix_ranks(codes: np.ndarray) -> list[np.ndarray]:

@@ -177,3 +177,17 @@ def test_repetition(spark, make_docs, odd_rows, prose):
         assert tuple(got[i])[1:] == (*base, cover, longest, failed, not failed and not bad)
     assert got[21]["kept"] and got[22]["kept"] and not got[20]["kept"]
     assert repetition.check_repetition(make_docs(rows).filter("false")).count() == 0
+
+
+def test_each_repetition_limit_decides(spark, make_docs):
+    """Texts that pass the base rule: clean, with many short repeats, with one long run, with a paragraph given twice."""
+    fresh = lambda n, name: [f"{name}{k}" for k in range(n)]
+    many = [w for p in range(3) for w in 2 * fresh(8, f"p{p}x")] + fresh(152, "m")
+    run = [f"r{k % 5}" for k in range(36)] + fresh(164, "n")
+    twice = fresh(45, "t") + fresh(110, "o") + fresh(45, "t")
+    rows = [(1, " ".join(fresh(200, "c"))), (2, " ".join(many)), (3, " ".join(run)), (4, " ".join(twice)), (5, " ".join(fresh(182, "d") + 2 * fresh(9, "q")))]
+    got = {r["doc_id"]: r for r in repetition.check_repetition(make_docs(rows)).collect()}
+    assert [got[i]["n_words"] for i in got] == [200] * 5 and not any(r["base_failed"] for r in got.values())
+    assert (got[2]["covered_words"], got[2]["longest_repeat"]) == (48, 8)
+    assert (got[3]["covered_words"], got[3]["longest_repeat"]) == (36, 31)
+    assert [got[i]["kept"] for i in (1, 2, 3, 4, 5)] == [True, False, False, False, True]
