@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from loglattice.llm import components, repetition, simhash, suffix_dedup
+from loglattice.llm import components, near_copies, repetition, simhash, suffix_dedup
 
 
 def brute_removal(rows, length):
@@ -191,3 +191,36 @@ def test_each_repetition_limit_decides(spark, make_docs):
     assert (got[2]["covered_words"], got[2]["longest_repeat"]) == (48, 8)
     assert (got[3]["covered_words"], got[3]["longest_repeat"]) == (36, 31)
     assert [got[i]["kept"] for i in (1, 2, 3, 4, 5)] == [True, False, False, False, True]
+
+
+@pytest.mark.parametrize("small", [8, 2])
+def test_similar_texts_by_brute_force(spark, make_docs, prose, odd_rows, small):
+    """Copies with random changes around a similarity of 0.8, a common passage, and a crowd that differs in one word."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    passage, rows = prose(30, seed=41), [(i, f"{prose(60)} {prose(30, seed=41)}") for i in range(30)]
+    for i in range(30, 130):
+        words = prose(120, seed=50 + i % 20).split()
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = rng.choice(["of", "zz", "Q"])
+        rows.append((i, " ".join(words)))
+    rows += [(i, f"{passage} {prose(100, seed=42)} x{i}") for i in range(130, 170)]
+    rows += [(i if i is None else i + 1000, t) for i, t in odd_rows]
+    sets = []
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))))
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    assert any(10 * len(sets[a] & sets[b]) < 9 * len(sets[a] | sets[b]) for a, b in near)
+    root, least = union(range(len(rows)), near), {}
+    for k, (i, _) in enumerate(rows):
+        least[root[k]] = min(least.get(root[k], 10**9), 10**9 if i is None else i)
+    docs = make_docs(rows).repartition(4)
+    left = near_copies.keep_one_similar(docs, small=small)
+    assert left.columns == docs.columns
+    want = sorted(least.values())
+    assert sorted(10**9 if r["doc_id"] is None else r["doc_id"] for r in left.collect()) == want
+    if small == 8:
+        assert corpus_pipeline.near_dedup(spark, docs, "").count() == len(want)
+        assert near_copies.keep_one_similar(docs.filter("false")).count() == 0
