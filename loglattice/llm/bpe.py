@@ -37,14 +37,22 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class BpeEncoder:
-    """``encode`` gives the ids of a column of texts and each text's bounds in them."""
+    """``encode`` gives the ids of a column of texts and each text's bounds in them.
 
-    def __init__(self, path: str) -> None:
+    With ``added_tokens``, the file's added tokens count where a text holds
+    them, as the library does by default; without, they are text like any other
+    (the library's ``encode_special_tokens``).
+    """
+
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.model._resize_cache(0)
         self.alphabet = _byte_alphabet()
         self.pretokens: dict[str, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        #: What any text with an added token matches; None if there is none.
+        self.added = "|".join(map(regex.escape, added)) or None
 
     def _ids(self, pretoken: str) -> bytes:
         known = self.pretokens
@@ -72,9 +80,13 @@ class BpeEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if self.added:
+            holds = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
+            if holds.any():
+                return self._mixed(texts, holds, self._whole)
         loose = pc.match_substring_regex(texts, LOOSE_SPACE).to_numpy(zero_copy_only=False)
         if loose.any():
-            return self._mixed(texts, loose)
+            return self._mixed(texts, loose, self._piece)
         lists = pc.split_pattern(texts, " ")
         bounds = lists.offsets.to_numpy()
         bounds, flat = bounds - bounds[0], lists.flatten()
@@ -94,22 +106,27 @@ class BpeEncoder:
         ids = np.frombuffer(out.buffers()[2], "<u4", at[-1] // 4) if at[-1] else np.empty(0, "<u4")
         return ids, at[bounds] // 4
 
-    def _mixed(self, texts: pa.Array, loose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _whole(self, text: str) -> bytes:
+        """The ids by the library alone."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _mixed(self, texts: pa.Array, apart: np.ndarray, ids_of) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with the texts set ``apart`` encoded by ``ids_of``."""
         parts: list[np.ndarray] = [np.frombuffer(b"", "<u4")] * len(texts)
-        even = np.flatnonzero(~loose)
+        even = np.flatnonzero(~apart)
         if len(even):
             ids, at = self.encode(texts.take(pa.array(even)))
             for k, i in enumerate(even):
                 parts[i] = ids[at[k] : at[k + 1]]
-        for i in np.flatnonzero(loose):
-            parts[i] = np.frombuffer(self._piece(texts[int(i)].as_py()), "<u4")
+        for i in np.flatnonzero(apart):
+            parts[i] = np.frombuffer(ids_of(texts[int(i)].as_py()), "<u4")
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> BpeEncoder:
-    """One encoder for each worker process and vocabulary file."""
-    return BpeEncoder(path)
+def encoder(path: str, added_tokens: bool = False) -> BpeEncoder:
+    """One encoder for each worker process, vocabulary file and treatment of added tokens."""
+    return BpeEncoder(path, added_tokens)
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

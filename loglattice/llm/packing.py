@@ -84,9 +84,11 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, length: int) -> list[int]:
     return cuts[::-1]
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = LENGTH, added_tokens: bool = False) -> DataFrame:
     """Pieces of all documents: where each lies in its document and in its sequence.
 
+    With ``added_tokens``, the vocabulary's added tokens count inside texts.
+
     Null texts are empty: the end id alone.  Rows with one id are ordered by
     their text and are documents of their own.  Other columns are left out,
     whatever their names.  A very long text is cut over many sequences.  Each
@@ -98,7 +100,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 33
-        tokens = encoder(vocabulary)
+        tokens = encoder(vocabulary, added_tokens)
         ends = sentence_ends(tokens)
         keys: list[int | None] = []  # of the documents that the held ids belong to
         sizes = np.empty(0, np.int64)
@@ -151,4 +153,4 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)

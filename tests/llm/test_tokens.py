@@ -146,3 +146,25 @@ def test_counts_of_documents(spark, make_docs, odd_rows):
         each = [greedy(w, a, b) for w in (t or "").encode().split()]
         want.append((i or -1, len(each), sum(each), max(each, default=0)))
     assert sorted((r["id"] or -1, r["n_words"], r["n_pieces"], r["longest_word_pieces"]) for r in got) == sorted(want)
+
+
+def test_added_tokens_as_the_library_does(spark, tmp_path, make_docs, odd_rows):
+    """The queries and the pipeline's last stage, against the library as it is."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    t = Tokenizer.from_file(PATH)
+    ids = lambda text: t.encode(text or "", add_special_tokens=False).ids
+    assert ids("one <|endoftext|> two") == [505, 220, 50256, 734]
+    texts = ["".join(rng.choice(["<|endoftext|>", " ", "a", "\n", "é", "<|", "it's", "  "]) for _ in range(rng.randint(0, 9))) for _ in range(2000)]
+    got, at = BpeEncoder(PATH, added_tokens=True).encode(pa.array([*texts, None]))
+    assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [ids(x) for x in [*texts, None]]
+    rows = [*odd_rows, (20, "one <|endoftext|> two"), (21, "<|endoftext|>"), (22, "after")]
+    docs = make_docs(rows).repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    shards = bitplane.op1_bitplane(spark, str(tmp_path)).collect()
+    want = sorted((i or -1, len(ids(x)) + 1, crc(ids(x) + [0])) for i, x in rows)
+    assert sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_crc32"]) for r in shards) == want
+    sizes = sorted((i or -1, len(ids(x)) + 1) for i, x in rows if i in (9, 20, 21, 22))
+    for made in (packing.op8_packing(spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        assert sorted({(r["doc_id"], r["doc_tokens"]) for r in made.filter("doc_id in (9, 20, 21, 22)").collect()}) == sizes
