@@ -48,6 +48,18 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shared(df: DataFrame) -> None:
+    """Free the disk of a table that ``write_shared`` gave and nothing reads any more.
+
+    An empty table takes its place, written by Spark, since only Spark reaches
+    every kind of store.
+    """
+    files = df.inputFiles()
+    if files:
+        folder = files[0].rpartition("/")[0]
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(folder)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished jobs."""
     import gc

@@ -1,148 +1,97 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
+"""Language-model scores from an Elias-Fano n-gram trie of ``ORDER`` levels.
 
 Counting, smoothing and look-up go over *blocks* of documents, each with a
-dictionary of its own words, so that what is shuffled are distinct words and
-distinct word pairs of a block, not every token:
+dictionary of its own words, so that what is shuffled are a block's distinct
+words and distinct n-grams, not every token:
 
 1. Documents become blocks: local word codes, local words, training counts.
-2. Local words meet in one shuffle, are counted and get dense numbers, and go
-   back to their blocks with these, packed.
-3. Each block sends its distinct pairs, with training counts, to buckets.  Pairs
-   are dealt by context; those of very frequent contexts by both words.
-4. Each bucket builds its part of the trie from all training pairs and answers
-   every block's pairs from it.
-5. Blocks add up their documents' scores.
-
-The probability of a word after a context is
-``(c(context, word) + kappa * p(word)) / (c(context) + kappa)``, with ``p`` the
-add-one unigram probability.  The trie keeps the first term in 8 bits.
+2. Local words meet in one shuffle, sorted by word; they are counted and get
+   dense numbers as they stream by, and go back to their blocks.  That is the
+   level of unigrams.
+3. For each further order, blocks send their distinct n-grams to buckets, as
+   pairs of a context (the node of the n-gram without its last word) and a word,
+   with training counts.  A bucket builds its part of the level from all
+   training pairs, writes it to a file, maps it, and answers every block's
+   pairs from the packed form: probability, back-off weight, and the node,
+   which is the context of the next order.
+4. Blocks add up their documents' scores.
+
+Pairs are dealt by context, those of very frequent contexts by both context and
+word.  The probability of a word after a context is::
+
+    p(w | context) = c(context, w) / (c(context) + kappa) + kappa / (c(context) + kappa) * p(w | shorter context)
+
+down to the add-one unigram probability.  A level keeps the first term of each
+pair and the back-off weight of each context in 8 bits.
 """
 
 from __future__ import annotations
 
-import struct
+import mmap
+import tempfile
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-import zlib
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, release_shuffles, slices, text_of, write_shared
+from .common import documents, drop_shared, release_shuffles, slices, text_of, write_shared
+from .elias_fano import Level
 
+ORDER = 3
 BLOCK_BYTES = 8 << 20
-#: Pairs of all blocks that a bucket answers, about.
+#: Pairs of all blocks that a bucket answers, and local words that a task settles, about.
 BUCKET_PAIRS = 1_000_000
-KAPPA = 100.0
+#: The weight of the shorter context, for the second order and for all further ones.
+KAPPA = (100.0, 10.0)
+#: A node is its bucket and, in that many low bits, its place in the bucket's level.
+NODE_BITS = 40
 #: Quantised log10 probabilities: 24 steps for each power of ten; 0 means absent.
 STEPS = 24
-UNKNOWN = 0xFFFFFFFF
-START = 0xFFFFFFFE
-
-
-class EliasFano(NamedTuple):
-    """An ascending sequence: low bits packed, high bits in unary."""
-
-    n: int
-    width: int  # low bits of a value
-    low: np.ndarray
-    high: np.ndarray
-
-    @classmethod
-    def of(cls, values: np.ndarray) -> EliasFano:
-        n = len(values)
-        top = int(values[-1]) if n else 0
-        width = max(0, (top // max(n, 1)).bit_length() - 1) if n else 0
-        values = values.astype(np.uint64)
-        low = np.zeros(n * width, np.uint8)
-        for k in range(width):
-            low[k::width] = (values >> np.uint64(k)) & np.uint64(1)
-        at = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
-        high = np.zeros((int(at[-1]) + 1) if n else 0, np.uint8)
-        high[at] = 1
-        return cls(n, width, np.packbits(low), np.packbits(high))
-
-    def values(self) -> np.ndarray:
-        out = (np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)) << self.width
-        low = np.unpackbits(self.low, count=self.n * self.width)
-        for k in range(self.width):
-            out |= low[k :: self.width].astype(np.int64) << k
-        return out
 
-    def dump(self) -> bytes:
-        """Header and both bit vectors, padded to 8 bytes, so that a mapped file can be read in place."""
-        parts = [x.tobytes() + b"\0" * (-len(x) % 8) for x in (self.low, self.high)]
-        return struct.pack("<QQQQ", self.n, self.width, len(self.low), len(self.high)) + b"".join(parts)
 
-    @classmethod
-    def load(cls, buffer, at: int) -> tuple[EliasFano, int]:
-        n, width, a, b = struct.unpack_from("<QQQQ", buffer, at)
-        at += 32
-        low = np.frombuffer(buffer, np.uint8, a, at)
-        at += a + -a % 8
-        return cls(n, width, low, np.frombuffer(buffer, np.uint8, b, at)), at + b + -b % 8
+def quantise(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.round(-STEPS * np.log10(p)) + 1, 1, 255).astype(np.uint8)
 
 
-class Trie:
-    """One level below the unigrams: contexts, pointers to their words, and quantised probabilities.
+def unquantise(q: np.ndarray) -> np.ndarray:
+    return np.where(q > 0, 10.0 ** (-(q.astype(np.float64) - 1) / STEPS), 0.0)
 
-    Words are kept relative to their context: each context's words are shifted
-    behind those of the contexts before, so that one ascending sequence holds
-    them all and a word is found by one search for its successor.
-    """
 
-    def __init__(self, buffer) -> None:
-        found, at = [], 0
-        for _ in range(4):
-            ef, at = EliasFano.load(buffer, at)
-            found.append(ef)
-        self.contexts, self.pointers, self.shifts, self.words = (e.values() for e in found)
-        self.levels = np.frombuffer(buffer, np.uint8, len(self.words), at)
-
-    @staticmethod
-    def build(keys: np.ndarray, levels: np.ndarray) -> bytes:
-        """``keys``: ascending context * 2**32 + word; ``levels``: quantised probabilities."""
-        context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(UNKNOWN)).astype(np.int64)
-        first = np.flatnonzero(np.diff(context, prepend=-1))
-        last = np.append(first[1:], len(keys)) - 1
-        shifts = np.concatenate([[0], np.cumsum(word[last] + 1)[:-1]]) if len(keys) else np.empty(0, np.int64)
-        many = last - first + 1 if len(keys) else np.empty(0, np.int64)
-        parts = (context[first], np.concatenate([[0], np.cumsum(many)]).astype(np.int64), shifts, word + np.repeat(shifts, many))
-        return b"".join([*(EliasFano.of(p).dump() for p in parts), levels.astype(np.uint8).tobytes()])
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Quantised probabilities of pairs; 0 where the trie has none."""
-        out = np.zeros(len(context), np.uint8)
-        if not len(self.contexts):
-            return out
-        c = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-        at = np.searchsorted(self.words, word + self.shifts[c])
-        ok = (self.contexts[c] == context) & (at < self.pointers[c + 1])
-        ok[ok] = self.words[at[ok]] == (word + self.shifts[c])[ok]
-        out[ok] = self.levels[at[ok]]
-        return out
+def kappa_of(order: int, kappa: tuple[float, ...]) -> float:
+    return kappa[min(order - 2, len(kappa) - 1)]
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(-STEPS * np.log10(p)) + 1, 1, 255).astype(np.uint8)
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits as differences, byte plane by byte plane, in one frame: ascending or repeated numbers cost little."""
+    if not arrays or not len(arrays[0]):
+        return b""
+    rows = np.stack([np.diff(a.astype(np.int64).view(np.uint64), prepend=np.uint64(0)) for a in arrays])
+    return zstandard.compress(np.ascontiguousarray(rows.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def unquantise(q: np.ndarray) -> np.ndarray:
-    return np.where(q > 0, 10.0 ** (-(q.astype(np.float64) - 1) / STEPS), 0.0)
+def loosen(data: bytes, arrays: int) -> np.ndarray:
+    """The arrays of ``squeeze``, one in each row."""
+    if not data:
+        return np.zeros((arrays, 0), np.int64)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    rows = np.ascontiguousarray(planes.T).view(np.uint64).reshape(arrays, -1)
+    return np.cumsum(rows, axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, compressed: the high planes of small numbers cost nothing."""
-    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+def press(x: np.ndarray) -> bytes:
+    """Unordered codes of 32 bits, byte plane by byte plane."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
-def _loosen(x: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+def unpress(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -161,6 +110,7 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             split = [t.encode("utf-8", "replace").lower().split() for t in batch.column("text").to_pylist()]
             many = np.fromiter(map(len, split), np.int64, len(split))
             coded = pa.array([w for t in split for w in t], pa.binary()).dictionary_encode()
+            del split
             ids = batch.column("id").to_pylist()
             tokens = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32) + 1, np.cumsum(many), np.uint32(0))
             train = np.repeat(np.array([not held_out(i) for i in ids]), many + 1)
@@ -168,7 +118,7 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words = pa.concat_arrays([pa.array([b""], pa.binary()), coded.dictionary.cast(pa.binary())])
             one = pa.array([0, len(words)], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([(many + 1).tolist()], pa.list_(pa.int32())), pa.array([_squeeze(tokens)], pa.binary()), pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(counts.astype(np.int64)))],
+                [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([(many + 1).tolist()], pa.list_(pa.int32())), pa.array([press(tokens)], pa.binary()), pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(counts.astype(np.int64)))],
                 ["block", "ids", "sizes", "tokens", "words", "counts"],
             )
             block += 1
@@ -177,164 +127,287 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return write_shared(rows.mapInArrow(run, BLOCKS), "lm-blocks")
 
 
-def settle_words(blocks: DataFrame) -> tuple[DataFrame, dict[int, int], int, int]:
-    """Counts and numbers of all local words: rows packed by block; each partition's first number; all training tokens; distinct words.
+_WORD_ROWS = "block long, at int, part int, place long, count long"
 
-    One shuffle brings the local words of all blocks together by word; a
-    word has one row in a block at most, so a frequent word isn't a hot key.
+
+def settle_words(blocks: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
+    """``to, at, part, place, count`` of all local words that training has; each part's first number; all training tokens; distinct words.
+
+    One shuffle brings the local words of all blocks together; they stream by
+    in the order of words, and a task holds the rows of one word: one for each
+    block that has it.  Their number is ``place`` behind the first of their part.
     """
+    names = ["block", "at", "part", "place", "count"]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        coded = rows.column("word").combine_chunks()
-        coded = (coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded).dictionary_encode()
-        code = coded.indices.to_numpy()
-        total = np.bincount(code, rows.column("count").to_numpy(), len(coded.dictionary)).astype(np.int64)
-        place = np.cumsum(total > 0) - 1
-        part = pa.array([TaskContext.get().partitionId()], pa.int32())
-        block, at = rows.column("block").to_numpy(), rows.column("at").to_numpy()
-        order = np.lexsort((at, block))
-        order = order[total[code[order]] > 0]
-        first = np.flatnonzero(np.diff(block[order], prepend=-1))
-        none = pa.array([None], pa.binary())
-        yield pa.RecordBatch.from_arrays([part, pa.array([None], pa.int64()), none, none, none, pa.array([int((total > 0).sum())]), pa.array([int(total.sum())])], names)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
-            own = order[a:b]
-            packed = (at[own].astype("<u4"), place[code[own]].astype("<u4"), total[code[own]].astype("<i8"))
-            yield pa.RecordBatch.from_arrays([part, pa.array([block[own[0]]]), *(pa.array([_squeeze(x)], pa.binary()) for x in packed), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names)
-
-    names = ["part", "to", "at", "place", "count", "distinct", "total"]
-    entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "e")).select("block", "at", F.col("e.words").alias("word"), F.col("e.counts").alias("count"))
-    settled = write_shared(entries.repartition("word").mapInArrow(settle, "part int, to long, at binary, place binary, count binary, distinct long, total long"), "lm-words")
-    parts = settled.filter("to is null").select("part", "distinct", "total").orderBy("part").collect()
-    offsets, distinct = {}, 0
-    for r in parts:
-        offsets[r["part"]], distinct = distinct, distinct + r["distinct"]
-    if distinct >= START:
-        raise ValueError("more distinct words than 32-bit numbers")
-    return settled.filter("to is not null").select(*names[:5]), offsets, sum(r["total"] for r in parts), distinct
-
-
-class BlockPairs(NamedTuple):
-    keys: np.ndarray  # ascending distinct pairs with known words
-    counts: np.ndarray  # in training documents
-    contexts: np.ndarray  # counts of the pairs' contexts
-    bucket: np.ndarray
+        part, place, total = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []  # of the last word so far: blocks, places and counts
+        last = None
+
+        def rows(block: np.ndarray, at: np.ndarray, places: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(block), pa.array(at, pa.int32()), pa.array(np.full(len(block), part), pa.int32()), pa.array(places), pa.array(count)], names)
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            """The rows of the word that is held."""
+            nonlocal place, total, held
+            block, at, count = (np.concatenate(x) for x in zip(*held))
+            n = int(count.sum())
+            held = []
+            if n:
+                yield rows(block, at, np.full(len(block), place), np.full(len(block), n))
+                place, total = place + 1, total + n
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("word").dictionary_encode()
+            code = coded.indices.to_numpy()
+            block, at, count = (batch.column(c).to_numpy() for c in ("block", "at", "count"))
+            cuts = np.flatnonzero(np.diff(code)) + 1
+            same = last is not None and coded.dictionary[0].as_py() == last
+            if held and not same:
+                yield from finish()
+            begin = 0
+            if same:
+                begin = int(cuts[0]) if len(cuts) else len(code)
+                held.append((block[:begin], at[:begin], count[:begin]))
+                if len(cuts):
+                    yield from finish()
+            # Whole words of this batch, all but its last one.
+            end = int(cuts[-1]) if len(cuts) else begin
+            if end > begin:
+                inner = code[begin:end] - code[begin]
+                sums = np.bincount(inner, count[begin:end]).astype(np.int64)
+                places = place + np.cumsum(sums > 0) - 1
+                kept = np.flatnonzero(sums[inner] > 0)
+                yield rows(block[begin:end][kept], at[begin:end][kept], places[inner[kept]], sums[inner[kept]])
+                place, total = place + int((sums > 0).sum()), total + int(sums.sum())
+            if end < len(code):
+                held.append((block[end:], at[end:], count[end:]))
+            last = coded.dictionary[int(code[-1])].as_py()
+        if held:
+            yield from finish()
+        # A row without a place in a block tells how many words the part has, and their count.
+        yield rows(np.array([-1]), np.array([-1]), np.array([place]), np.array([total]))
+
+    local = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "e")).select("block", "at", F.col("e.words").alias("word"), F.col("e.counts").alias("count"))
+    many = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    parts = max(blocks.sparkSession.sparkContext.defaultParallelism, int(many) // BUCKET_PAIRS + 1)
+    settled = write_shared(local.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(settle, _WORD_ROWS), "lm-words")
+    found = settled.filter("at < 0").select("part", "place", "count").collect()
+    first = np.zeros(max((r["part"] for r in found), default=0) + 2, np.int64)
+    for r in found:
+        first[r["part"] + 1] = r["place"]
+    first = np.cumsum(first)
+    return settled.filter("at >= 0").withColumnRenamed("block", "to"), first, sum(r["count"] for r in found), int(first[-1])
+
+
+class Grams(NamedTuple):
+    """A block's distinct pairs of context and word at one order, ready to be asked for."""
+
+    context: np.ndarray  # of each pair: the node of its context,
+    word: np.ndarray  # its word's number,
+    seen: np.ndarray  # its count in training documents of the block,
+    many: np.ndarray  # the count of its context
+    order: np.ndarray  # pairs as they are sent: by bucket, context and word
+    cuts: np.ndarray  # where each bucket's pairs begin in that order
+
+
+class Answers(NamedTuple):
+    level: np.ndarray  # quantised probability, 0: not in training
+    weight: np.ndarray  # quantised back-off weight of the context
+    node: np.ndarray  # -1: not in training
+    count: np.ndarray
+
+
+class Step(NamedTuple):
+    """Where a block's tokens stand at one order."""
+
+    own: np.ndarray  # each token's context as a place in ``nodes`` and ``counts``, or -1
+    nodes: np.ndarray
+    counts: np.ndarray
     pair: np.ndarray  # of each token: its pair, or -1
-    word_count: np.ndarray  # of each token
-    context_count: np.ndarray  # of each token's context
-    ends: np.ndarray
-
-
-def block_pairs(sizes: np.ndarray, tokens: np.ndarray, numbers: np.ndarray, counts: np.ndarray, train: np.ndarray, starts: int, total: int, buckets: int) -> BlockPairs:
-    ends = np.cumsum(sizes)
-    begin = ends - sizes
-    number, count = numbers[tokens], counts[tokens]
-    context = np.concatenate([[START], number[:-1]]).astype(np.uint64) if len(tokens) else np.empty(0, np.uint64)
-    context_count = np.concatenate([[0], count[:-1]]) if len(tokens) else np.empty(0, np.int64)
-    context[begin], context_count[begin] = START, starts
-    known = (count > 0) & (context_count > 0)
-    keys, back = np.unique((context[known] << np.uint64(32)) | number[known].astype(np.uint64), return_inverse=True)
-    pair = np.full(len(tokens), -1, np.int64)
-    pair[known] = back
-    own = np.zeros(len(keys), np.int64)
-    own[back] = context_count[known]
-    seen = np.bincount(back[np.repeat(train, sizes)[known]], minlength=len(keys))
-    a, b = keys >> np.uint64(32), keys & np.uint64(UNKNOWN)
-    # The words after a frequent context are spread over all buckets.
-    wide = own * 4 * buckets > total
-    mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ np.where(wide, b * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
-    return BlockPairs(keys, seen, own, ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64), pair, count, context_count, ends)
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kappa: float = KAPPA) -> DataFrame:
+    keys: np.ndarray  # the pairs: context * 2**32 + local word
+
+    def context_count(self) -> np.ndarray:
+        return np.where(self.own >= 0, self.counts[self.own], 0)
+
+
+class Block:
+    """A coded block, and what levels have answered so far."""
+
+    def __init__(self, row: dict, setting: tuple[int, int, int]) -> None:
+        self.total, self.distinct, self.buckets = setting
+        self.ids, self.sizes = row["ids"], np.array(row["sizes"], np.int64)
+        self.tokens = unpress(row["tokens"])
+        self.numbers, self.word_counts = loosen(row["numbers"], 2)
+        self.answers = [Answers(*loosen(x, 4)) for x in row["answers"]]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _step(self, own: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> Step:
+        own[self.starts] = 0 if nodes is self.numbers else -1
+        known = (own >= 0) & (counts[own] > 0) & (self.word_counts[self.tokens] > 0)
+        keys, back = np.unique((own[known] << 32) | self.tokens[known], return_inverse=True)
+        pair = np.full(len(own), -1, np.int64)
+        pair[known] = back
+        return Step(own, nodes, counts, pair, keys)
+
+    def steps(self) -> list[Step]:
+        """One step for each order that is answered, then that of the next one."""
+        # The end of a text, code 0, is also the context of a first word.
+        out = [self._step(np.concatenate([[0], self.tokens[:-1]]), self.numbers, self.word_counts)]
+        for done in self.answers:
+            own = np.concatenate([[-1], out[-1].pair[:-1]])
+            if not len(done.node):
+                done = Answers(*(np.full(1, -1, np.int64),) * 3, np.zeros(1, np.int64))
+            own[done.node[own] < 0] = -1
+            out.append(self._step(own, done.node, done.count))
+        return out
+
+    def grams(self, step: Step) -> Grams:
+        a, b = step.keys >> 32, step.keys & 0xFFFFFFFF
+        train = np.repeat(np.array([not held_out(i) for i in self.ids], bool), self.sizes)
+        seen = np.bincount(step.pair[train & (step.pair >= 0)], minlength=len(step.keys))
+        context, word, many = step.nodes[a], self.numbers[b], step.counts[a]
+        # The words after a frequent context are spread over all buckets; others lie where their context does.
+        wide = many * 4 * self.buckets > self.total
+        mixed = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= np.where(wide, word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
+        bucket = ((mixed >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
+        if step.nodes is not self.numbers:
+            bucket = np.where(wide, bucket, context >> NODE_BITS)
+        order = np.argsort(bucket.astype(np.min_scalar_type(self.buckets)), kind="stable")
+        return Grams(context, word, seen, many, order, np.searchsorted(bucket[order], np.arange(self.buckets + 1)))
+
+
+def _answer(order: int, kappa: float):
+    """A bucket's level from all blocks' pairs, and its answer to each block."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        cells = [loosen(x, 4) for x in rows.column("cell").to_pylist()]
+        context, word, seen, many = (np.concatenate(x) for x in zip(*cells))
+        contexts, c = np.unique(context, return_inverse=True)
+        words, w = np.unique(word, return_inverse=True)
+        pairs, first, back = np.unique((c << 32) | w, return_index=True, return_inverse=True)
+        count = np.bincount(back, seen, len(pairs)).astype(np.int64)
+        del c, w, seen
+        c, w, many = contexts[pairs >> 32], words[pairs & 0xFFFFFFFF], many[first]
+        weights = quantise(kappa / (many + kappa))
+        kept = count > 0
+        with tempfile.TemporaryFile() as file:
+            file.write(Level.build(c[kept], w[kept], quantise(count[kept] / (many[kept] + kappa)), weights[kept]))
+            file.flush()
+            level = Level(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+            at, place = level.find(c, w)
+            known, there = at >= 0, place >= 0
+            levels = np.where(known, level.levels[at] if level.words.n else 0, 0)
+            # A context that has no pair in this bucket has its weight from its count.
+            weights = np.where(there, level.weights[place] if level.contexts.n else 0, weights)
+            nodes = np.where(known, (key[0].as_py() << NODE_BITS) + at, -1)
+            del level
+        out, end = [], 0
+        for cell in cells:
+            own = back[end : end + cell.shape[1]]
+            end += cell.shape[1]
+            out.append(squeeze(levels[own], weights[own], *((nodes[own], np.where(known[own], count[own], 0)) if order < ORDER else ())))
+        return pa.table([rows.column("block"), rows.column("bucket"), pa.array(out, pa.binary())], names=["to", "bucket", "answer"])
+
+    return run
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kappa: tuple[float, ...] = KAPPA) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     Documents whose id has a crc32 of 2 modulo 7 are held out; those without an
     id train.  A null text is empty: its one token is the end.  Repeated rows
     count as often as they stand.  Every text is used whole; other columns are
-    left out.  With no training document every probability is 1 in 1.
+    left out.  With no training document every probability is 1 in 1.  A block
+    holds 8 MB of texts, or one longer text.
     """
     spark = docs.sparkSession
     blocks = make_blocks(docs, id_col, text_col)
-    settled, offsets, total, distinct = settle_words(blocks)
-    sums = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + s)).alias("tokens"), F.sum(F.element_at("counts", 1)).alias("starts")).first()
-    tokens_in_all, starts = int(sums["tokens"] or 0), int(sums["starts"] or 0)
-    buckets = max(4, tokens_in_all // BUCKET_PAIRS)
+    settled, first, total, distinct = settle_words(blocks)
+    tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + s))).first()[0] or 0
+    setting = (total, distinct, max(4, int(tokens) // BUCKET_PAIRS))
+    fields = "block long, ids array<long>, sizes array<int>, tokens binary, numbers binary, answers array<binary>"
+    names = ["block", "ids", "sizes", "tokens", "numbers", "answers"]
 
     def number(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        n = len(left.column("counts")[0])
-        numbers, counts = np.full(n, UNKNOWN, np.uint32), np.zeros(n, np.int64)
-        for part, at, place, count in zip(*(right.column(c).to_pylist() for c in ("part", "at", "place", "count"))):
-            at = _loosen(at, "<u4")
-            numbers[at] = _loosen(place, "<u4") + np.uint32(offsets[part])
-            counts[at] = _loosen(count, "<i8")
-        cols = [left.column(c) for c in ("block", "ids", "sizes", "tokens")]
-        return pa.table([*cols, pa.array([_squeeze(numbers)], pa.binary()), pa.array([_squeeze(counts)], pa.binary())], names=CODED)
-
-    CODED = ["block", "ids", "sizes", "tokens", "numbers", "word_counts"]
-    coded = blocks.select("block", "ids", "sizes", "tokens", "counts").groupBy("block").cogroup(settled.groupBy("to"))
-    coded = write_shared(coded.applyInArrow(number, "block long, ids array<long>, sizes array<int>, tokens binary, numbers binary, word_counts binary"), "lm-coded")
-    release_shuffles(spark)
-
-    def pairs_of(ids: list, sizes: list, tokens: bytes, numbers: bytes, counts: bytes) -> BlockPairs:
-        train = np.array([not held_out(i) for i in ids], bool)
-        return block_pairs(np.array(sizes, np.int64), _loosen(tokens, "<u4"), _loosen(numbers, "<u4"), _loosen(counts, "<i8"), train, starts, total, buckets)
+        n = left.column("n_words")[0].as_py()
+        numbers, counts = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        at = right.column("at").to_numpy()
+        numbers[at] = right.column("place").to_numpy() + first[right.column("part").to_numpy()]
+        counts[at] = right.column("count").to_numpy()
+        # Codes follow numbers, so that pairs in the order of codes are in the order of numbers.
+        order = np.concatenate([[0], np.argsort(numbers[1:], kind="stable") + 1])
+        code = np.empty(n, np.int64)
+        code[order] = np.arange(n)
+        tokens = press(code[unpress(left.column("tokens")[0].as_py())])
+        return pa.table([*(left.column(c) for c in names[:3]), pa.array([tokens], pa.binary()), pa.array([squeeze(numbers[order], counts[order])], pa.binary()), pa.array([[]], pa.list_(pa.binary()))], names=names)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                block, *rest = (batch.column(c)[k].as_py() for c in CODED)
-                p = pairs_of(*rest)
-                order = np.argsort(p.bucket, kind="stable")
-                cuts = np.searchsorted(p.bucket[order], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    mine = order[cuts[b] : cuts[b + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block]), *(pa.array([_squeeze(x)], pa.binary()) for x in (np.diff(p.keys[mine], prepend=np.uint64(0)), p.counts[mine].astype("<u4"), p.contexts[mine].astype("<i8")))], ["bucket", "block", "keys", "counts", "contexts"])
-
-    def answer(key: tuple, rows: pa.Table) -> pa.Table:
-        blocks_ = rows.column("block").to_pylist()
-        asked = [np.cumsum(_loosen(x, "<u8"), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
-        seen = np.concatenate([_loosen(x, "<u4") for x in rows.column("counts").to_pylist()]).astype(np.int64)
-        context = np.concatenate([_loosen(x, "<i8") for x in rows.column("contexts").to_pylist()])
-        keys, first, back = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-        count = np.bincount(back, weights=seen)
-        kept = count > 0
-        trie = Trie(Trie.build(keys[kept], quantise(count[kept] / (context[first][kept] + kappa))))
-        found = [trie.find((k >> np.uint64(32)).astype(np.int64), (k & np.uint64(UNKNOWN)).astype(np.int64)) for k in asked]
-        return pa.table([pa.array(blocks_, pa.int64()), pa.array([key[0].as_py()] * len(blocks_), pa.int32()), pa.array([_squeeze(f) for f in found], pa.binary())], names=["block", "bucket", "levels"])
+                row = batch.slice(k, 1).to_pylist()[0]
+                block = Block(row, setting)
+                g = block.grams(block.steps()[-1])
+                cells, buckets = [], np.flatnonzero(np.diff(g.cuts))
+                for b in buckets.tolist():
+                    own = g.order[g.cuts[b] : g.cuts[b + 1]]
+                    cells.append(squeeze(g.context[own], g.word[own], g.seen[own], g.many[own]))
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([row["block"]] * len(cells), pa.int64()), pa.array(cells, pa.binary())], ["bucket", "block", "cell"])
+
+    def gather(g: Grams, right: pa.Table, parts: int) -> np.ndarray:
+        out = np.zeros((4, len(g.context)), np.int64)
+        for b, x in zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist()):
+            out[:parts, g.order[g.cuts[b] : g.cuts[b + 1]]] = loosen(x, parts)
+        return out
 
-    asked = coded.mapInArrow(ask, "bucket int, block long, keys binary, counts binary, contexts binary")
-    answers = write_shared(asked.groupBy("bucket").applyInArrow(answer, "block long, bucket int, levels binary"), "lm-answers")
-    release_shuffles(spark)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    def absorb(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        block = Block(row, setting)
+        g = block.grams(block.steps()[-1])
+        row["answers"].append(squeeze(*gather(g, right, 4)))
+        return pa.Table.from_pylist([row], pa.schema([(n, left.schema.field(n).type) for n in names]))
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return SCORES.empty_table()
-        _, ids, *rest = (left.column(c)[0].as_py() for c in CODED)
-        p = pairs_of(ids, *rest)
-        level = np.zeros(len(p.keys), np.uint8)
-        order = np.argsort(p.bucket, kind="stable")
-        cuts = np.searchsorted(p.bucket[order], np.arange(buckets + 1))
-        for b, x in zip(right.column("bucket").to_pylist(), right.column("levels").to_pylist()):
-            level[order[cuts[b] : cuts[b + 1]]] = _loosen(x, "u1")
-        base = (p.word_count + 1) / (total + distinct + 1)
-        first = np.zeros(len(base))
-        first[p.pair >= 0] = unquantise(level)[p.pair[p.pair >= 0]]
-        value = np.log10(first + kappa / (p.context_count + kappa) * base)
+        block = Block(left.to_pylist()[0], setting)
+        steps = block.steps()
+        answers = [*block.answers, Answers(*gather(block.grams(steps[-1]), right, 2))]
+        count = block.word_counts[block.tokens]
+        base = (count + 1) / (total + distinct + 1)
+        value = base.copy()
+        for order, (step, a) in enumerate(zip(steps, answers), 2):
+            k = kappa_of(order, kappa)
+            weight = quantise(k / (step.context_count() + k))
+            has = step.pair >= 0
+            weight[has] = a.weight[step.pair[has]]
+            level = np.zeros(len(value), np.uint8)
+            level[has] = a.level[step.pair[has]]
+            value = unquantise(level) + unquantise(weight) * value
 
         def by_doc(x: np.ndarray) -> np.ndarray:
-            return np.add.reduceat(x, p.ends - np.array(rest[0])) if len(ids) else x
+            return np.add.reduceat(x, block.starts) if len(block.ids) else x
 
-        n = len(ids)
-        return pa.table([pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(rest[0], pa.int64()), pa.array(by_doc((p.word_count > 0).astype(np.int64))), pa.array(np.full(n, total)), pa.array(by_doc(np.log10(base))), pa.array(by_doc(value))], names=names)
+        n = len(block.ids)
+        cols = [pa.array(block.ids, pa.int64()), pa.array([held_out(i) for i in block.ids]), pa.array(block.sizes), pa.array(by_doc((count > 0).astype(np.int64))), pa.array(np.full(n, total)), pa.array(by_doc(np.log10(base))), pa.array(by_doc(np.log10(value)))]
+        return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in names[2:5]), *((c, pa.float64()) for c in names[5:])])
-    return coded.groupBy("block").cogroup(answers.select(F.col("block").alias("to"), "bucket", "levels").groupBy("to")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    left = blocks.select(*names[:4], F.size("words").alias("n_words")).groupBy("block")
+    coded = write_shared(left.cogroup(settled.groupBy("to")).applyInArrow(number, fields), "lm-coded")
+    drop_shared(blocks)
+    release_shuffles(spark)
+    for order in range(2, ORDER + 1):
+        asked = coded.mapInArrow(ask, "bucket long, block long, cell binary")
+        answers = write_shared(asked.groupBy("bucket").applyInArrow(_answer(order, kappa_of(order, kappa)), "to long, bucket long, answer binary"), "lm-answers")
+        release_shuffles(spark)
+        met = coded.groupBy("block").cogroup(answers.groupBy("to"))
+        if order < ORDER:
+            before, coded = coded, write_shared(met.applyInArrow(absorb, fields), "lm-coded")
+            drop_shared(before)
+            drop_shared(answers)
+            release_shuffles(spark)
+    return met.applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
