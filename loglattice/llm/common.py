@@ -61,23 +61,38 @@ def drop_shared(df: DataFrame) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs."""
+    """Let Spark's cleaner drop the shuffle files of finished jobs soon.
+
+    Spark drops them once the driver has collected their handles as garbage,
+    and offers nothing to ask for that; where the driver can't be reached this
+    way (Spark Connect) the files only stay longer.
+    """
     import gc
 
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = getattr(getattr(spark, "_sc", None), "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about ``most`` bytes in ``column``."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int, field: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``most`` bytes in ``column``, or in a ``field`` of that struct.
+
+    What Arrow holds free is given back after each batch, since Spark keeps
+    Python workers for later tasks.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        texts = batch.column(column) if field is None else batch.column(column).field(field).cast(pa.string())
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        del texts
         group = (np.cumsum(size.astype(np.int64)) - size) // most
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def text_of(df: DataFrame, text_col: str):

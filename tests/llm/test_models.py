@@ -89,26 +89,31 @@ def test_lm_without_documents(spark, make_docs):
     assert lm.score_documents(make_docs([(1, "a")]).filter("false")).count() == 0
 
 
-def test_neighbours_are_exact():
+@pytest.mark.parametrize("rare", [1, 5, 10**6])
+def test_neighbours_are_exact(rare):
+    """With all terms frequent, some, and none."""
     rng = random.Random(5)
-    terms = {f"t{k}": k for k in range(30)}
-    idf = np.array([1 + rng.random() for _ in terms])
-    vectors = [{rng.randrange(30): rng.randint(1, 3) for _ in range(rng.randint(0, 5))} for _ in range(700)]
-    index = toxicity.build_index(terms, idf, list(range(700)), [k % 3 == 0 for k in range(700)], vectors)
-    full = [v for v in vectors if v]
-    for _ in range(50):
-        q = {rng.randrange(30): rng.randint(1, 2) for _ in range(rng.randint(1, 6))}
-        t, w = toxicity.vector(q, idf)
-        mine = dict(zip(t.tolist(), w.tolist()))
-        sims = []
-        for k, v in enumerate(full):
-            s = sum(mine.get(a, 0) * b for a, b in zip(*(x.tolist() for x in toxicity.vector(v, idf))))
-            if s > 0:
-                sims.append((-round(s, 12), k))
-        best, cosines = toxicity.nearest(index, t, w)
-        want = dict((k, -s) for s, k in sims)
-        assert cosines.tolist() == pytest.approx([-s for s, _ in sorted(sims)[: toxicity.NEIGHBOURS]], abs=1e-9)
-        assert all(want[b] == pytest.approx(c, abs=1e-9) for b, c in zip(best.tolist(), cosines.tolist()))
+    made = []
+    for _ in range(700):
+        counts = {rng.randrange(5 + rng.randrange(60)): rng.randint(1, 3) for _ in range(rng.randint(0, 6))}
+        made.append((np.array(sorted(counts), np.uint64), np.array([counts[t] for t in sorted(counts)], np.int64)))
+    index = toxicity.build_index(list(range(700)), [k % 3 == 0 for k in range(700)], made, rare)
+    df = Counter(int(t) for h, _ in made for t in h)
+    assert set(df) == set(index.terms.tolist())
+
+    def unit(h, c):
+        w = {int(t): (1 + math.log(n)) * index.weight[np.searchsorted(index.terms, t)] for t, n in zip(h, c.tolist()) if int(t) in df}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    for q in range(0, 700, 9):
+        for without in (-1, int(np.flatnonzero(index.ids == q)[0])):
+            mine = unit(*made[q])
+            sims = {k: sum(x * unit(*made[int(i)]).get(t, 0) for t, x in mine.items()) for k, i in enumerate(index.ids) if k != without}
+            best, cosines = toxicity.nearest(index, *toxicity.vector(index, *made[q]), without=without)
+            want = sorted((s for s in sims.values() if s > 1e-6), reverse=True)[: toxicity.NEIGHBOURS]
+            assert cosines.tolist() == pytest.approx(want, abs=1e-6) and len(set(best.tolist())) == len(best)
+            assert all(sims[b] == pytest.approx(c, abs=1e-6) for b, c in zip(best.tolist(), cosines.tolist()))
 
 
 def test_toxicity(spark, make_docs, odd_rows, prose):
@@ -130,8 +135,16 @@ def test_toxicity(spark, make_docs, odd_rows, prose):
     assert len(scored) == len(rows) + len(odd_rows) and all(0 <= r["__score"] <= 1 for r in scored)
     assert all((by[i]["__score"] >= 0.5) == bool(y) for i, y in labels[200:])
     assert all(e["label"] == 1 for e in by[300]["__evidence"])
-    nothing = toxicity.learn(docs, known.filter("false"))
-    assert {r["__score"] for r in toxicity.score_toxicity(docs, nothing).collect()} == {0.5}
+    assert all(r["__evidence"] for r in scored if (r["doc_id"] or 0) >= 100)
+    for none in (known.filter("false"), known.filter("toxic = 0"), spark.createDataFrame([(77, 1)], "doc_id long, toxic int")):
+        nothing = toxicity.learn(docs, none)
+        assert {r["__score"] for r in toxicity.score_toxicity(docs, nothing).collect()} == {0.5}
+    assert not toxicity.learn(docs.filter("false"), known).learned
+    twice = toxicity.learn(docs.union(docs), known)
+    assert twice.ids.tolist() == index.ids.tolist() and np.allclose(twice.weight, index.weight)
+    assert len(toxicity.learn(docs, known, max_examples=50).ids) == 50
+    few = toxicity.learn(docs, known, max_postings=1000)
+    assert len(few.value) + len(few.entry) <= 1000
     assert toxicity.score_toxicity(docs.filter("false"), index).count() == 0
 
 
