@@ -1,29 +1,31 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
-Suffixes are told apart only through ``length`` bytes, most significant digit
-first, and leave the sort as soon as they stand alone:
-
-* First digit: the bytes of one *anchor gram*.  Of each window of ``length``
-  bytes the gram with the least hash is its anchor; equal windows have equal
-  anchors at equal offsets.  So one suffix for each anchor, about one in 75
-  bytes, stands for all windows with that anchor.
-* Second digit: the bytes of all windows of an anchor, its *block*.  Equal
-  blocks settle all their windows at once: these are repeated.
-* Third digit, only within grams that have several different blocks: each
-  window's own bytes, or first those of cells of several windows.  Equal groups
-  of two or more are the repeated windows.
-
-Counts are partial aggregates and joins on hashes of the digits, 128 bits
-together.  Grams with few blocks are finished within a task, which holds one
-such group at a time; those with more over all tasks.
+A sort of all suffixes would shuffle one row for each byte.  So candidates are
+thinned first: of each window of ``length`` bytes the 50-byte gram with the
+least hash is its *anchor*, and all windows with one anchor are one *block*.
+Equal windows have equal anchors at equal offsets, so only blocks with equal
+grams can share a window; there is about one in 75 bytes, and one for each byte
+where a text repeats a single byte.  This loses nothing.
+
+What is left is sorted most significant digit first, and what stands alone
+leaves after each pass:
+
+* First digit: the anchor gram.  Grams with one block leave; equal blocks are
+  equal through ``length`` bytes in all their windows, so these are repeated.
+* Then, within grams that have several different blocks, the suffixes that
+  start at each window, by 8 bytes a pass through ``length`` bytes: groups of
+  two or more that are left are exactly the repeated windows.
+
+The second part runs within a task, which holds one run of whole grams at a
+time.  A gram with over ``GROUP_BLOCKS`` blocks is sorted over all tasks
+instead, by digits that are whole cells of windows, 16, 4, and 1 wide, with
+counts as partial aggregates and joins on 128 bits of hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ GRAM = 50
 GROUP_BLOCKS = 256
 #: Windows in a cell, pass by pass, where blocks are compared over all tasks.
 CELLS = (16, 4, 1)
-#: Bytes that are hashed at once; positions in them fit the low bits of a key.
-RUN = 1 << 22
+#: Bytes that are hashed, or sorted, at once; positions in them fit the low bits of a key.
+RUN = 1 << 18
 _POSITION_BITS = 23
 _BASE = 0x5851F42D4C957F2D  # odd multipliers of 64 bits
 _STIR = np.uint64(0x9E3779B97F4A7C15)
@@ -150,7 +152,7 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -
                 )
 
     def block_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", 1 << 20):
             rows = []
             for i, key, text, todo in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "text", "todo"))):
                 data = text.encode("utf-8", "replace")
@@ -172,44 +174,75 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     todo = todo.groupBy("one.id", "one.key").agg(F.collect_list(F.struct("gram", "block", "several", "open", "one.first", "one.many", "one.lead")).alias("todo"))
     held = write_shared(keyed.join(todo, KEYS).mapInArrow(block_bytes, "gram long, block long, several long, open boolean, id long, key long, first long, lead int, bytes binary"), "anchor-bytes")
     release_shuffles(keyed.sparkSession)
-    few = held.filter(F.col("several") <= GROUP_BLOCKS).repartition("gram").sortWithinPartitions("gram").mapInArrow(_within_groups(length), SPANS)
-    many = _across_tasks(held.filter(F.col("several") > GROUP_BLOCKS), length)
+    few = held.filter(F.col("several") <= GROUP_BLOCKS).repartition("gram").sortWithinPartitions("gram", "block").mapInArrow(_within_groups(length), SPANS)
+    many = _across_tasks(held.filter(F.col("several") > GROUP_BLOCKS).dropDuplicates(["gram", "block"]), length)
     return settled.union(few) if many is None else settled.union(few).union(many)
 
 
-def _windows(data: bytes, length: int) -> list[bytes]:
-    return [data[a : a + length] for a in range(len(data) - length + 1)]
+def repeated_suffixes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """Whether the ``depth`` bytes from each start on are also those of another start of its group.
+
+    A radix sort from the most significant digit of 8 bytes on; a suffix leaves
+    as soon as it stands alone.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    digits = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        digits = (digits << np.uint64(8)) | padded[k : k + len(data)]
+    left = np.arange(len(starts))
+    for at in range(0, depth, 8):
+        digit = digits[starts[left] + at] >> np.uint64(8 * max(0, at + 8 - depth))
+        order = np.lexsort((digit, group))
+        left, digit, group = left[order], digit[order], group[order]
+        first = np.ones(len(left), bool)
+        first[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        together = ~(first & np.append(first[1:], True))
+        group = np.cumsum(first)[together]
+        left = left[together]
+        if not len(left):
+            break
+    out = np.zeros(len(starts), bool)
+    out[left] = True
+    return out
 
 
 def _within_groups(length: int):
-    """Repeated windows of the open blocks of each gram, a group of at most ``GROUP_BLOCKS`` blocks at a time."""
+    """Repeated windows of the open blocks of each gram, with rows in the order of grams and blocks; whole grams are sorted together."""
+
+    def spans(rows: list[tuple]) -> pa.RecordBatch:
+        gram, _, is_open, ids, keys, firsts, data = (list(c) for c in zip(*rows))
+        many = np.array([len(d) - length + 1 for d in data], np.int64)
+        size = many + length - 1
+        owner = np.repeat(np.arange(len(rows)), many)
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        starts = np.repeat(np.cumsum(size) - size, many) + within
+        hit = repeated_suffixes(np.frombuffer(b"".join(data), np.uint8), starts, np.array(gram, np.int64)[owner], length) & np.array(is_open)[owner]
+        edge = np.diff(hit.astype(np.int8), prepend=0)
+        inner = hit & ((edge == 1) | np.append(True, owner[1:] != owner[:-1]))
+        first = np.flatnonzero(inner)
+        run = np.cumsum(inner)[hit] - 1
+        own = owner[first]
+        return _span_batch([np.array(ids, np.int64)[own], np.array(keys, np.int64)[own], np.array(firsts, np.int64)[own] + within[first], np.bincount(run, minlength=len(first))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int, int]] = []
-        stream = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "open", "id", "key", "first", "bytes"))))
-        for _, group in groupby(stream, key=lambda r: r[0]):
-            rows = list(group)
-            cut = [_windows(r[5], length) for r in rows]
-            seen = Counter(w for ws in cut for w in ws)
-            for (_, is_open, i, key, first, _), ws in zip(rows, cut):
-                if is_open:
-                    at = 0
-                    for again, part in groupby(ws, key=lambda w: seen[w] > 1):
-                        n = sum(1 for _ in part)
-                        if again:
-                            out.append((i, key, first + at, n))
-                        at += n
-            if len(out) >= 10_000:
-                yield _span_batch(out)
-                out = []
-        if out:
-            yield _span_batch(out)
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "block", "open", "id", "key", "first", "bytes"))):
+                if held and row[:2] == held[-1][:2]:
+                    continue  # of a row that is repeated
+                if size > RUN and row[0] != held[-1][0]:
+                    yield spans(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[-1])
+        if held:
+            yield spans(held)
 
     return run
 
 
-def _span_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["id", "key", "first", "many"])
+def _span_batch(cols: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["id", "key", "first", "many"])
 
 
 def _cell_hashes(size: int, length: int):
@@ -243,6 +276,7 @@ def _across_tasks(held: DataFrame, length: int) -> DataFrame | None:
     is left is cut into smaller cells, together with one block for each
     settled cell that could still match.
     """
+    held = write_shared(held, "cell-bytes")
     if held.isEmpty():
         return None
     lowest = F.col("lead") - F.octet_length("bytes") + length
@@ -279,33 +313,36 @@ def merge_spans(spans: list[tuple[int, int]], length: int) -> list[tuple[int, in
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc`` (a row's columns), ``text`` and ``spans``, the runs of windows in a text that also start elsewhere (null: none).
+    """``doc`` (a row's columns) and ``spans``, the runs of windows in its text that also start elsewhere (null: none).
 
-    Two rows that agree in id and text count as two places.  A null text is
-    empty; texts under ``length`` bytes repeat nothing.
+    Two rows that agree in id and text count as two places; they have the same
+    spans, which are gathered once.  A null text is empty; texts under
+    ``length`` bytes repeat nothing.
     """
     found = repeated_windows(_keyed(docs, id_col, text_col), length, gram)
-    spans = found.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "many")).alias("spans"))
-    keyed = _keyed(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return keyed.join(spans, KEYS, "left").select("doc", "text", "spans")
+    spans = found.groupBy(*KEYS).agg(F.collect_set(F.struct("first", "many")).alias("spans"))
+    keyed = _keyed(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).drop("text")
+    return keyed.join(spans, KEYS, "left").select("doc", "spans")
+
+
+def _cut(batches: Iterator[pa.RecordBatch], text_col: str, length: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[list[tuple[int, int]]]]]:
+    """Small batches with their texts and the byte ranges to remove."""
+    for batch in slices(batches, "doc", 1 << 20, text_col):
+        texts = batch.column("doc").field(text_col).cast(pa.string()).to_pylist()
+        spans = batch.column("spans").to_pylist()
+        yield batch, [(t or "").encode("utf-8", "replace") for t in texts], [merge_spans([(s["first"], s["many"]) for s in x or []], length) for x in spans]
 
 
 def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                data = text.encode("utf-8", "replace")
-                cut = merge_spans([(s["first"], s["many"]) for s in spans or []], length)
-                rows.append((len(data), sum(b - a for a, b in cut), len(cut), hashlib.sha256(_without(data, cut)).hexdigest()))
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for batch, texts, cuts in _cut(batches, "text", length):
+            rows = [(len(t), sum(b - a for a, b in c), len(c), hashlib.sha256(_without(t, c)).hexdigest()) for t, c in zip(texts, cuts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc").field("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    marked = with_spans(narrow, length=length, gram=gram).select("doc.doc_id", "text", "spans")
-    return marked.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(narrow, length=length, gram=gram).mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _without(data: bytes, cut: list[tuple[int, int]]) -> bytes:
@@ -323,14 +360,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = with_spans(docs, id_col, text_col, length, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                if spans:
-                    data = text.encode("utf-8", "replace")
-                    text = _without(data, merge_spans([(s["first"], s["many"]) for s in spans], length)).decode("utf-8", "ignore")
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.string()), pa.array([bool(s) for s in batch.column("spans").to_pylist()])], ["doc", "text", "cut"])
+        for batch, texts, cuts in _cut(batches, text_col, length):
+            left = [_without(t, c).decode("utf-8", "ignore") if c else None for t, c in zip(texts, cuts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(left, pa.string()), pa.array([bool(c) for c in cuts])], ["doc", "text", "cut"])
 
     done = source.mapInArrow(cut, f"doc {source.schema['doc'].dataType.simpleString()}, text string, cut boolean")
     done = done.filter(~F.col("cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

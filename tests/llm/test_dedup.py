@@ -48,6 +48,32 @@ def test_suffix_dedup(spark, make_docs, prose, odd_rows, group, run, monkeypatch
     assert sorted((r["doc_id"] or -1, *list(r)[1:]) for r in got) == brute_removal([(i, (t or "").encode()) for i, t in rows], 200)
 
 
+def test_radix_passes():
+    rng = random.Random(3)
+    for depth in (1, 7, 8, 9, 30):
+        for letters in ("ab", "abcdefgh"):
+            data = "".join(rng.choice(letters) for _ in range(300)).encode()
+            starts = np.array(sorted(rng.sample(range(300 - depth), 200)))
+            group = np.array([rng.randrange(3) for _ in starts])
+            seen = Counter((g, data[a : a + depth]) for g, a in zip(group, starts))
+            want = [seen[g, data[a : a + depth]] > 1 for g, a in zip(group, starts)]
+            assert suffix_dedup.repeated_suffixes(np.frombuffer(data, np.uint8), starts, group, depth).tolist() == want
+
+
+@pytest.mark.parametrize("group", [256, 4])
+def test_many_repeated_rows_have_the_spans_of_one(spark, make_docs, prose, group, monkeypatch):
+    """Rows that agree in id and text, and others that share parts of it."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BLOCKS", group)
+    text = prose(300, seed=3)
+    rows = [(1, text)] * 300 + [(k, prose(30, seed=k) + text[7 * k : 7 * k + 400]) for k in range(2, 12)]
+    docs = make_docs(rows)
+    made = suffix_dedup.with_spans(docs).select("doc.doc_id", "spans").collect()
+    own = {len(r["spans"]) for r in made if r["doc_id"] == 1}
+    assert len(own) == 1 and max(own) < len(text) / 20 and len(made) == len(rows)
+    got = suffix_dedup.removal_report(docs).collect()
+    assert sorted(tuple(r) for r in got) == brute_removal([(i, t.encode()) for i, t in rows], 200)
+
+
 def test_removal_keeps_columns(spark, make_docs, prose):
     passage = prose(60, seed=11)
     docs = make_docs([(1, f"first {passage}"), (2, f"{passage} second"), (3, passage), (4, None), (5, "")])
