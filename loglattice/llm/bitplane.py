@@ -109,11 +109,10 @@ def write_shards(
     planes: str = "bit",
     block_ids: int = BLOCK_IDS,
     shard_ids: int = SHARD_IDS,
-    added_tokens: bool = False,
 ) -> DataFrame:
     """Encode every whole text and store the ids in ascending order of ``id_col``.
 
-    With ``added_tokens``, the vocabulary's added tokens count inside texts.
+    The vocabulary's added tokens count inside texts, as in the library.
 
     Null texts are empty and give the end id only; null ids come first; rows
     with one id are ordered by their text.  Other columns are left out, whatever
@@ -131,7 +130,7 @@ def write_shards(
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), *(pa.array([n], pa.int64()) for n in (before, len(keys), len(ids))), pa.array([payload], pa.binary())], ["part", "seq", "before", "n_docs", "n_ids", "payload"])
 
         for batch in slices(batches, "text", 8 << 20):
-            ids, bounds = with_end(*encoder(vocabulary, added_tokens).encode(batch.column("text")), end_id)
+            ids, bounds = with_end(*encoder(vocabulary).encode(batch.column("text")), end_id)
             keys = batch.column("id").to_pylist()
             filled = sum(len(h[2]) for h in held)
             group = (bounds[:-1] + filled) // shard_ids
@@ -178,4 +177,4 @@ def read_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
 def op1_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return read_shards(write_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True))
+    return read_shards(write_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))

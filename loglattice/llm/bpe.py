@@ -22,8 +22,8 @@ from tokenizers import Tokenizer
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A space that doesn't begin a pre-token with what follows.
 LOOSE_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}\x{180e}]|$)"
-#: Entries that the look-up table of one worker holds before it starts anew.
-CACHE_ENTRIES = 1_000_000
+#: Entries that the look-up table of one worker holds before it starts anew, and the longest one, in characters.
+CACHE_ENTRIES, CACHE_LENGTH = 200_000, 64
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -39,18 +39,17 @@ def _byte_alphabet() -> dict[int, str]:
 class BpeEncoder:
     """``encode`` gives the ids of a column of texts and each text's bounds in them.
 
-    With ``added_tokens``, the file's added tokens count where a text holds
-    them, as the library does by default; without, they are text like any other
-    (the library's ``encode_special_tokens``).
+    The file's added tokens count where a text holds them, as in the library;
+    such texts go to the library whole.
     """
 
-    def __init__(self, path: str, added_tokens: bool = False) -> None:
+    def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.model._resize_cache(0)
         self.alphabet = _byte_alphabet()
         self.pretokens: dict[str, bytes] = {}
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: What any text with an added token matches; None if there is none.
         self.added = "|".join(map(regex.escape, added)) or None
 
@@ -59,7 +58,9 @@ class BpeEncoder:
         if len(known) >= CACHE_ENTRIES:
             known.clear()
         mapped = pretoken.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
-        ids = known[pretoken] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        if len(pretoken) <= CACHE_LENGTH:
+            known[pretoken] = ids
         return ids
 
     def _piece(self, text: str) -> bytes:
@@ -124,9 +125,9 @@ class BpeEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, added_tokens: bool = False) -> BpeEncoder:
-    """One encoder for each worker process, vocabulary file and treatment of added tokens."""
-    return BpeEncoder(path, added_tokens)
+def encoder(path: str) -> BpeEncoder:
+    """One encoder for each worker process and vocabulary file."""
+    return BpeEncoder(path)
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,11 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import write_shared
 
+#: Links that a task thins out at once, about.
+FOREST_LINKS = 500_000
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the components of ``u, v``: each node to the least of its component."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in ("u", "v")])
+        size += batch.num_rows
+        if size > FOREST_LINKS:
+            held = [forest(*map(np.concatenate, zip(*held)))]
+            if len(held[0][0]) > FOREST_LINKS // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["u", "v"])
+                held = []
+            size = len(held[0][0]) if held else 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*map(np.concatenate, zip(*held)))], ["u", "v"])
+
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b``), ``root`` the smallest node reachable.
@@ -14,10 +52,14 @@ def components(links: DataFrame) -> DataFrame:
     Each step takes the least neighbour of every node by a partial aggregate and
     joins it back, so a node with very many links is neither collected nor
     windowed; its join partition can be split.  Steps are written to the shared
-    folder.  Null ends and loops are left out; no link gives no row.
+    folder.  Before the first, each task replaces its own links by one for each
+    node, to the least it reaches by these.  Null ends and loops are left out; no link gives no row.
     """
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = write_shared(edges, "star")
+    # Of a group with many links a task keeps one for each node.
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, edges.count() // FOREST_LINKS)
+    edges = write_shared(edges.coalesce(tasks).mapInArrow(_thinned, "u long, v long"), "star")
     state = _state(edges)
     while state[0]:
         edges = write_shared(_small_star(_large_star(edges)), "star")

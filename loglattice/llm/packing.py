@@ -31,7 +31,7 @@ from .common import documents, slices, text_of
 LENGTH = 2048
 SENTENCE_PENALTY = 8
 INNER_PENALTY = 48
-#: Places between far sentence ends at which a cut is allowed.
+#: Places at which a cut is allowed where no end lies within one sequence's length.
 INNER_STEP = 16
 #: Ids over which one run of the recurrence goes.
 RUN_IDS = 1 << 19
@@ -49,12 +49,11 @@ def sentence_ends(tokens: BpeEncoder) -> np.ndarray:
     return out
 
 
-def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which a cut may fall, 0 and the end included, and their penalties."""
+def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions at which a cut may fall, 0 and the end included, and their penalties; ``reach`` is the longest gap without one."""
     stops = np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1
     places = np.union1d(stops, np.concatenate([[0], doc_ends]))
-    gaps = np.diff(places)
-    far = np.flatnonzero(gaps > INNER_STEP * 2)
+    far = np.flatnonzero(np.diff(places) > reach)
     inner = [np.arange(places[k] + INNER_STEP, places[k + 1], INNER_STEP) for k in far]
     at = np.union1d(places, np.concatenate(inner)) if inner else places
     cost = np.full(len(at), INNER_PENALTY)
@@ -84,10 +83,10 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, length: int) -> list[int]:
     return cuts[::-1]
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = LENGTH, added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = LENGTH) -> DataFrame:
     """Pieces of all documents: where each lies in its document and in its sequence.
 
-    With ``added_tokens``, the vocabulary's added tokens count inside texts.
+    The vocabulary's added tokens count inside texts, as in the library.
 
     Null texts are empty: the end id alone.  Rows with one id are ordered by
     their text and are documents of their own.  Other columns are left out,
@@ -100,7 +99,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 33
-        tokens = encoder(vocabulary, added_tokens)
+        tokens = encoder(vocabulary)
         ends = sentence_ends(tokens)
         keys: list[int | None] = []  # of the documents that the held ids belong to
         sizes = np.empty(0, np.int64)
@@ -153,4 +152,4 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

@@ -151,7 +151,9 @@ def test_ball_meets_all_links():
     assert union(fps.tolist(), found) == union(fps.tolist(), true)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [500_000, 30])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "FOREST_LINKS", at_once)
     rng = random.Random(6)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 540)] + [(7, 7)]
     got = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()

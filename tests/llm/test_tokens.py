@@ -18,7 +18,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -108,6 +107,18 @@ def test_cuts_are_the_best():
         assert sum(length - (b - a) + cost[places.index(b)] for a, b in zip(cuts, cuts[1:])) == best[places[-1]]
 
 
+def test_inner_cuts_only_out_of_reach():
+    """Ends of documents and sentences; places in between only in a gap over one sequence's length."""
+    ends = np.array([False, True])
+    ids = np.zeros(1000, np.uint32)
+    ids[[99, 199, 299, 899]] = 1
+    at, cost = packing.candidates(ids, np.array([150, 1000]), ends, 500)
+    inner = at[cost == packing.INNER_PENALTY]
+    assert at[cost == 0].tolist() == [0, 150, 1000] and at[cost == packing.SENTENCE_PENALTY].tolist() == [100, 200, 300, 900]
+    assert len(inner) and ((inner > 300) & (inner < 900)).all()
+    assert not (packing.candidates(ids, np.array([150, 1000]), ends, 600)[1] == packing.INNER_PENALTY).any()
+
+
 def test_little_padding(spark, make_docs, prose):
     rows = packing.pack(make_docs([(i, prose(150 + i)) for i in range(400)]).coalesce(1), PATH, length=512).collect()
     size = {}
@@ -157,7 +168,7 @@ def test_added_tokens_as_the_library_does(spark, tmp_path, make_docs, odd_rows):
     ids = lambda text: t.encode(text or "", add_special_tokens=False).ids
     assert ids("one <|endoftext|> two") == [505, 220, 50256, 734]
     texts = ["".join(rng.choice(["<|endoftext|>", " ", "a", "\n", "é", "<|", "it's", "  "]) for _ in range(rng.randint(0, 9))) for _ in range(2000)]
-    got, at = BpeEncoder(PATH, added_tokens=True).encode(pa.array([*texts, None]))
+    got, at = BpeEncoder(PATH).encode(pa.array([*texts, None]))
     assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [ids(x) for x in [*texts, None]]
     rows = [*odd_rows, (20, "one <|endoftext|> two"), (21, "<|endoftext|>"), (22, "after")]
     docs = make_docs(rows).repartition(3)
