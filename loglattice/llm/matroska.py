@@ -5,7 +5,8 @@ walks the EBML elements of any Matroska file: variable-length ids and sizes
 (unknown sizes too), clusters, simple blocks and block groups, the three kinds
 of lacing, and cues.  A packet's row has its track, timestamp and byte range in
 the file, so that a reader fetches only what it needs; ``tail`` shows that with
-the cues.
+the cues.  Timestamps follow the file's scale; packets of a lace follow each
+other by the track's default duration, or share the block's where that is given.
 """
 
 from __future__ import annotations
@@ -21,20 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, text_of
+from .common import documents, slices, text_of, write_shared
 
 # Element ids and codes: fixed values of the Matroska and EBML specifications.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741, 0x4489
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
+DEFAULT_DURATION, BLOCK_DURATION = 0x23E383, 0x9B
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-#: The elements whose content is elements.
-PARENTS = {SEGMENT, TRACKS, TRACK_ENTRY, AUDIO, INFO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
-#: Children of the segment: one of these ends a cluster of unknown size.
-TOP_LEVEL = {CLUSTER, CUES, TRACKS, INFO}
+SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
+#: What ends a cluster of unknown size: children of the segment, a segment or the head of another file.
+TOP_LEVEL = {CLUSTER, CUES, TRACKS, INFO, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS, SEGMENT, EBML}
 
 FRAME = 192  # samples of a packet
 RATE = 8000
@@ -73,13 +74,13 @@ HEAD = element(
     EBML,
     number(EBML_VERSION, 1) + number(EBML_READ_VERSION, 1) + number(EBML_MAX_ID, 4) + number(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + number(DOC_TYPE_VERSION, 4) + number(DOC_TYPE_READ_VERSION, 2),
 )
-_TRACK = element(
-    TRACKS,
-    element(
-        TRACK_ENTRY,
-        number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">f", RATE)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8)),
-    ),
-)
+
+
+def track(frame: int) -> bytes:
+    """One track of 8-bit samples, ``frame`` of them in a packet."""
+    audio = element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">f", RATE)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))
+    head = number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(DEFAULT_DURATION, 1_000_000_000 * frame // RATE)
+    return element(TRACKS, element(TRACK_ENTRY, head + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
 
 
 def lace(frames: list[bytes], lacing: int) -> bytes:
@@ -104,7 +105,8 @@ def mux(payload: bytes, frame: int = FRAME, lacing: int = 2, laced: int = LACED)
     ms = 1000 * frame // RATE
     frames = [payload[a : a + frame] for a in range(0, len(payload), frame)]
     info = element(INFO, number(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", 1000 * len(payload) / RATE)) + element(MUXING_APP, b"loglattice") + element(WRITING_APP, b"loglattice"))
-    body, cues, at = [info, _TRACK], [], len(info) + len(_TRACK)
+    body, cues = [info, track(frame)], []
+    at = sum(map(len, body))
     for c in range(0, len(frames), laced * BLOCKS):
         blocks = [number(TIMESTAMP, c * ms)]
         for a in range(c, min(c + laced * BLOCKS, len(frames)), laced):
@@ -153,8 +155,15 @@ def elements(data: bytes, at: int, end: int, within: int = 0) -> Iterator[tuple[
         at = stop
 
 
-def block_packets(data: bytes, start: int, end: int, base: int, cluster: int, simple: bool) -> Iterator[Packet]:
-    """The packets of a block, with their byte ranges in ``data``."""
+class Times(NamedTuple):
+    """Nanoseconds of a tick, and of a packet by track."""
+
+    scale: int = 1_000_000
+    durations: dict[int, int] = {}
+
+
+def block_packets(data: bytes, start: int, end: int, base: int, cluster: int, simple: bool, times: Times, ticks: int | None = None) -> Iterator[Packet]:
+    """The packets of a block, with their byte ranges in ``data``; ``ticks``: the block's duration, if given."""
     track, at = read_size(data, start)
     offset, flags = struct.unpack_from(">hB", data, at)
     at += 3
@@ -179,8 +188,10 @@ def block_packets(data: bytes, start: int, end: int, base: int, cluster: int, si
         elif lacing == 2:
             sizes = [(end - at) // (n + 1)] * n
     sizes.append(end - at - sum(sizes))
-    for size in sizes:
-        yield Packet(track, base + offset, at, size, cluster, lacing, simple and bool(flags & 0x80))
+    begin, keyframe = (base + offset) * times.scale, simple and bool(flags & 0x80)
+    step = ticks * times.scale // len(sizes) if ticks is not None else times.durations.get(track, 0)
+    for k, size in enumerate(sizes):
+        yield Packet(track, (begin + k * step) // 1_000_000, at, size, cluster, lacing, keyframe)
         at += size
 
 
@@ -188,28 +199,44 @@ def _number(data: bytes, start: int, end: int) -> int:
     return int.from_bytes(data[start:end], "big")
 
 
-def cluster_packets(data: bytes, start: int, end: int, k: int) -> Iterator[Packet]:
+def cluster_packets(data: bytes, start: int, end: int, k: int, times: Times) -> Iterator[Packet]:
     base = 0
     for ident, a, b in elements(data, start, end, CLUSTER):
         if ident == TIMESTAMP:
             base = _number(data, a, b)
         elif ident == SIMPLE_BLOCK:
-            yield from block_packets(data, a, b, base, k, True)
+            yield from block_packets(data, a, b, base, k, True, times)
         elif ident == BLOCK_GROUP:
-            for inner, x, y in elements(data, a, b):
-                if inner == BLOCK:
-                    yield from block_packets(data, x, y, base, k, False)
+            group = {inner: (x, y) for inner, x, y in elements(data, a, b)}
+            if BLOCK in group:
+                ticks = _number(data, *group[BLOCK_DURATION]) if BLOCK_DURATION in group else None
+                yield from block_packets(data, *group[BLOCK], base, k, False, times, ticks)
+
+
+def _times(data: bytes, top: list[tuple[int, int, int]]) -> Times:
+    scale, durations = 1_000_000, {}
+    for ident, a, b in top:
+        if ident == INFO:
+            scale = next((_number(data, x, y) for inner, x, y in elements(data, a, b) if inner == TIMESTAMP_SCALE), scale)
+        elif ident == TRACKS:
+            for _, c, d in elements(data, a, b):
+                values = {x: _number(data, p, q) for x, p, q in elements(data, c, d) if x in (TRACK_NUMBER, DEFAULT_DURATION)}
+                if len(values) == 2:
+                    durations[values[TRACK_NUMBER]] = values[DEFAULT_DURATION]
+    return Times(scale, durations)
 
 
 def parse(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]]]:
-    """All packets, and the cues as time, track and byte of the cluster."""
+    """All packets, and the cues as time in ticks, track and byte of the cluster."""
     found, cues, k = [], [], 0
     for ident, start, end in elements(data, 0, len(data)):
         if ident != SEGMENT:
             continue
-        for inner, a, b in elements(data, start, end):
+        top = list(elements(data, start, end))
+        times = _times(data, top)
+        for inner, a, b in top:
             if inner == CLUSTER:
-                found += cluster_packets(data, a, b, k)
+                found += cluster_packets(data, a, b, k, times)
                 k += 1
             elif inner == CUES:
                 for point, c, d in elements(data, a, b):
@@ -229,7 +256,7 @@ def tail(data: bytes, cues: list[tuple[int, int, int]], n: int) -> bytes:
         return b""
     _, start = read_id(data, max(cues)[2])
     size, start = read_size(data, start)
-    held = list(cluster_packets(data, start, len(data) if size is None else start + size, 0))
+    held = list(cluster_packets(data, start, len(data) if size is None else start + size, 0, Times()))
     return b"".join(data[p.offset : p.offset + p.size] for p in held[-n:])[-n:]
 
 
@@ -255,6 +282,20 @@ def with_media(df: DataFrame, text_col: str = "text", media_col: str = "media",
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in kept], F.col("media").alias(media_col))
 
 
+_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+
+
+def packet_table(media: list[bytes | None]) -> tuple[pa.RecordBatch, list[list[tuple[int, int, int]]]]:
+    """The packets of some files, with each packet's ``file`` by its place; and each file's cues."""
+    rows, cues = [], []
+    for k, data in enumerate(media):
+        found, own = parse(data) if data else ([], [])
+        rows += [(k, *p) for p in found]
+        cues.append(own)
+    cols = list(zip(*rows)) or [()] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS)], ["file", *Packet._fields]), cues
+
+
 def packets(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
     """The packet table of a media column: one row for each packet, none for null or empty media.
 
@@ -262,15 +303,9 @@ def packets(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, rows = [], []
-            for k, data in enumerate(batch.column("media").to_pylist()):
-                found = parse(data)[0] if data else []
-                keys += [k] * len(found)
-                rows += found
-            cols = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keys, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["id", *Packet._fields])
+        for batch in slices(batches, "media", 4 << 20):
+            table, _ = packet_table(batch.column("media").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(table.column("file")), *table.columns[1:]], ["id", *Packet._fields])
 
     source = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
     return source.mapInArrow(walk, f"id {source.schema['id'].dataType.simpleString()}, {PACKETS}")
@@ -283,15 +318,23 @@ def features(samples: bytes, n_packets: int, n_cues: int) -> str:
 
 
 def read_media(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
-    """What the stored bytes hold: digests of file and samples, and features, one row for each file."""
+    """What the stored bytes hold: digests of file and samples, and features, one row for each file.
+
+    Samples are the byte ranges of the file's packet table; the last ones are
+    found by the cues.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for data, n in zip(batch.column("media").to_pylist(), batch.column("n_bytes").to_pylist()):
-                found, cues = parse(data)
-                samples = b"".join([data[p.offset : p.offset + p.size] for p in found])
-                rows.append((n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(tail(data, cues, 16)), len(data), hashlib.sha256(data).hexdigest(), features(samples, len(found), len(cues)), len(found)))
+        for batch in slices(batches, "media", 4 << 20):
+            media, rows = batch.column("media").to_pylist(), []
+            table, cues = packet_table(media)
+            file, offset, size = (table.column(c).to_numpy() for c in ("file", "offset", "size"))
+            cuts = np.searchsorted(file, np.arange(len(media) + 1))
+            for k, (data, n) in enumerate(zip(media, batch.column("n_bytes").to_pylist())):
+                own = slice(cuts[k], cuts[k + 1])
+                samples = b"".join([data[a : a + m] for a, m in zip(offset[own].tolist(), size[own].tolist())])
+                found = int(cuts[k + 1] - cuts[k])
+                rows.append((n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(tail(data, cues[k], 16)), len(data), hashlib.sha256(data).hexdigest(), features(samples, found, len(cues[k])), found))
             cols = list(zip(*rows)) or [()] * 8
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(cols, kinds))], names)
@@ -302,6 +345,7 @@ def read_media(df: DataFrame, id_col: str, media_col: str = "media") -> DataFram
 
 
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores the media column in the shared folder, and reads it back from there."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     media = with_media(docs).select("doc_id", "media", F.octet_length(text_of(docs, "text")).cast("long").alias("__n_bytes"))
-    return read_media(media, "doc_id")
+    return read_media(write_shared(media, "media"), "doc_id")

@@ -5,9 +5,10 @@ ascending keys are a weighted random order.  A source whose target is above
 its size gives complete epochs first; what is left of the target is filled in
 key order until the prefix sum of sizes reaches it.
 
-The order within a source is never made in one task: keys are mapped to
-buckets, sizes are summed by bucket, and only the one bucket in which the
-budget ends is sorted.
+The order within a source is never made in one task.  Keys are numbers of
+``BITS`` bits, and the place where a budget ends is found digit by digit: sizes
+are summed by the next digit, and only rows of the one digit in which the
+budget ends go on, until a few are left; these alone are sorted.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, documents, text_of, write_shared
 
-#: Documents that a bucket of keys holds on average.
+#: Documents of a source that are sorted in one task at most, unless their keys agree in all digits.
 BUCKET_ROWS = 4096
+#: Logarithms of keys lie between -64 and 64; as whole numbers they have this many bits, in digits of so many.
+BITS, DIGIT = 48, 8
 #: Sources up to this number are sent to all tasks; beyond it Spark joins them.
 BROADCAST_SOURCES = 20_000
 
@@ -72,58 +75,66 @@ def mix(
     """
     text = text_of(docs, text_col)
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    key = -F.log(uniform) / quality(text)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"),
         F.col(source_col).alias("__source"),
         F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("__size"),
-        (-F.log(uniform) / quality(text)).alias("__key"),
+        key.alias("__key"),
     )
-    # 1 - exp(-key) grows with the key and lies in 0 to 1: its slices are the buckets.
-    buckets = max(16, docs.count() // BUCKET_ROWS)
-    bucketed = rows.withColumn("__bucket", F.floor((1 - F.exp(-F.col("__key"))) * buckets).cast("int"))
-    narrow = write_shared(bucketed.select("__source", "__bucket", "__key", "__size"), "mix-keys")
-    plan = _selection(narrow, weights, most)
-    picked = (F.col("__bucket") < F.col("__edge")) | ((F.col("__bucket") == F.col("__edge")) & (F.col("__key") <= F.col("__last")))
+    # The logarithm grows with the key, so its digits are in the order of keys.
+    scale = float(1 << (BITS - 7))
+    number = F.least(F.greatest((F.log("__key") + 64) * scale, F.lit(0.0)), F.lit(128 * scale - 1)).cast("long")
+    # Written once, so that texts are measured once.
+    rows = write_shared(rows.withColumn("__number", number), "mix-rows")
+    plan = _selection(rows.select("__source", "__number", "__key", "__size"), weights, most)
+    digits = F.expr("shiftright(__number, __shift)")
+    picked = (digits < F.col("__edge")) | ((digits == F.col("__edge")) & (F.col("__key") <= F.col("__last")))
     return (
-        bucketed.join(_by_source(docs.sparkSession, plan), F.col("__source").eqNullSafe(F.col("__s")))
+        rows.join(_by_source(docs.sparkSession, plan), F.col("__source").eqNullSafe(F.col("__s")))
         .withColumn("__copies", F.col("__epochs") + picked.cast("int"))
         .select("__doc", "__size", "__source_size", "__target", "__copies")
     )
 
 
 def _by_source(spark: SparkSession, plan: list[dict]) -> DataFrame:
-    names = ["__s", "__source_size", "__target", "__epochs", "__left", "__edge", "__before", "__last"]
-    df = spark.createDataFrame([tuple(p[n] for n in names) for p in plan], "__s string, __source_size long, __target double, __epochs int, __left double, __edge int, __before double, __last double")
+    names = ["__s", "__source_size", "__target", "__epochs", "__left", "__edge", "__shift", "__before", "__last"]
+    df = spark.createDataFrame([tuple(p[n] for n in names) for p in plan], "__s string, __source_size long, __target double, __epochs int, __left double, __edge long, __shift int, __before double, __last double")
     return F.broadcast(df) if len(plan) <= BROADCAST_SOURCES else df
 
 
 def _selection(narrow: DataFrame, weights: tuple[float, ...], most: float) -> list[dict]:
     """For each source: its target, complete epochs, and the last key that the fraction takes."""
     spark = narrow.sparkSession
-    sums = narrow.groupBy("__source", "__bucket").agg(F.sum("__size").alias("n")).persist()
-    sizes = {r["__source"]: int(r["n"]) for r in sums.groupBy("__source").agg(F.sum("n").alias("n")).collect()}
+    sizes = {r["__source"]: int(r["n"]) for r in narrow.groupBy("__source").agg(F.sum("__size").alias("n")).collect()}
     targets = water_fill(sizes, weights, most=most)
     plan = []
     for s, size in sizes.items():
         epochs = int(targets[s] / size + 1e-9) if size else 0
-        plan.append({"__s": s, "__source_size": size, "__target": float(targets[s]), "__epochs": epochs, "__left": max(0.0, float(targets[s] - epochs * size)), "__edge": -1, "__before": 0.0, "__last": -1.0})
-    same = F.col("__source").eqNullSafe(F.col("__s"))
-    # The bucket in which a source's budget ends.
-    upto = F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket"))
-    edges = (
-        sums.withColumn("upto", upto)
-        .join(_by_source(spark, plan), same)
-        .filter((F.col("upto") - F.col("n") < F.col("__left")) & (F.col("upto") >= F.col("__left")))
-        .select("__source", "__bucket", (F.col("upto") - F.col("n")).cast("double").alias("before"))
-    )
-    at = {r["__source"]: (r["__bucket"], r["before"]) for r in edges.collect()}
-    sums.unpersist()
-    for p in plan:
-        p["__edge"], p["__before"] = at.get(p["__s"], (-1, 0.0))
-    # Only rows of those buckets are sorted; the last document is the one that ends nearest the budget.
+        left = max(0.0, float(targets[s] - epochs * size))
+        plan.append({"__s": s, "__source_size": size, "__target": float(targets[s]), "__epochs": epochs, "__left": left, "__edge": -1 if left == 0 else 0, "__shift": BITS, "__before": 0.0, "__last": -1.0})
+    by = {p["__s"]: p for p in plan}
+    same, digits = F.col("__source").eqNullSafe(F.col("__s")), F.expr("shiftright(__number, __shift)")
+    upto = F.sum("n").over(Window.partitionBy("__source").orderBy("digit"))
+    # The sources whose edge isn't found to a few rows yet.
+    open_ = [p for p in plan if p["__left"] > 0]
+    for shift in range(BITS - DIGIT, -1, -DIGIT):
+        if not open_:
+            break
+        sums = (
+            narrow.join(_by_source(spark, open_), same & (digits == F.col("__edge")))
+            .groupBy("__source", "__before", "__left", F.shiftright("__number", shift).alias("digit"))
+            .agg(F.sum("__size").alias("n"), F.count("*").alias("rows"))
+            .withColumn("upto", F.col("__before") + upto)
+        )
+        found = sums.filter((F.col("upto") - F.col("n") < F.col("__left")) & (F.col("upto") >= F.col("__left"))).collect()
+        for r in found:
+            by[r["__source"]].update(__edge=r["digit"], __shift=shift, __before=float(r["upto"] - r["n"]))
+        open_ = [by[r["__source"]] for r in found if r["rows"] > BUCKET_ROWS]
+    # Only rows of those digits are sorted; the last document is the one that ends nearest the budget.
     by_key = Window.partitionBy("__source").orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = (
-        narrow.join(_by_source(spark, plan), same & (F.col("__bucket") == F.col("__edge")))
+        narrow.join(_by_source(spark, plan), same & (digits == F.col("__edge")))
         .groupBy("__source", "__key", "__before", "__left")
         .agg(F.sum("__size").alias("n"))
         .withColumn("upto", F.col("__before") + F.sum("n").over(by_key))
@@ -131,12 +142,11 @@ def _selection(narrow: DataFrame, weights: tuple[float, ...], most: float) -> li
         .groupBy("__source")
         .agg(F.max("__key").alias("last"))
     )
-    last = {r["__source"]: r["last"] for r in ends.collect()}
-    for p in plan:
-        p["__last"] = last.get(p["__s"], -1.0)
+    for r in ends.collect():
+        by[r["__source"]]["__last"] = r["last"]
     return plan
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(documents(spark, sf_dir))
+    mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("__doc.doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))

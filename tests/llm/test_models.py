@@ -154,6 +154,36 @@ def test_water_fill():
     assert mixing.water_fill({"a": 0}, (5.0,)) == {"a": 0} and mixing.water_fill({}, (1.0,)) == {}
 
 
+def test_mixing_against_a_full_sort(spark, make_docs, prose, monkeypatch):
+    """Also with documents of low quality, whose keys are long: no digit that is sorted holds more than a few rows."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    rng = random.Random(4)
+    rows = [(i, prose(rng.randint(1, 30)) if i % 3 else "#%$ " * rng.randint(1, 30), "hot" if i % 2 else f"s{i % 5}") for i in range(900)]
+    docs = make_docs(rows).withColumn("source", F.when(F.col("doc_id") % 2 == 1, "hot").otherwise(F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string"))))
+    seen = []
+    plan_of = mixing._selection
+
+    def spy(narrow, *more):
+        plan = plan_of(narrow, *more)
+        seen.append((narrow.collect(), plan))
+        return plan
+
+    monkeypatch.setattr(mixing, "_selection", spy)
+    taken = {r["__doc"]["doc_id"]: r["__copies"] for r in mixing.mix(docs).collect()}
+    assert len(taken) == len(rows)
+    (narrow, plan), = seen
+    for p in plan:
+        own = sorted((r["__key"], r["__size"]) for r in narrow if r["__source"] == p["__s"])
+        run, last = 0, -1.0
+        for key, size in own:
+            run += size
+            if run - size / 2 <= p["__left"]:
+                last = key
+        assert sum(n * (p["__epochs"] + (k <= last)) for k, n in own) == sum(r["__size"] * (p["__epochs"] + (r["__number"] >> p["__shift"] < p["__edge"] or (r["__number"] >> p["__shift"] == p["__edge"] and r["__key"] <= p["__last"]))) for r in narrow if r["__source"] == p["__s"])
+        assert sum(r["__number"] >> p["__shift"] == p["__edge"] for r in narrow if r["__source"] == p["__s"]) <= 10
+        assert p["__edge"] == -1 or p["__shift"] < mixing.BITS
+
+
 def test_mixing(spark, make_docs, odd_rows, prose, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
     sources = ["hot"] * 200 + ["b"] * 20 + ["c"] * 40
@@ -198,6 +228,40 @@ def test_matroska_unknown_sizes_and_groups():
         matroska.parse(b"\0\0\0\0")
 
 
+def test_matroska_times():
+    """A foreign scale, the track's duration of a packet, a block's own duration, and elements that end a cluster."""
+    m = matroska
+    info = m.element(m.INFO, m.number(m.TIMESTAMP_SCALE, 2_000_000))
+    tracks = m.element(m.TRACKS, m.element(m.TRACK_ENTRY, m.number(m.TRACK_NUMBER, 1) + m.number(m.DEFAULT_DURATION, 7_000_000)) + m.element(m.TRACK_ENTRY, m.number(m.TRACK_NUMBER, 2)))
+    laced = lambda track: bytes([0x80 | track]) + b"\x00\x03" + b"\x06" + m.lace([b"ab", b"cd", b"ef"], 3)
+    group = m.element(m.BLOCK_GROUP, m.element(m.BLOCK, laced(2)) + m.number(m.BLOCK_DURATION, 6))
+    cluster = bytes.fromhex("1F43B675") + b"\xff" + m.number(m.TIMESTAMP, 10) + m.element(m.SIMPLE_BLOCK, laced(1)) + m.element(m.SIMPLE_BLOCK, laced(2)) + group
+    for end in (m.SEEK_HEAD, m.TAGS, m.CHAPTERS, m.ATTACHMENTS, m.CUES):
+        stored = m.HEAD + m.element(m.SEGMENT, info + tracks + cluster + m.element(end, b""))
+        found, _ = m.parse(stored)
+        assert [p.timestamp_ms for p in found] == [26, 33, 40, 26, 26, 26, 26, 30, 34]
+        assert [stored[p.offset : p.offset + p.size] for p in found] == [b"ab", b"cd", b"ef"] * 3
+    own, _ = m.parse(m.mux(b"x" * 192 * 20))
+    assert [p.timestamp_ms for p in own] == [24 * k for k in range(20)]
+
+
+def test_media_is_stored(spark, tmp_path, make_docs, odd_rows):
+    """The query reads media files of the shared folder; its rows against plain computing."""
+    make_docs(odd_rows).write.parquet(str(tmp_path / "documents.parquet"))
+    made = matroska.op5_matroska(spark, str(tmp_path))
+    assert any("/media-" in f for f in made.inputFiles())
+    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["payload_sha256"], r["n_packets"]) for r in made.collect())
+    want = []
+    for i, t in odd_rows:
+        raw = (t or "").encode()
+        padded = raw + b" " * (-len(raw) % 192 if raw else 192)
+        want.append((i or -1, len(raw), hashlib.sha256(padded).hexdigest(), len(padded) // 192))
+    assert got == sorted(want)
+    empty = tmp_path / "empty"
+    make_docs(odd_rows).filter("false").write.parquet(str(empty / "documents.parquet"))
+    assert matroska.op5_matroska(spark, str(empty)).count() == 0
+
+
 def test_media_columns(spark, make_docs, odd_rows):
     docs = make_docs(odd_rows)
     media = matroska.with_media(docs)
