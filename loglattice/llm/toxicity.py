@@ -33,8 +33,8 @@ from .common import documents, slices, text_of, write_shared
 
 #: Labelled rows that are learned from at most, those with the least hash of id and text,
 #: and distinct words of theirs in all; both bound what every task holds.
-MAX_EXAMPLES = 8_000
-MAX_POSTINGS = 3_000_000
+MAX_EXAMPLES = 4_000
+MAX_POSTINGS = 1_500_000
 #: The phi coefficient from which on a term has its full weight, and the least share of it.
 FULL_PHI, LEAST_SHARE = 0.3, 0.05
 #: Standard errors that are taken from it, so that a chance meeting tells nothing.
@@ -102,7 +102,9 @@ def build_index(ids: list[int], labels: list[int], vectors: list[tuple[np.ndarra
     many = np.array([len(h) for h, _ in vectors], np.int64)
     hashes = np.concatenate([np.empty(0, np.uint64), *(h for h, _ in vectors)])
     terms, term = np.unique(hashes, return_inverse=True)
-    owner = np.repeat(np.arange(n), many)
+    term = term.astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), many)
+    del hashes
     y = np.array(labels, np.int64)
     df = np.bincount(term, minlength=len(terms))
     weight = term_weights(df, np.bincount(term, y[owner], len(terms)), max(n, 1), int(y.sum()))
@@ -114,7 +116,8 @@ def build_index(ids: list[int], labels: list[int], vectors: list[tuple[np.ndarra
     order = np.lexsort((term, w, owner))
     last = np.flatnonzero(np.append(owner[order][1:] != owner[order][:-1], True)) if len(order) else order
     heaviest[owner[order][last]] = term[order][last]
-    place = np.empty(n, np.int64)
+    del order, last
+    place = np.empty(n, np.int32)
     sort = np.lexsort((np.array(ids, np.int64), heaviest))
     place[sort] = np.arange(n)
     owner = place[owner]
@@ -229,7 +232,7 @@ def learn(
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             made = [word_counts(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "label")), pa.array([len(h) for h, _ in made], pa.int64()), *(pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1))], ["key", "id", "label", "n", "hashes", "counts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "label")), pa.array([len(h) for h, _ in made], pa.int64()), *(pa.array([x.tobytes() for x in column], pa.binary()) for column in ([h for h, _ in made], [c.astype(np.int32) for _, c in made]))], ["key", "id", "label", "n", "hashes", "counts"])
 
     found = texts.withColumn("key", F.xxhash64("id", "text")).join(taken, ["key", "id"]).select("key", "id", "label", "text")
     sample = write_shared(found.mapInArrow(counted, "key long, id long, label int, n long, hashes binary, counts binary"), "toxic-examples")
@@ -238,8 +241,11 @@ def learn(
     fit = [(k, i) for (k, i, _), upto in zip(sizes, np.cumsum([n for *_, n in sizes]).tolist()) if upto <= max_postings]
     kept = F.broadcast(spark.createDataFrame(fit, "key long, id long"))
     rows = sample.join(kept, ["key", "id"]).dropDuplicates(["key", "id"]).orderBy("key", "id").collect()
-    vectors = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in rows]
-    index = build_index([r["id"] for r in rows], [int(r["label"] > 0) for r in rows], vectors)
+    vectors = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in rows]
+    ids, marked = [r["id"] for r in rows], [int(r["label"] > 0) for r in rows]
+    del rows
+    index = build_index(ids, marked, vectors)
+    del vectors
     return calibrated(index, sample.join(kept, ["key", "id"]).select("id", "hashes", "counts")) if index.learned else index
 
 
@@ -253,7 +259,7 @@ def calibrated(index: Index, sample: DataFrame) -> Index:
         for batch in batches:
             found = []
             for i, h, c in zip(*(batch.column(x).to_pylist() for x in ("id", "hashes", "counts"))):
-                found.append(vote(own, *nearest(own, *vector(own, np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)), without=place[i])))
+                found.append(vote(own, *nearest(own, *vector(own, np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)), without=place[i])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([int(own.labels[place[i]]) for i in batch.column("id").to_pylist()], pa.int64()), pa.array(found, pa.float64())], ["id", "label", "vote"])
 
     votes = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "id long, label long, vote double").orderBy("id", "vote").collect()
