@@ -4,22 +4,25 @@ Most detectors restart at an opening line whatever came before.  So the lines
 from one opener to the next form a segment, and what is reported follows from
 the least or greatest numbers of certain lines in the segment: partial
 aggregates.  The number of the last opener is a running maximum in two
-levels, so no task holds a file.  Two detectors restart only in some states;
-they fold over the lines near their openers.
+levels, so no task holds a file.  Crash dumps restart only in some states; after
+a blank line the state is none, so they fold over the few lines between two such
+that can change it.  A JSON blob ends by the numbers of brackets within a window
+of lines, whatever came before; which openers begin one is then a greedy choice.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bracket_delta, indent, is_blank
 from .index import line_stats
+from .jumps import STRETCH, by_stretch, kind_of, taken, with_stretch
 from .running import previous, running
 from .trace import submatches
 
@@ -137,115 +140,127 @@ def secrets(lines: DataFrame) -> DataFrame:
     return _report(rows, "secrets-scan", "secrets", 1.0, kind)
 
 
-# Folds.  Each takes a state and a line and gives the next state, and spans that ended.
+def _dump_kind(line: Column) -> Column:
+    kind = F.lit("")
+    for name, shape in reversed(DUMP_OPENERS.items()):
+        kind = F.when(line.rlike("(?d)" + shape), F.lit(name)).otherwise(kind)
+    return kind
 
 
 class Span(NamedTuple):
     kind: str
     first: int
-    last: int
+    last: int | None  # None: the file's last line
     start: int
-    end: int
+    end: int | None
 
 
-def _dump_kind(line: str) -> str:
-    return next((k for k, shape in DUMP_OPENERS.items() if re.match(shape, line, re.ASCII)), "")
-
-
-def fold_dumps(rows: Iterator[tuple[int, int, int, str]]) -> Iterator[Span]:
-    """Crash dumps in all lines of a file (number, start, end, text)."""
+def fold_dumps(rows: Iterator[tuple[int, int, int, str, str]]) -> Iterator[Span]:
+    """Crash dumps, from the lines that can change the state (number, start, end, kind of opener, what else it is)."""
     held: Span | None = None
-    for number, start, end, line in rows:
-        kind = _dump_kind(line)
+    for number, start, end, kind, what in rows:
         if held is not None:
-            grown = held._replace(last=number, end=end)
-            blank = line == ""
+            grown, before = held._replace(last=number, end=end), held._replace(last=number - 1, end=start)
             if held.kind == "segfault":
-                if line.startswith("(core dumped)"):
-                    yield grown
-                    held = None
+                yield grown if what == "core" else held._replace(last=held.first, end=start)
+                held = None
+                if what == "core":
                     continue
-                yield held
-            elif held.kind == "kernel" and not blank and re.match(KERNEL_LINE, line, re.ASCII):
-                held = grown
-                continue
-            elif held.kind in ("asan", "stack-smash") and not blank and kind in ("", held.kind):
-                done = re.match(ASAN_END, line, re.ASCII) if held.kind == "asan" else line.startswith("Aborted (core dumped)")
-                if done:
+            elif held.kind == "kernel":
+                if what == "kernel" or kind == "kernel":
+                    continue
+                yield before
+            elif what != "blank" and kind in ("", held.kind):
+                if what == {"asan": "asan-end", "stack-smash": "aborted"}[held.kind]:
                     yield grown
-                held = None if done else grown
+                    held = None
                 continue
             else:
-                yield held
+                yield before
             held = None
         if kind:
-            held = Span(kind, number, number, start, end)
+            held = Span(kind, number, None, start, None)
     if held is not None:
         yield held
 
 
-def fold_blobs(rows: Iterator[tuple[int, int, int, str, int, int, str]], window: int) -> Iterator[Span]:
-    """JSON blobs in all lines of a file (number, start, end, stripped text, indent, bracket delta, last character)."""
-    held, depth, margin, closer = None, 0, 0, ""
-    for number, start, end, bare, left, delta, tail in rows:
-        if held is None:
-            if bare in ("{", "["):
-                held, depth, margin, closer = Span("clean", number, number, start, end), 1, left, "}" if bare == "{" else "]"
-            continue
-        grown = held._replace(last=number, end=end)
-        if number - held.first >= window:
-            yield grown._replace(kind="window")
-            held = None
-            continue
-        depth += delta
-        if depth > 0:
-            continue
-        if depth == 0 and tail == closer and left == margin:
-            yield grown
-        held = None
-    if held is not None:
-        yield held._replace(kind="eof", end=held.start)
-
+def coredump(lines: DataFrame) -> DataFrame:
+    line = F.col("line")
+    what = F.when(line == "", "blank").when(line.startswith("(core dumped)"), "core").when(line.rlike("(?d)" + ASAN_END), "asan-end").when(line.startswith("Aborted (core dumped)"), "aborted").when(line.rlike("(?d)" + KERNEL_LINE), "kernel").otherwise("")
+    rows = lines.select("file_id", "line_number", "start_offset", "end_offset", _dump_kind(line).alias("kind"), what.alias("what"))
+    rows = previous(rows, F.struct("kind", "what"), "before")
+    kind, blank, number = F.col("kind"), F.col("what") == "blank", F.col("line_number")
+    rows = running(rows, opened=("max", F.when(kind != "", number)), closed=("max", F.when(blank, number)))
+    # A blank line belongs to the part that it ends.
+    rows = previous(rows, F.col("closed"), "part").withColumn("part", F.coalesce("part", F.lit(0)))
+    ends_kernel = (F.col("before.what") == "kernel") & (F.col("what") != "kernel")
+    changes = (kind != "") | (blank & (F.col("opened") > F.col("part"))) | F.col("what").isin("asan-end", "aborted") | (F.col("before.kind") == "segfault") | ends_kernel
+    few = rows.filter(changes & (F.col("opened") > F.col("part"))).select("file_id", F.col("part").alias("__stretch"), "line_number", "start_offset", "end_offset", "kind", "what")
+
+    def fold(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = (table.column(c).to_pylist() for c in ("line_number", "start_offset", "end_offset", "kind", "what"))
+        spans = list(fold_dumps(zip(*columns)))
+        if spans:
+            cols = [pa.array(c, t) for c, t in zip(zip(*spans), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([table.column("file_id")[0].as_py()] * len(spans), table.schema.field("file_id").type), *cols], names)
 
-def _folded(lines: DataFrame, columns: list[Column], fold: Callable[[Iterator], Iterator[Span]]) -> DataFrame:
-    """Spans of each file: lines pass in order through one task a file, which holds only the fold's state."""
-    rows = lines.select("file_id", "line_number", "start_offset", "end_offset", *columns).repartition("file_id").sortWithinPartitions("file_id", "line_number")
     names = ["file_id", "kind", "start_line", "end_line", "start_offset", "end_offset"]
+    spans = by_stretch(few, fold, f"file_id {kind_of(lines)}, kind string, start_line long, end_line long, start_offset long, end_offset long")
+    # What is open at the end of a part is so at the end of its file.
+    sizes = lines.groupBy("file_id").agg(F.max("line_number").alias("n_lines"), F.max("end_offset").alias("n_bytes"))
+    spans = spans.join(sizes, "file_id").withColumns({"end_line": F.coalesce("end_line", F.when(F.col("kind") == "segfault", F.col("start_line")), "n_lines"), "end_offset": F.coalesce("end_offset", "n_bytes")})
+    label = F.create_map(*[F.lit(x) for kv in {"segfault": "segfault", "asan": "AddressSanitizer", "kernel": "kernel", "stack-smash": "stack smashing"}.items() for x in kv])
+    return _report(spans, "coredump-unix", "log-crash", 0.9, F.format_string("%s crash dump, %d lines", label[F.col("kind")], _count()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import groupby
-
-        kind, out = None, []
-        stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        for file, own in groupby(stream, key=lambda r: r[0]):
-            for s in fold(r[1:] for r in own):
-                out.append((file, *s))
-                if len(out) >= 10_000:
-                    yield _spans_batch(out, names)
-                    out = []
-        if out:
-            yield _spans_batch(out, names)
-
-    file_kind = rows.schema["file_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"file_id {file_kind}, kind string, start_line long, end_line long, start_offset long, end_offset long")
-
-
-def _spans_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
 
+def blob_ends(depth: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each opener (a place in ``depth``, sums of brackets up to and with each line) the first later line with a lesser sum; the length if there is none."""
+    n = len(depth)
+    out, waiting = np.full(n, n, np.int64), []
+    for j, d in enumerate(depth.tolist()):
+        while waiting and waiting[-1][0] > d:
+            out[waiting.pop()[1]] = j
+        waiting.append((d, j))
+    return out[at]
 
-def coredump(lines: DataFrame) -> DataFrame:
-    label = F.create_map(*[F.lit(x) for kv in {"segfault": "segfault", "asan": "AddressSanitizer", "kernel": "kernel", "stack-smash": "stack smashing"}.items() for x in kv])
-    rows = _folded(lines, [F.col("line")], fold_dumps)
-    return _report(rows, "coredump-unix", "log-crash", 0.9, F.format_string("%s crash dump, %d lines", label[F.col("kind")], _count()))
 
-
-def json_blob(lines: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
+def json_blob(lines: DataFrame, window: int = WINDOW_LINES, size: int = STRETCH) -> DataFrame:
+    """Blobs that an opening bracket alone on its line begins, through at most ``window`` lines more."""
     window = max(1, min(window, MOST_WINDOW_LINES))
+    size = max(size, window + 1)
     line = F.col("line")
     bare = F.regexp_replace(line, "^[ \\t\\r]+|[ \\t\\r]+$", "")
     short = F.when(F.length(bare) == 1, bare).otherwise("")
-    rows = _folded(lines, [short.alias("bare"), indent(line).alias("left"), bracket_delta(line).alias("delta"), F.substring(bare, -1, 1).alias("tail")], lambda r: fold_blobs(r, window))
+    rows = with_stretch(lines, size).select("file_id", "__stretch", "line_number", "start_offset", "end_offset", short.alias("bare"), indent(line).cast("long").alias("left"), bracket_delta(line).cast("long").alias("delta"), F.substring(bare, -1, 1).alias("tail"), F.lit(False).alias("halo"))
+    # A blob may end within the first lines of the next stretch.
+    ahead = rows.filter((F.col("__stretch") > 0) & (F.col("line_number") - 1 - F.col("__stretch") * size <= window)).withColumns({"__stretch": F.col("__stretch") - 1, "halo": F.lit(True)})
+
+    def blobs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        number, start, end, left, delta = (table.column(c).to_numpy() for c in ("line_number", "start_offset", "end_offset", "left", "delta"))
+        opens = np.array([b in ("{", "[") for b in table.column("bare").to_pylist()], bool)
+        at = np.flatnonzero(opens & ~table.column("halo").to_numpy(zero_copy_only=False))
+        if not len(at):
+            return
+        n, tail, short = len(number), table.column("tail").to_pylist(), table.column("bare").to_pylist()
+        depth = np.cumsum(delta)
+        closed = blob_ends(depth, at)
+        edge = at + window
+        kind, last = [], np.minimum(np.minimum(closed, edge), n - 1)
+        for i, c, e, k in zip(at.tolist(), closed.tolist(), edge.tolist(), last.tolist()):
+            if c < min(e, n):
+                right = depth[c] == depth[i] - 1 and tail[c] == ("}" if short[i] == "{" else "]") and left[c] == left[i]
+                kind.append("clean" if right else "")
+            else:
+                kind.append("window" if e < n else "eof")
+        eof = np.array([x == "eof" for x in kind])
+        last_line, last_end = np.where(eof, number[at], number[last]), np.where(eof, start[at], end[last])
+        after = np.where(eof, np.iinfo(np.int64).max, number[last] + 1)
+        head = [pa.array(table.column(c).to_pylist()[:1] * len(at), table.schema.field(c).type) for c in ("file_id", "__stretch")]
+        yield pa.RecordBatch.from_arrays([*head, pa.array(number[at]), pa.array(after), pa.array(kind, pa.string()), pa.array(last_line), pa.array(start[at]), pa.array(last_end)], names)
+
+    names = ["file_id", "__stretch", "at", "next", "kind", "end_line", "start_offset", "end_offset"]
+    openers = by_stretch(rows.unionByName(ahead), blobs, f"file_id {kind_of(lines)}, __stretch long, at long, next long, kind string, end_line long, start_offset long, end_offset long")
+    rows = taken(openers, 1).filter("kind != ''").withColumnRenamed("at", "start_line")
     text = F.when(F.col("kind") == "clean", F.format_string("multi-line JSON blob, %d lines", _count())).when(F.col("kind") == "window", F.format_string("truncated: blob opened at line %d, aborted at window edge after %d lines", "start_line", _count())).otherwise(F.format_string("truncated: blob opened at line %d, unclosed at EOF", "start_line"))
     return _report(rows, "json-blob-multiline", "format", 0.3, text)
 

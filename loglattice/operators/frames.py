@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import nearest_before
+
 
 def frame_table(frames: DataFrame) -> DataFrame:
     """``file_id, frame`` and sizes to places: prefix sums of the compressed and plain sizes."""
@@ -19,14 +21,11 @@ def overlapping(table: DataFrame, ranges: DataFrame) -> DataFrame:
     return ranges.join(table, "file_id").filter((F.col("decompressed_offset") < F.col("high")) & (end > F.col("low"))).select("file_id", "low", "high", "frame")
 
 
-def locate(table: DataFrame, offsets: DataFrame) -> DataFrame:
-    """The frame that holds each offset (``file_id, offset``), and the offset within it: an as-of join in one window."""
-    place = F.struct("frame", "decompressed_offset")
-    left = table.select("file_id", F.col("decompressed_offset").alias("__at"), place.alias("__f"), F.lit(None).cast("long").alias("offset"))
-    right = offsets.select("file_id", F.col("offset").cast("long").alias("__at"), F.lit(None).cast(left.schema["__f"].dataType).alias("__f"), F.col("offset").cast("long").alias("offset"))
-    order = Window.partitionBy("file_id").orderBy("__at", F.col("offset").isNotNull())
-    found = left.unionByName(right).withColumn("__f", F.last("__f", ignorenulls=True).over(order)).filter("offset is not null")
-    return found.select("file_id", "offset", F.col("__f.frame").alias("frame"), (F.col("offset") - F.col("__f.decompressed_offset")).alias("within"))
+def locate(table: DataFrame, offsets: DataFrame, bucket: int = 1 << 26) -> DataFrame:
+    """The frame that holds each offset (``file_id, offset``), and the offset within it: an as-of join by buckets of offsets."""
+    places = table.select("file_id", "frame", "decompressed_offset")
+    found = nearest_before(offsets, places, "offset", "decompressed_offset", bucket)
+    return found.select("file_id", "offset", F.col("found.frame").alias("frame"), (F.col("offset") - F.col("found.decompressed_offset")).alias("within"))
 
 
 def frames_with_matches(located: DataFrame) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from .jumps import STRETCH, taken, with_stretch
 
 LARGE_FILE = 50 << 20
 STEP = LARGE_FILE // 50
@@ -49,51 +46,46 @@ def line_endings(lines: DataFrame, sample: int = ENDING_SAMPLE) -> DataFrame:
     return seen.select("file_id", kind.alias("line_ending"))
 
 
-def checkpoints(lines: DataFrame, step: int = STEP) -> DataFrame:
+def checkpoints(lines: DataFrame, step: int = STEP, size: int = STRETCH) -> DataFrame:
     """``file_id, line_number, byte_offset``: line 1, then each first line that begins ``step`` bytes or more after the last.
 
-    Each checkpoint hangs on the one before.  A file's line ends, two numbers
-    a line, pass in order through one task that holds one of them; Spark's
-    sort before it spills.
+    Each checkpoint hangs on the one before; a file's stretches of ``size``
+    lines are chosen from by all tasks all the same (see ``jumps``).
     """
+    end = F.col("end_offset")
+    items = with_stretch(lines, size).select("file_id", "__stretch", end.alias("at"), (end + step).alias("next"), (F.col("line_number") + 1).alias("line_number"))
+    later = taken(items, step).select("file_id", "line_number", F.col("at").alias("byte_offset"))
+    first = lines.filter("line_number = 1").select("file_id", F.lit(1).cast("long").alias("line_number"), F.lit(0).cast("long").alias("byte_offset"))
+    return first.unionByName(later)
+
+
+def nearest_before(wanted: DataFrame, points: DataFrame, at: str, place: str, bucket: int) -> DataFrame:
+    """As-of join: ``wanted`` (``file_id`` and ``at``) with ``found``, the row of ``points`` with the last ``place`` not after it.
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, due = None, 0
-        for batch in batches:
-            files, numbers, ends = batch.column("file_id").to_pylist(), batch.column("line_number").to_numpy(), batch.column("end_offset").to_numpy()
-            out, at = [], 0
-            while at < len(files):
-                if held is None or files[at] != held[0]:
-                    held, due = (files[at],), step
-                    out.append((files[at], 1, 0))
-                # The first line of this file in the batch whose end reaches the next checkpoint.
-                stop = len(files) if files[-1] == held[0] else next(k for k in range(at, len(files)) if files[k] != held[0])
-                hit = at + int(np.searchsorted(ends[at:stop], due))
-                if hit < stop:
-                    out.append((held[0], int(numbers[hit]) + 1, int(ends[hit])))
-                    due = int(ends[hit]) + step
-                    at = hit + 1
-                else:
-                    at = stop
-            kind = batch.schema.field("file_id").type
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], kind), *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2))], ["file_id", "line_number", "byte_offset"])
-
-    rows = lines.select("file_id", "line_number", "end_offset")
-    kind = rows.schema["file_id"].dataType.simpleString()
-    return rows.repartition("file_id").sortWithinPartitions("file_id", "line_number").mapInArrow(walk, f"file_id {kind}, line_number long, byte_offset long")
-
-
-def nearest_checkpoint(wanted: DataFrame, points: DataFrame, by: str = "line_number") -> DataFrame:
-    """As-of join: to each row of ``wanted`` (``file_id`` and ``by``) the last checkpoint not after it.
-
-    Both sides pass through one window, so no pairs are made.
+    ``points`` keep all their columns in ``found``.  Both sides are dealt by
+    file and by buckets of so many places, and a window runs within a bucket;
+    one row for each bucket of points carries the last one over, so no task
+    holds a file and no pairs are made.
     """
-    point = F.struct(F.col("line_number").alias("checkpoint_line"), F.col("byte_offset").alias("checkpoint_offset"))
-    left = points.select("file_id", F.col(by).alias("__at"), point.alias("__point"), F.lit(None).cast("long").alias(by))
-    right = wanted.select("file_id", F.col(by).cast("long").alias("__at"), F.lit(None).cast(left.schema["__point"].dataType).alias("__point"), F.col(by).cast("long").alias(by))
-    order = Window.partitionBy("file_id").orderBy("__at", F.col(by).isNotNull())
-    found = left.unionByName(right).withColumn("__point", F.last("__point", ignorenulls=True).over(order))
-    return found.filter(F.col(by).isNotNull()).select("file_id", by, "__point.*")
+    row = F.struct(*[F.col(c) for c in points.columns if c != "file_id"])
+    kind = f"struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in points.schema.fields if f.name != 'file_id')}>"
+    own = points.select("file_id", F.col(place).cast("long").alias("__at"), row.alias("__point"), F.lit(None).cast("long").alias("__wanted"))
+    asked = wanted.select("file_id", F.col(at).cast("long").alias("__at"), F.lit(None).cast(kind).alias("__point"), F.col(at).cast("long").alias("__wanted"))
+    both = own.unionByName(asked).withColumn("__bucket", F.floor(F.col("__at") / bucket))
+    within = Window.partitionBy("file_id", "__bucket").orderBy("__at", F.col("__wanted").isNotNull())
+    found = both.withColumn("__own", F.last("__point", ignorenulls=True).over(within)).filter("__wanted is not null")
+    ends = both.groupBy("file_id", "__bucket").agg(F.max_by("__point", F.when(F.col("__point").isNotNull(), F.col("__at"))).alias("__end"))
+    before = Window.partitionBy("file_id").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file_id", "__bucket", F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    out = found.join(carried, ["file_id", "__bucket"])
+    return out.select("file_id", F.col("__wanted").alias(at), F.coalesce("__own", "__carried").alias("found"))
+
+
+def nearest_checkpoint(wanted: DataFrame, points: DataFrame, by: str = "line_number", bucket: int = 1 << 20) -> DataFrame:
+    """To each row of ``wanted`` (``file_id`` and ``by``) the last checkpoint not after it."""
+    named = points.select("file_id", F.col("line_number").alias("checkpoint_line"), F.col("byte_offset").alias("checkpoint_offset"))
+    found = nearest_before(wanted, named, by, "checkpoint_line" if by == "line_number" else "checkpoint_offset", bucket)
+    return found.select("file_id", by, "found.*")
 
 
 def build(lines: DataFrame, step: int = STEP) -> DataFrame:

@@ -5,9 +5,10 @@ The same SQL text makes the log lines in Spark and in the SQL that checks it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.running import STRETCH
 from ..sources.lines import lines_of
 
 
@@ -56,10 +57,16 @@ log AS (
   FROM event_lines)"""
 
 
-def log_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """One text for each of twenty files, made of its events' lines in order, then split into lines."""
+def log_lines(spark: SparkSession, sf_dir: str, kind: str, size: int = STRETCH) -> DataFrame:
+    """Twenty files of the events' lines, by event; numbered and placed in two levels, so that no file is in one task."""
     words = KINDS[kind]
     pick = ((F.col("event_id") % 1009) * (F.col("event_id") % 757) + F.col("event_id") % 13) % len(words)
-    events = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("file_id"), "event_id", F.array(*map(F.lit, words))[pick.cast("int")].alias("line"))
-    texts = events.groupBy("file_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda s: s["line"]), "\n"), F.lit("\n")).alias("text"))
-    return lines_of(texts, "file_id", "text")
+    keys = ["file_id", "part"]
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("file_id"), F.floor(F.col("event_id") / size).alias("part"), "event_id", F.array(*map(F.lit, words))[pick.cast("int")].alias("line"))
+    rows = rows.withColumn("n", F.octet_length("line") + 1)
+    before = Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum("n").alias("bytes"))
+    parts = parts.select(*keys, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("rows", "bytes")))
+    within = Window.partitionBy(*keys).orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.select(*keys, "line", "n", F.row_number().over(within).alias("k"), F.sum("n").over(within).alias("upto")).join(parts, keys)
+    return placed.select("file_id", (F.col("k") + F.col("rows")).cast("long").alias("line_number"), (F.col("bytes") + F.col("upto") - F.col("n")).cast("long").alias("start_offset"), (F.col("bytes") + F.col("upto")).cast("long").alias("end_offset"), "line")

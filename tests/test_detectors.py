@@ -133,6 +133,79 @@ def test_small_stretches(spark, size, monkeypatch):
     assert rows(d.traceback_go(lines_frame(spark, files)), "file_id", "start_line", "end_line") == want
 
 
+def dump_machine(lines):
+    out, held = [], None
+    kind_of = lambda x: next((k for k, shape in d.DUMP_OPENERS.items() if re.match(shape, x)), "")
+    for n, line in enumerate(lines, 1):
+        kind = kind_of(line)
+        if held:
+            name, first, last = held
+            if name == "segfault":
+                out.append((first, n if line.startswith("(core dumped)") else last))
+                held = None
+                if line.startswith("(core dumped)"):
+                    continue
+            elif name == "kernel" and re.match(d.KERNEL_LINE, line):
+                held = (name, first, n)
+                continue
+            elif name in ("asan", "stack-smash") and line and kind in ("", name):
+                held = (name, first, n)
+                if re.match(d.ASAN_END, line) if name == "asan" else line.startswith("Aborted (core dumped)"):
+                    out.append((first, n))
+                    held = None
+                continue
+            else:
+                out.append((first, last))
+            held = None
+        if kind:
+            held = (kind, n, n)
+    return out + ([held[1:]] if held else [])
+
+
+def blob_machine(window):
+    def run(lines):
+        out, held, depth = [], None, 0
+        for n, line in enumerate(lines, 1):
+            bare = line.strip(" \t\r")
+            if not held:
+                if bare in ("{", "["):
+                    held, depth = (n, bare, len(line) - len(line.lstrip(" \t"))), 1
+                continue
+            first, opener, margin = held
+            if n - first >= window:
+                out.append((first, n))
+                held = None
+                continue
+            outside = re.sub(r'"[^"]*"', "", line)
+            depth += sum(outside.count(c) for c in "{[") - sum(outside.count(c) for c in "}]")
+            if depth <= 0:
+                if depth == 0 and bare[-1:] == {"{": "}", "[": "]"}[opener] and len(line) - len(line.lstrip(" \t")) == margin:
+                    out.append((first, n))
+                held = None
+        return out + ([(held[0], held[0])] if held else [])
+
+    return run
+
+
+def test_dumps(spark):
+    check(spark, "dump", d.coredump, dump_machine)
+
+
+@pytest.mark.parametrize("window, size", [(128, 1 << 16), (6, 1 << 16), (6, 7), (3, 9), (1, 2)])
+def test_blobs(spark, window, size):
+    """Also with blobs that cross the borders of stretches, and choices that hang on the stretches before."""
+    check(spark, "json", d.json_blob, blob_machine(window), window=window, size=size)
+
+
+def test_dumps_in_small_stretches(spark, monkeypatch):
+    monkeypatch.setattr(running.with_stretch, "__defaults__", (3,))
+    monkeypatch.setattr(running.previous, "__defaults__", ("file_id", 3))
+    monkeypatch.setattr(running.running, "__defaults__", ("file_id", "line_number", 3))
+    files = random_files("dump", n=10, length=40)
+    want = sorted((f, a, b) for f, t in files.items() for a, b in dump_machine(t.split("\n")[:-1]))
+    assert rows(d.coredump(lines_frame(spark, files)), "file_id", "start_line", "end_line") == want
+
+
 SHAPES = [
     # detector, text, spans
     (d.traceback_python, "x\nTraceback (most recent call last):\n  File a\n    y\nValueError: z\nnext\n", [(2, 5)]),
