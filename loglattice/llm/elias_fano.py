@@ -108,21 +108,22 @@ class EliasFano(NamedTuple):
         place = word * 64 + _within(self.high[word], i - self.ones[word])
         return (((place - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)).astype(np.int64)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The position of the first value of at least ``x``, n if there is none."""
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The position of the first value of at least ``x``, n if there is none; and whether it is ``x``."""
         x = np.asarray(x, np.int64)
-        out = np.full(len(x), self.n, np.int64)
+        out, same = np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
         if not self.n:
-            return out
+            return out, same
         top = self.get(np.array([self.n - 1]))[0]
         near = np.flatnonzero(x <= top)
         want = x[near].astype(np.uint64)
         high = (want >> np.uint64(self.width)).astype(np.int64)
         want &= np.uint64((1 << self.width) - 1)
-        end = self._zeros_before(high)
+        stop = self._zeros_before(high)
         begin = np.zeros(len(near), np.int64)
         some = high > 0
         begin[some] = self._zeros_before(high[some] - 1)
+        end = stop.copy()
         open_ = np.flatnonzero(begin < end)
         while len(open_):
             middle = (begin[open_] + end[open_]) // 2
@@ -131,7 +132,19 @@ class EliasFano(NamedTuple):
             end[open_] = np.where(less, end[open_], middle)
             open_ = open_[begin[open_] < end[open_]]
         out[near] = begin
-        return out
+        # With the same high bits, the low bits decide.
+        within = np.flatnonzero(begin < stop)
+        same[near[within]] = self._low(begin[within]) == want[within]
+        return out, same
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The position of the first value of at least ``x``, n if there is none."""
+        return self._search(x)[0]
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The first position of ``x``, -1 if there is none."""
+        at, same = self._search(x)
+        return np.where(same, at, -1)
 
 
 class Level:
@@ -165,16 +178,19 @@ class Level:
         return b"".join([*(EliasFano.of(p).dump() for p in parts), weights[first].astype(np.uint8).tobytes(), levels.astype(np.uint8).tobytes()])
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The position of each pair, and of its context; -1 where the level has none."""
-        at, place = np.full(len(context), -1, np.int64), np.full(len(context), -1, np.int64)
-        c = self.contexts.successor(context)
-        ok = np.flatnonzero(c < self.contexts.n)
-        ok = ok[self.contexts.get(c[ok]) == context[ok]]
-        place[ok] = c[ok]
-        want = word[ok] + self.shifts.get(c[ok])
-        i = self.words.successor(want)
-        good = i < self.pointers.get(c[ok] + 1)
-        ok, i, want = ok[good], i[good], want[good]
-        same = self.words.get(i) == want
-        at[ok[same]] = i[same]
+        """The position of each pair, and of its context; -1 where the level has none.  Pairs of a context stand together."""
+        at = np.full(len(context), -1, np.int64)
+        if not len(context):
+            return at, at
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        many = np.diff(first, append=len(context))
+        own = self.contexts.find(context[first])
+        place = np.repeat(own, many)
+        known, held = np.flatnonzero(place >= 0), own >= 0
+        if not len(known):
+            return at, place
+        spread = lambda x: np.repeat(x, many[held])
+        i = self.words.find(word[known] + spread(self.shifts.get(own[held])))
+        good = (i >= 0) & (i < spread(self.pointers.get(own[held] + 1)))
+        at[known[good]] = i[good]
         return at, place

@@ -28,6 +28,7 @@ pair and the back-off weight of each context in 8 bits.
 from __future__ import annotations
 
 import mmap
+import struct
 import tempfile
 import zlib
 from collections.abc import Iterator
@@ -68,30 +69,60 @@ def kappa_of(order: int, kappa: tuple[float, ...]) -> float:
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """Whole numbers of 64 bits as differences, byte plane by byte plane, in one frame: ascending or repeated numbers cost little."""
-    if not arrays or not len(arrays[0]):
-        return b""
-    rows = np.stack([np.diff(a.astype(np.int64).view(np.uint64), prepend=np.uint64(0)) for a in arrays])
-    return zstandard.compress(np.ascontiguousarray(rows.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """Whole numbers from 0 on, each array byte plane by byte plane, in one frame: small ones cost little."""
+    head, planes = [struct.pack("<B", len(arrays))], []
+    for x in arrays:
+        x = np.ascontiguousarray(x, "<i8")
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        head.append(struct.pack("<QB", len(x), width))
+        planes += [x.view(np.uint8)[k::8].tobytes() for k in range(width)]
+    return zstandard.compress(b"".join([*head, *planes]), 1)
 
 
-def loosen(data: bytes, arrays: int) -> np.ndarray:
-    """The arrays of ``squeeze``, one in each row."""
-    if not data:
-        return np.zeros((arrays, 0), np.int64)
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    rows = np.ascontiguousarray(planes.T).view(np.uint64).reshape(arrays, -1)
-    return np.cumsum(rows, axis=1, dtype=np.uint64).view(np.int64)
+def loosen(data: bytes) -> list[np.ndarray]:
+    """The arrays of ``squeeze``."""
+    raw = zstandard.decompress(data)
+    n, at, out = raw[0], 1, []
+    sizes = [struct.unpack_from("<QB", raw, at + 9 * k) for k in range(n)]
+    at += 9 * n
+    for size, width in sizes:
+        x = np.zeros(size, "<i8")
+        for k in range(width):
+            x.view(np.uint8)[k::8] = np.frombuffer(raw, np.uint8, size, at)
+            at += size
+        out.append(x)
+    return out
 
 
-def press(x: np.ndarray) -> bytes:
-    """Unordered codes of 32 bits, byte plane by byte plane."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def zigzag(x: np.ndarray) -> np.ndarray:
+    """Differences, those below 0 too, as numbers from 0 on."""
+    d = np.diff(x, prepend=0)
+    return (d << 1) ^ (d >> 63)
 
 
-def unpress(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+def unzigzag(x: np.ndarray) -> np.ndarray:
+    return np.cumsum((x >> 1) ^ -(x & 1))
+
+
+def fresh(x: np.ndarray) -> np.ndarray:
+    """Whether a number differs from the one before."""
+    return np.append(True, x[1:] != x[:-1]) if len(x) else np.zeros(0, bool)
+
+
+def pack_cell(context: np.ndarray, word: np.ndarray, seen: np.ndarray, many: np.ndarray) -> bytes:
+    """Pairs in the order of contexts and words: words as differences within their context, its count once."""
+    new = fresh(context)
+    step = np.diff(word, prepend=0)
+    return squeeze(zigzag(context), np.where(new, word, step), seen, many[new])
+
+
+def unpack_cell(data: bytes) -> tuple[np.ndarray, ...]:
+    context, word, seen, many = loosen(data)
+    context = unzigzag(context)
+    first = np.flatnonzero(fresh(context))
+    run = np.diff(first, append=len(context))
+    total = np.cumsum(word)
+    return context, total - np.repeat(total[first] - word[first], run), seen, np.repeat(many, run)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -118,7 +149,7 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words = pa.concat_arrays([pa.array([b""], pa.binary()), coded.dictionary.cast(pa.binary())])
             one = pa.array([0, len(words)], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([(many + 1).tolist()], pa.list_(pa.int32())), pa.array([press(tokens)], pa.binary()), pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(counts.astype(np.int64)))],
+                [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([(many + 1).tolist()], pa.list_(pa.int32())), pa.array([squeeze(tokens)], pa.binary()), pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(counts.astype(np.int64)))],
                 ["block", "ids", "sizes", "tokens", "words", "counts"],
             )
             block += 1
@@ -127,17 +158,19 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return write_shared(rows.mapInArrow(run, BLOCKS), "lm-blocks")
 
 
-_WORD_ROWS = "block long, at int, part int, place long, count long"
+_WORD_ROWS = "block long, at int, place long, count long"
+#: A word's part, and in that many low bits its place in the part.
+PLACE_BITS, PLACE_MASK = 40, (1 << 40) - 1
 
 
 def settle_words(blocks: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
-    """``to, at, part, place, count`` of all local words that training has; each part's first number; all training tokens; distinct words.
+    """``to, at, place, count`` of all local words that training has; each part's first number; all training tokens; distinct words.
 
     One shuffle brings the local words of all blocks together; they stream by
     in the order of words, and a task holds the rows of one word: one for each
-    block that has it.  Their number is ``place`` behind the first of their part.
+    block that has it.  ``place`` holds the part, and the word's place in it.
     """
-    names = ["block", "at", "part", "place", "count"]
+    names = ["block", "at", "place", "count"]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, total = TaskContext.get().partitionId(), 0, 0
@@ -145,7 +178,7 @@ def settle_words(blocks: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
         last = None
 
         def rows(block: np.ndarray, at: np.ndarray, places: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(block), pa.array(at, pa.int32()), pa.array(np.full(len(block), part), pa.int32()), pa.array(places), pa.array(count)], names)
+            return pa.RecordBatch.from_arrays([pa.array(block), pa.array(at, pa.int32()), pa.array((part << PLACE_BITS) + places), pa.array(count)], names)
 
         def finish() -> Iterator[pa.RecordBatch]:
             """The rows of the word that is held."""
@@ -194,10 +227,10 @@ def settle_words(blocks: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
     many = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
     parts = max(blocks.sparkSession.sparkContext.defaultParallelism, int(many) // BUCKET_PAIRS + 1)
     settled = write_shared(local.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(settle, _WORD_ROWS), "lm-words")
-    found = settled.filter("at < 0").select("part", "place", "count").collect()
-    first = np.zeros(max((r["part"] for r in found), default=0) + 2, np.int64)
+    found = settled.filter("at < 0").select("place", "count").collect()
+    first = np.zeros(max((r["place"] >> PLACE_BITS for r in found), default=0) + 2, np.int64)
     for r in found:
-        first[r["part"] + 1] = r["place"]
+        first[(r["place"] >> PLACE_BITS) + 1] = r["place"] & PLACE_MASK
     first = np.cumsum(first)
     return settled.filter("at >= 0").withColumnRenamed("block", "to"), first, sum(r["count"] for r in found), int(first[-1])
 
@@ -236,15 +269,23 @@ class Step(NamedTuple):
 class Block:
     """A coded block, and what levels have answered so far."""
 
-    def __init__(self, row: dict, setting: tuple[int, int, int]) -> None:
+    def __init__(self, row: dict, answers: pa.Table | None, setting: tuple[int, int, int]) -> None:
         self.total, self.distinct, self.buckets = setting
         self.ids, self.sizes = row["ids"], np.array(row["sizes"], np.int64)
-        self.tokens = unpress(row["tokens"])
-        self.numbers, self.word_counts = loosen(row["numbers"], 2)
-        self.answers = [Answers(*loosen(x, 4)) for x in row["answers"]]
         self.starts = np.cumsum(self.sizes) - self.sizes
+        (self.tokens,), (numbers, self.word_counts) = loosen(row["tokens"]), loosen(row["numbers"])
+        self.numbers = unzigzag(numbers)
+        self.steps = [self._step(np.concatenate([[0], self.tokens[:-1]]), self.numbers, self.word_counts)]
+        self.answers: list[Answers] = []
+        orders = answers.column("order").to_numpy() if answers is not None else np.empty(0)
+        for order in sorted(set(orders.tolist())):
+            rows = answers.filter(pa.array(orders == order))
+            self.answers.append(self._gather(rows, self.steps[-1]))
+            if order < ORDER:
+                self.steps.append(self._next(self.steps[-1], self.answers[-1]))
 
     def _step(self, own: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> Step:
+        # The end of a text, code 0, is also the context of a first word.
         own[self.starts] = 0 if nodes is self.numbers else -1
         known = (own >= 0) & (counts[own] > 0) & (self.word_counts[self.tokens] > 0)
         keys, back = np.unique((own[known] << 32) | self.tokens[known], return_inverse=True)
@@ -252,16 +293,25 @@ class Block:
         pair[known] = back
         return Step(own, nodes, counts, pair, keys)
 
-    def steps(self) -> list[Step]:
-        """One step for each order that is answered, then that of the next one."""
-        # The end of a text, code 0, is also the context of a first word.
-        out = [self._step(np.concatenate([[0], self.tokens[:-1]]), self.numbers, self.word_counts)]
-        for done in self.answers:
-            own = np.concatenate([[-1], out[-1].pair[:-1]])
-            if not len(done.node):
-                done = Answers(*(np.full(1, -1, np.int64),) * 3, np.zeros(1, np.int64))
-            own[done.node[own] < 0] = -1
-            out.append(self._step(own, done.node, done.count))
+    def _next(self, step: Step, done: Answers) -> Step:
+        own = np.concatenate([[-1], step.pair[:-1]])
+        if not len(done.node):
+            done = Answers(*(np.full(1, -1, np.int64),) * 3, np.zeros(1, np.int64))
+        own[done.node[own] < 0] = -1
+        return self._step(own, done.node, done.count)
+
+    def _gather(self, rows: pa.Table, step: Step) -> Answers:
+        g = self.grams(step)
+        n = len(g.context)
+        out = Answers(*(np.zeros(n, np.int64) for _ in range(2)), np.full(n, -1, np.int64), np.zeros(n, np.int64))
+        for b, x in zip(rows.column("bucket").to_pylist(), rows.column("answer").to_pylist()):
+            own = g.order[g.cuts[b] : g.cuts[b + 1]]
+            level, weight, *more = loosen(x)
+            first = np.flatnonzero(fresh(g.context[own]))
+            out.level[own], out.weight[own] = level, np.repeat(weight, np.diff(first, append=len(own)))
+            if more:
+                known = own[level > 0]
+                out.node[known], out.count[known] = (b << NODE_BITS) + np.cumsum(more[0]) - 1, more[1]
         return out
 
     def grams(self, step: Step) -> Grams:
@@ -280,37 +330,50 @@ class Block:
         return Grams(context, word, seen, many, order, np.searchsorted(bucket[order], np.arange(self.buckets + 1)))
 
 
+def _dense(x: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """Numbers below 2**31 that stand for ``x`` in its order, and what they stand for (None: themselves)."""
+    if not len(x) or int(x.max()) < 1 << 31:
+        return None, x
+    return np.unique(x, return_inverse=True)
+
+
 def _answer(order: int, kappa: float):
     """A bucket's level from all blocks' pairs, and its answer to each block."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        cells = [loosen(x, 4) for x in rows.column("cell").to_pylist()]
+        cells = [unpack_cell(x) for x in rows.column("cell").to_pylist()]
+        cuts = np.cumsum([0, *(len(c[0]) for c in cells)])
         context, word, seen, many = (np.concatenate(x) for x in zip(*cells))
-        contexts, c = np.unique(context, return_inverse=True)
-        words, w = np.unique(word, return_inverse=True)
+        del cells
+        contexts, c = _dense(context)
+        words, w = _dense(word)
         pairs, first, back = np.unique((c << 32) | w, return_index=True, return_inverse=True)
+        del c, w, word
         count = np.bincount(back, seen, len(pairs)).astype(np.int64)
-        del c, w, seen
-        c, w, many = contexts[pairs >> 32], words[pairs & 0xFFFFFFFF], many[first]
-        weights = quantise(kappa / (many + kappa))
+        c, w, many = pairs >> 32, pairs & 0xFFFFFFFF, many[first]
+        c, w = c if contexts is None else contexts[c], w if words is None else words[w]
         kept = count > 0
+        weights = quantise(kappa / (many + kappa))
         with tempfile.TemporaryFile() as file:
             file.write(Level.build(c[kept], w[kept], quantise(count[kept] / (many[kept] + kappa)), weights[kept]))
             file.flush()
             level = Level(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
             at, place = level.find(c, w)
             known, there = at >= 0, place >= 0
-            levels = np.where(known, level.levels[at] if level.words.n else 0, 0)
+            levels = np.zeros(len(at), np.uint8)
+            levels[known] = level.levels[at[known]]
             # A context that has no pair in this bucket has its weight from its count.
-            weights = np.where(there, level.weights[place] if level.contexts.n else 0, weights)
-            nodes = np.where(known, (key[0].as_py() << NODE_BITS) + at, -1)
+            weights[there] = level.weights[place[there]]
             del level
-        out, end = [], 0
-        for cell in cells:
-            own = back[end : end + cell.shape[1]]
-            end += cell.shape[1]
-            out.append(squeeze(levels[own], weights[own], *((nodes[own], np.where(known[own], count[own], 0)) if order < ORDER else ())))
-        return pa.table([rows.column("block"), rows.column("bucket"), pa.array(out, pa.binary())], names=["to", "bucket", "answer"])
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            own = back[a:b]
+            parts = [levels[own], weights[own[fresh(context[a:b])]]]
+            if order < ORDER:
+                found = own[known[own]]
+                parts += [np.diff(at[found] + 1, prepend=0), count[found]]
+            out.append(squeeze(*parts))
+        return pa.table([rows.column("block"), rows.column("bucket"), pa.array([order] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["to", "bucket", "order", "answer"])
 
     return run
 
@@ -329,61 +392,55 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     settled, first, total, distinct = settle_words(blocks)
     tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + s))).first()[0] or 0
     setting = (total, distinct, max(4, int(tokens) // BUCKET_PAIRS))
-    fields = "block long, ids array<long>, sizes array<int>, tokens binary, numbers binary, answers array<binary>"
-    names = ["block", "ids", "sizes", "tokens", "numbers", "answers"]
+    names = ["block", "ids", "sizes", "tokens", "numbers"]
 
     def number(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         n = left.column("n_words")[0].as_py()
         numbers, counts = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-        at = right.column("at").to_numpy()
-        numbers[at] = right.column("place").to_numpy() + first[right.column("part").to_numpy()]
+        at, place = right.column("at").to_numpy(), right.column("place").to_numpy()
+        numbers[at] = (place & PLACE_MASK) + first[place >> PLACE_BITS]
         counts[at] = right.column("count").to_numpy()
-        # Codes follow numbers, so that pairs in the order of codes are in the order of numbers.
+        # Codes follow numbers, so that pairs in the order of codes are in the order of numbers; the end keeps code 0.
         order = np.concatenate([[0], np.argsort(numbers[1:], kind="stable") + 1])
         code = np.empty(n, np.int64)
         code[order] = np.arange(n)
-        tokens = press(code[unpress(left.column("tokens")[0].as_py())])
-        return pa.table([*(left.column(c) for c in names[:3]), pa.array([tokens], pa.binary()), pa.array([squeeze(numbers[order], counts[order])], pa.binary()), pa.array([[]], pa.list_(pa.binary()))], names=names)
+        (tokens,) = loosen(left.column("tokens")[0].as_py())
+        blobs = (squeeze(code[tokens]), squeeze(zigzag(numbers[order]), counts[order]))
+        return pa.table([*(left.column(c) for c in names[:3]), *(pa.array([x], pa.binary()) for x in blobs)], names=names)
+
+    def asked(left: pa.Table, answers: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        for row in left.to_pylist():
+            block = Block(row, answers, setting)
+            g = block.grams(block.steps[-1])
+            cells, buckets = [], np.flatnonzero(np.diff(g.cuts))
+            for b in buckets.tolist():
+                own = g.order[g.cuts[b] : g.cuts[b + 1]]
+                cells.append(pack_cell(g.context[own], g.word[own], g.seen[own], g.many[own]))
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([row["block"]] * len(cells), pa.int64()), pa.array(cells, pa.binary())], CELLS)
+
+    CELLS = ["bucket", "block", "cell"]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                block = Block(row, setting)
-                g = block.grams(block.steps()[-1])
-                cells, buckets = [], np.flatnonzero(np.diff(g.cuts))
-                for b in buckets.tolist():
-                    own = g.order[g.cuts[b] : g.cuts[b + 1]]
-                    cells.append(squeeze(g.context[own], g.word[own], g.seen[own], g.many[own]))
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([row["block"]] * len(cells), pa.int64()), pa.array(cells, pa.binary())], ["bucket", "block", "cell"])
-
-    def gather(g: Grams, right: pa.Table, parts: int) -> np.ndarray:
-        out = np.zeros((4, len(g.context)), np.int64)
-        for b, x in zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist()):
-            out[:parts, g.order[g.cuts[b] : g.cuts[b + 1]]] = loosen(x, parts)
-        return out
+                yield from asked(pa.Table.from_batches([batch.slice(k, 1)]), None)
 
-    def absorb(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        block = Block(row, setting)
-        g = block.grams(block.steps()[-1])
-        row["answers"].append(squeeze(*gather(g, right, 4)))
-        return pa.Table.from_pylist([row], pa.schema([(n, left.schema.field(n).type) for n in names]))
+    def ask_on(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(asked(left, right))
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left.to_pylist()[0], setting)
-        steps = block.steps()
-        answers = [*block.answers, Answers(*gather(block.grams(steps[-1]), right, 2))]
+        block = Block(left.to_pylist()[0], right, setting)
         count = block.word_counts[block.tokens]
         base = (count + 1) / (total + distinct + 1)
         value = base.copy()
-        for order, (step, a) in enumerate(zip(steps, answers), 2):
+        for order, step in enumerate(block.steps, 2):
             k = kappa_of(order, kappa)
             weight = quantise(k / (step.context_count() + k))
-            has = step.pair >= 0
-            weight[has] = a.weight[step.pair[has]]
             level = np.zeros(len(value), np.uint8)
-            level[has] = a.level[step.pair[has]]
+            if order - 2 < len(block.answers):  # a block without a known pair has none
+                a, has = block.answers[order - 2], step.pair >= 0
+                weight[has] = a.weight[step.pair[has]]
+                level[has] = a.level[step.pair[has]]
             value = unquantise(level) + unquantise(weight) * value
 
         def by_doc(x: np.ndarray) -> np.ndarray:
@@ -394,19 +451,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     left = blocks.select(*names[:4], F.size("words").alias("n_words")).groupBy("block")
-    coded = write_shared(left.cogroup(settled.groupBy("to")).applyInArrow(number, fields), "lm-coded")
+    coded = left.cogroup(settled.groupBy("to")).applyInArrow(number, "block long, ids array<long>, sizes array<int>, tokens binary, numbers binary")
+    coded = write_shared(coded, "lm-coded")
     drop_shared(blocks)
+    drop_shared(settled)
     release_shuffles(spark)
+    answers, cells = None, "bucket long, block long, cell binary"
     for order in range(2, ORDER + 1):
-        asked = coded.mapInArrow(ask, "bucket long, block long, cell binary")
-        answers = write_shared(asked.groupBy("bucket").applyInArrow(_answer(order, kappa_of(order, kappa)), "to long, bucket long, answer binary"), "lm-answers")
+        pairs = coded.mapInArrow(ask, cells) if answers is None else coded.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(ask_on, cells)
+        found = write_shared(pairs.groupBy("bucket").applyInArrow(_answer(order, kappa_of(order, kappa)), "to long, bucket long, order int, answer binary"), "lm-answers")
         release_shuffles(spark)
-        met = coded.groupBy("block").cogroup(answers.groupBy("to"))
-        if order < ORDER:
-            before, coded = coded, write_shared(met.applyInArrow(absorb, fields), "lm-coded")
-            drop_shared(before)
-            drop_shared(answers)
-            release_shuffles(spark)
+        answers = found if answers is None else answers.unionByName(found)
+    met = coded.groupBy("block").cogroup(answers.groupBy("to"))
     return met.applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
