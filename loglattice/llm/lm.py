@@ -69,10 +69,12 @@ def kappa_of(order: int, kappa: tuple[float, ...]) -> float:
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """Whole numbers from 0 on, each array byte plane by byte plane, in one frame: small ones cost little."""
+    """Whole numbers, none below 0, each array byte plane by byte plane, in one frame: small ones cost little."""
     head, planes = [struct.pack("<B", len(arrays))], []
     for x in arrays:
         x = np.ascontiguousarray(x, "<i8")
+        if len(x) and x.min() < 0:
+            raise ValueError("a number below 0")
         width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
         head.append(struct.pack("<QB", len(x), width))
         planes += [x.view(np.uint8)[k::8].tobytes() for k in range(width)]
@@ -132,12 +134,12 @@ def held_out(doc_id: int | None) -> bool:
 BLOCKS = "block long, ids array<long>, sizes array<int>, tokens binary, words array<binary>, counts array<long>"
 
 
-def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def make_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     """Documents by block; code 0 is the end of a text, whose word is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text", BLOCK_BYTES):
+        for batch in slices(batches, "text", block_bytes):
             split = [t.encode("utf-8", "replace").lower().split() for t in batch.column("text").to_pylist()]
             many = np.fromiter(map(len, split), np.int64, len(split))
             coded = pa.array([w for t in split for w in t], pa.binary()).dictionary_encode()
@@ -163,7 +165,7 @@ _WORD_ROWS = "block long, at int, place long, count long"
 PLACE_BITS, PLACE_MASK = 40, (1 << 40) - 1
 
 
-def settle_words(blocks: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
+def settle_words(blocks: DataFrame, most: int) -> tuple[DataFrame, np.ndarray, int, int]:
     """``to, at, place, count`` of all local words that training has; each part's first number; all training tokens; distinct words.
 
     One shuffle brings the local words of all blocks together; they stream by
@@ -225,7 +227,7 @@ def settle_words(blocks: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
 
     local = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "e")).select("block", "at", F.col("e.words").alias("word"), F.col("e.counts").alias("count"))
     many = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
-    parts = max(blocks.sparkSession.sparkContext.defaultParallelism, int(many) // BUCKET_PAIRS + 1)
+    parts = max(blocks.sparkSession.sparkContext.defaultParallelism, int(many) // most + 1)
     settled = write_shared(local.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(settle, _WORD_ROWS), "lm-words")
     found = settled.filter("at < 0").select("place", "count").collect()
     first = np.zeros(max((r["place"] >> PLACE_BITS for r in found), default=0) + 2, np.int64)
@@ -270,10 +272,11 @@ class Block:
     """A coded block, and what levels have answered so far."""
 
     def __init__(self, row: dict, answers: pa.Table | None, setting: tuple[int, int, int]) -> None:
-        self.total, self.distinct, self.buckets = setting
+        self.total, self.buckets, last = setting
         self.ids, self.sizes = row["ids"], np.array(row["sizes"], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        (self.tokens,), (numbers, self.word_counts) = loosen(row["tokens"]), loosen(row["numbers"])
+        (self.tokens, end), (numbers, self.word_counts) = loosen(row["tokens"]), loosen(row["numbers"])
+        self.end = int(end[0])
         self.numbers = unzigzag(numbers)
         self.steps = [self._step(np.concatenate([[0], self.tokens[:-1]]), self.numbers, self.word_counts)]
         self.answers: list[Answers] = []
@@ -281,12 +284,12 @@ class Block:
         for order in sorted(set(orders.tolist())):
             rows = answers.filter(pa.array(orders == order))
             self.answers.append(self._gather(rows, self.steps[-1]))
-            if order < ORDER:
+            if order < last:
                 self.steps.append(self._next(self.steps[-1], self.answers[-1]))
 
     def _step(self, own: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> Step:
-        # The end of a text, code 0, is also the context of a first word.
-        own[self.starts] = 0 if nodes is self.numbers else -1
+        # The end of a text is also the context of a first word.
+        own[self.starts] = self.end if nodes is self.numbers else -1
         known = (own >= 0) & (counts[own] > 0) & (self.word_counts[self.tokens] > 0)
         keys, back = np.unique((own[known] << 32) | self.tokens[known], return_inverse=True)
         pair = np.full(len(own), -1, np.int64)
@@ -337,7 +340,7 @@ def _dense(x: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
     return np.unique(x, return_inverse=True)
 
 
-def _answer(order: int, kappa: float):
+def _answer(kappa: float, order: int, last: int):
     """A bucket's level from all blocks' pairs, and its answer to each block."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -369,7 +372,7 @@ def _answer(order: int, kappa: float):
         for a, b in zip(cuts, cuts[1:]):
             own = back[a:b]
             parts = [levels[own], weights[own[fresh(context[a:b])]]]
-            if order < ORDER:
+            if order < last:
                 found = own[known[own]]
                 parts += [np.diff(at[found] + 1, prepend=0), count[found]]
             out.append(squeeze(*parts))
@@ -378,20 +381,29 @@ def _answer(order: int, kappa: float):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kappa: tuple[float, ...] = KAPPA) -> DataFrame:
+def score_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    last: int = ORDER,
+    kappa: tuple[float, ...] = KAPPA,
+    block_bytes: int = BLOCK_BYTES,
+    bucket_pairs: int = BUCKET_PAIRS,
+) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     Documents whose id has a crc32 of 2 modulo 7 are held out; those without an
     id train.  A null text is empty: its one token is the end.  Repeated rows
     count as often as they stand.  Every text is used whole; other columns are
-    left out.  With no training document every probability is 1 in 1.  A block
-    holds 8 MB of texts, or one longer text.
+    left out.  With no training document every probability is 1 in 1.  ``last``
+    is the order of the longest n-grams.  A block holds ``block_bytes`` of texts,
+    or one longer text.
     """
     spark = docs.sparkSession
-    blocks = make_blocks(docs, id_col, text_col)
-    settled, first, total, distinct = settle_words(blocks)
+    blocks = make_blocks(docs, id_col, text_col, block_bytes)
+    settled, first, total, distinct = settle_words(blocks, bucket_pairs)
     tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + s))).first()[0] or 0
-    setting = (total, distinct, max(4, int(tokens) // BUCKET_PAIRS))
+    setting = (total, max(4, int(tokens) // bucket_pairs), last)
     names = ["block", "ids", "sizes", "tokens", "numbers"]
 
     def number(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -400,12 +412,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at, place = right.column("at").to_numpy(), right.column("place").to_numpy()
         numbers[at] = (place & PLACE_MASK) + first[place >> PLACE_BITS]
         counts[at] = right.column("count").to_numpy()
-        # Codes follow numbers, so that pairs in the order of codes are in the order of numbers; the end keeps code 0.
-        order = np.concatenate([[0], np.argsort(numbers[1:], kind="stable") + 1])
+        # Codes follow numbers, so that pairs in the order of codes are in the order of numbers.
+        order = np.argsort(numbers, kind="stable")
         code = np.empty(n, np.int64)
         code[order] = np.arange(n)
         (tokens,) = loosen(left.column("tokens")[0].as_py())
-        blobs = (squeeze(code[tokens]), squeeze(zigzag(numbers[order]), counts[order]))
+        blobs = (squeeze(code[tokens], code[:1]), squeeze(zigzag(numbers[order]), counts[order]))
         return pa.table([*(left.column(c) for c in names[:3]), *(pa.array([x], pa.binary()) for x in blobs)], names=names)
 
     def asked(left: pa.Table, answers: pa.Table | None) -> Iterator[pa.RecordBatch]:
@@ -457,9 +469,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_shared(settled)
     release_shuffles(spark)
     answers, cells = None, "bucket long, block long, cell binary"
-    for order in range(2, ORDER + 1):
+    for order in range(2, last + 1):
         pairs = coded.mapInArrow(ask, cells) if answers is None else coded.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(ask_on, cells)
-        found = write_shared(pairs.groupBy("bucket").applyInArrow(_answer(order, kappa_of(order, kappa)), "to long, bucket long, order int, answer binary"), "lm-answers")
+        found = write_shared(pairs.groupBy("bucket").applyInArrow(_answer(kappa_of(order, kappa), order, last), "to long, bucket long, order int, answer binary"), "lm-answers")
         release_shuffles(spark)
         answers = found if answers is None else answers.unionByName(found)
     met = coded.groupBy("block").cogroup(answers.groupBy("to"))

@@ -48,13 +48,11 @@ def test_level_in_a_mapped_file(tmp_path):
 
 
 @pytest.mark.parametrize("order", [2, 3, 4])
-def test_lm_scores(spark, make_docs, odd_rows, prose, monkeypatch, order):
-    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
-    monkeypatch.setattr(lm, "BUCKET_PAIRS", 500)
-    monkeypatch.setattr(lm, "ORDER", order)
+def test_lm_scores(spark, make_docs, odd_rows, prose, order):
+    """With several blocks a task, words of many tasks, and contexts that are spread over buckets."""
     rows = [(i, prose(40 + i)) for i in range(100, 160)] + odd_rows
     rows += [(i, " ".join(f"w{(i * 7 + k) % 30}" for k in range(40))) for i in range(200, 260)]  # one word follows from another
-    got = lm.score_documents(make_docs(rows).repartition(3)).collect()
+    got = lm.score_documents(make_docs(rows).repartition(3), last=order, block_bytes=2000, bucket_pairs=500).collect()
     tokens = [(t or "").encode().lower().split() + [b""] for _, t in rows]
     out = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
     grams = Counter()
