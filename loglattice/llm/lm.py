@@ -314,7 +314,7 @@ class Block:
             out.level[own], out.weight[own] = level, np.repeat(weight, np.diff(first, append=len(own)))
             if more:
                 known = own[level > 0]
-                out.node[known], out.count[known] = (b << NODE_BITS) + np.cumsum(more[0]) - 1, more[1]
+                out.node[known], out.count[known] = (b << NODE_BITS) + unzigzag(more[0]), more[1]
         return out
 
     def grams(self, step: Step) -> Grams:
@@ -374,7 +374,7 @@ def _answer(kappa: float, order: int, last: int):
             parts = [levels[own], weights[own[fresh(context[a:b])]]]
             if order < last:
                 found = own[known[own]]
-                parts += [np.diff(at[found] + 1, prepend=0), count[found]]
+                parts += [zigzag(at[found]), count[found]]
             out.append(squeeze(*parts))
         return pa.table([rows.column("block"), rows.column("bucket"), pa.array([order] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["to", "bucket", "order", "answer"])
 
