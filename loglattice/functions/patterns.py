@@ -31,7 +31,9 @@ class PatternSet:
 
     @property
     def fold(self) -> bool:
-        return bool({"-i", "--ignore-case"} & set(self.flags))
+        """Whether case is ignored: the last flag that speaks of it decides.  ``-P`` needs nothing: patterns are Perl-like anyway."""
+        said = [f for f in self.flags if f in ("-i", "--ignore-case", "--case-sensitive")]
+        return bool(said) and said[-1] != "--case-sensitive"
 
     def regex(self, k: int) -> str:
         """Pattern ``k`` (from 0) as a Java regular expression in which only line feeds end lines."""

@@ -11,14 +11,37 @@ VERSION = 2
 SOURCE = ["path", "size", "mtime"]
 
 
-def save_index(index: DataFrame, path: str, mode: str = "append") -> None:
-    """Spark's commit keeps half-written indexes out."""
-    index.write.mode(mode).parquet(path)
+def save_index(index: DataFrame, path: str) -> None:
+    """Adds indexes to those that are kept; Spark's commit keeps half-written ones out."""
+    index.withColumns({"kept_at": F.current_timestamp(), "deleted": F.lit(False)}).write.mode("append").option("mergeSchema", "true").parquet(path)
+
+
+def _latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last row that was kept of each state of a file, deleted ones left out."""
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    last = rows.groupBy(*SOURCE).agg(F.max_by(F.struct("*"), "kept_at").alias("r"))
+    return last.select("r.*").filter("not deleted").drop("deleted")
 
 
 def load_index(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     """Kept indexes of files that haven't changed since."""
-    return spark.read.parquet(path).join(files.select(*SOURCE), SOURCE, "left_semi")
+    return _latest(spark, path).join(files.select(*SOURCE), SOURCE, "left_semi")
+
+
+def delete_index(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    """Drop the kept indexes of files (``path``); gives the paths that had one.
+
+    A row that says so is added, since stores only add or replace whole files.
+    """
+    gone = spark.createDataFrame(_latest(spark, path).join(files.select("path"), "path", "left_semi").select(*SOURCE).collect(), _latest(spark, path).select(*SOURCE).schema)
+    gone.withColumns({"kept_at": F.current_timestamp(), "deleted": F.lit(True)}).write.mode("append").parquet(path)
+    return gone.select("path").distinct()
+
+
+def index_info(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    """What is kept of each file: ``path, size, kept_at, analyzed, line_count, index_entries``; nulls where nothing is."""
+    kept = load_index(spark, path, files).select("path", "kept_at", "analyzed", "line_count", F.size("line_index").alias("index_entries"))
+    return files.select("path", "size").join(kept, "path", "left")
 
 
 def to_build(files: DataFrame, kept: DataFrame, analyze: bool = False, force: bool = False) -> DataFrame:

@@ -281,11 +281,20 @@ DETECTORS: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
 BANDS = [(0.0, 0.4, "low"), (0.4, 0.6, "medium"), (0.6, 0.8, "high"), (0.8, 1.0, "critical")]
 
 
-def analyze(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """The anomalies that the named detectors (default: all) find, without repeats."""
+def window_lines(*wanted: int | str | None) -> int:
+    """The window size by the first source that names one (request, command line, environment), within its bounds."""
+    for w in wanted:
+        if w not in (None, "") and int(w) > 0:
+            return min(int(w), MOST_WINDOW_LINES)
+    return WINDOW_LINES
+
+
+def analyze(lines: DataFrame, names: list[str] | None = None, window: int | None = None) -> DataFrame:
+    """The anomalies that the named detectors (default: all) find, without repeats; ``window`` as in ``window_lines``."""
     out = None
     for name in names or DETECTORS:
-        found = DETECTORS[name][0](lines)
+        more = {"window": window_lines(window)} if name == "json-blob-multiline" else {}
+        found = DETECTORS[name][0](lines, **more)
         out = found if out is None else out.unionByName(found)
     return dedup(out)
 

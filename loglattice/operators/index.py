@@ -88,10 +88,25 @@ def nearest_checkpoint(wanted: DataFrame, points: DataFrame, by: str = "line_num
     return found.select("file_id", by, "found.*")
 
 
-def build(lines: DataFrame, step: int = STEP) -> DataFrame:
-    """One row for each file: statistics, ending and the checkpoints as an array of (line, offset)."""
+def build(lines: DataFrame, step: int = STEP, analyze: bool = False, files: DataFrame | None = None, window: int | None = None) -> DataFrame:
+    """One row for each file: statistics, ending and the checkpoints as an array of (line, offset).
+
+    ``analyzed`` tells whether ``anomalies`` were looked for.  With ``files``
+    (``path, size, mtime``, the path being the file's id) the row also has these,
+    as kept indexes need.
+    """
     points = checkpoints(lines, step).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "byte_offset"))).alias("line_index"))
-    return line_stats(lines).join(line_endings(lines), "file_id").join(points, "file_id")
+    out = line_stats(lines).join(line_endings(lines), "file_id").join(points, "file_id").withColumn("analyzed", F.lit(analyze))
+    if analyze:
+        from .detectors import analyze as anomalies_of
+
+        found = anomalies_of(lines, window=window)
+        shape = F.struct(*[F.col(c) for c in found.columns if c != "file_id"])
+        each = found.groupBy("file_id").agg(F.array_sort(F.collect_list(shape)).alias("anomalies"))
+        out = out.join(each, "file_id", "left").withColumn("anomalies", F.coalesce("anomalies", F.array().cast(each.schema["anomalies"].dataType)))
+    if files is not None:
+        out = out.join(files.select(F.col("path").alias("file_id"), "path", "size", "mtime"), "file_id")
+    return out
 
 
 def needs_index(size: Column, analyze: bool = False, threshold: int = LARGE_FILE) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from typing import NamedTuple
 
@@ -9,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CONTEXT = 3
-#: Requests that one call takes; they are sent to all tasks.
-MOST_REQUESTS = 10_000
+_REQUESTS = "array<struct<key:string,first:bigint,last:bigint>>"
 
 
 class Request(NamedTuple):
@@ -33,11 +33,11 @@ def parse(spec: str) -> list[Request]:
     return out
 
 
-def _requests(lines: DataFrame, spec: str | list[Request]) -> DataFrame:
+def _asked(files: DataFrame, spec: str | list[Request]) -> DataFrame:
+    """``files`` with ``key, first, last`` of each request; the requests are one literal of the plan."""
     wanted = parse(spec) if isinstance(spec, str) else spec
-    if len(wanted) > MOST_REQUESTS:
-        raise ValueError(f"more than {MOST_REQUESTS} requests")
-    return lines.sparkSession.createDataFrame([tuple(r) for r in wanted], "key string, first long, last long")
+    text = json.dumps([r._asdict() for r in wanted])
+    return files.withColumn("__r", F.explode(F.from_json(F.lit(text), _REQUESTS))).select(*files.columns, "__r.*")
 
 
 def _sizes(lines: DataFrame) -> DataFrame:
@@ -56,18 +56,44 @@ def by_line(lines: DataFrame, spec: str | list[Request], before: int = CONTEXT,
     A single place comes with its context; a range has none.  A negative place
     counts from the last line and is renamed to the place it means.
     """
-    wanted = _requests(lines, spec)
-    sizes = _sizes(lines)
+    return _windows(lines, _line_windows(_sizes(lines), spec, before, after))
+
+
+def _line_windows(sizes: DataFrame, spec: str | list[Request], before: int, after: int, *more: str) -> DataFrame:
+    """``file_id, key, low, high, target`` of the requests, from ``file_id, n_lines``."""
     place = F.when(F.col("first") < 0, F.greatest(F.lit(1), F.col("n_lines") + F.col("first") + 1)).otherwise(F.col("first"))
     single = F.col("last").isNull()
-    windows = sizes.crossJoin(F.broadcast(wanted)).select(
-        "file_id",
+    return _asked(sizes, spec).select(
+        "file_id", *(["n_lines", *more] if more else []),
         F.when(F.col("first") < 0, place.cast("string")).otherwise(F.col("key")).alias("key"),
         F.when(single, F.greatest(F.lit(1), place - before)).otherwise(F.col("first")).alias("low"),
         F.when(single, place + after).otherwise(F.col("last")).alias("high"),
         F.when(single, place).alias("target"),
     )
-    return _windows(lines, windows)
+
+
+def by_line_indexed(spark, path: str, index: DataFrame, spec: str | list[Request], before: int = CONTEXT, after: int = CONTEXT) -> DataFrame:
+    """``by_line`` of files below ``path`` by their line index (``file_id, line_count, line_index``, see ``index.build``).
+
+    For each window only the bytes from the checkpoint at or before its first
+    line to the first checkpoint behind its last are read.  The driver gets one
+    range of bytes for each file and request.
+    """
+    from ..sources.files import read_ranges
+
+    points = F.col("line_index")
+    windows = _line_windows(index.select("file_id", F.col("line_count").alias("n_lines"), points), spec, before, after, "line_index").filter("low <= n_lines")
+    begin = F.filter(points, lambda p: p["line_number"] <= F.col("low"))
+    behind = F.filter(points, lambda p: p["line_number"] > F.col("high"))
+    spots = windows.select("file_id", F.element_at(begin, -1).alias("a"), F.try_element_at(behind, F.lit(1)).alias("b"))
+    spots = spots.select("file_id", F.col("a.byte_offset").alias("start"), F.coalesce("b.byte_offset", F.lit((1 << 63) - 1)).alias("stop"), F.col("a.line_number").alias("first"))
+    ranges: list[list] = []
+    for r in spots.orderBy("file_id", "start", "stop").collect():
+        if ranges and ranges[-1][0] == r["file_id"] and r["start"] < ranges[-1][2]:
+            ranges[-1][2] = max(ranges[-1][2], r["stop"])
+        else:
+            ranges.append([r["file_id"], r["start"], r["stop"], r["first"]])
+    return _windows(read_ranges(spark, path, ranges), windows.drop("n_lines", "line_index"))
 
 
 def by_offset(lines: DataFrame, spec: str | list[Request], before: int = CONTEXT, after: int = CONTEXT) -> DataFrame:
@@ -76,10 +102,9 @@ def by_offset(lines: DataFrame, spec: str | list[Request], before: int = CONTEXT
     A negative byte counts from the end; one beyond the end means the place
     behind the last line.
     """
-    wanted = _requests(lines, spec)
     sizes = _sizes(lines)
     byte = F.when(F.col("first") < 0, F.greatest(F.lit(0), F.col("n_bytes") + F.col("first"))).otherwise(F.col("first"))
-    asked = sizes.crossJoin(F.broadcast(wanted)).select("file_id", "n_lines", "n_bytes", F.when(F.col("first") < 0, byte.cast("string")).otherwise(F.col("key")).alias("key"), byte.alias("a"), F.coalesce("last", byte).alias("b"), F.col("last").isNull().alias("single"))
+    asked = _asked(sizes, spec).select("file_id", "n_lines", "n_bytes", F.when(F.col("first") < 0, byte.cast("string")).otherwise(F.col("key")).alias("key"), byte.alias("a"), F.coalesce("last", byte).alias("b"), F.col("last").isNull().alias("single"))
     inside = lambda c: (F.col("start_offset") <= F.col(c)) & (F.col(c) < F.col("end_offset"))
     found = asked.join(lines.select("file_id", "line_number", "start_offset", "end_offset"), "file_id").filter(inside("a") | inside("b"))
     places = found.groupBy("file_id", "key", "single").agg(F.max(F.when(inside("a"), F.col("line_number"))).alias("x"), F.max(F.when(inside("b"), F.col("line_number"))).alias("y"))

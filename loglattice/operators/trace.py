@@ -18,16 +18,18 @@ def _texts(line: Column, regex: str) -> Column:
 
 def submatches(line: Column, regex: str) -> Column:
     """``array<struct<text, start, end>>``: what the expression matches, left to right, in bytes of the line."""
-    found, around = _texts(line, regex), F.split(line, regex, -1)
-
-    def bytes_before(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.octet_length(x))
-
-    def one(text: Column, k: Column) -> Column:
-        start = bytes_before(around, k + 1) + bytes_before(found, k)
-        return F.struct(text.alias("text"), start.alias("start"), (start + F.octet_length(text)).alias("end"))
-
-    return F.transform(found, one)
+    found = _texts(line, regex)
+    # Each match with the text before it; the place where it begins runs along.
+    parts = F.arrays_zip(F.slice(F.split(line, regex, -1), 1, F.size(found)).alias("before"), found.alias("text"))
+    kind = "array<struct<text:string,start:int,end:int>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.octet_length(x["before"])
+        end = start + F.octet_length(x["text"])
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(x["text"].alias("text"), start.alias("start"), end.alias("end"))).alias("out"))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    return F.aggregate(parts, first, step, lambda acc: acc["out"])
 
 
 def matches(lines: DataFrame, patterns: PatternSet, with_submatches: bool = True) -> DataFrame:

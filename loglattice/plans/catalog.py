@@ -11,7 +11,7 @@ from ..functions import text as fn
 from ..functions.patterns import PatternSet
 from ..operators import caches, detectors, frames, index, samples, trace, tree
 from ..sources import files as sources
-from .corpus import LINES_SQL, document_lines, log_lines, log_sql, table
+from .corpus import FILED_SQL, LINES_SQL, document_lines, filed, log_lines, log_sql, number_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,7 +168,7 @@ def index_longest_line(spark, sf_dir):
     return index.line_stats(document_lines(spark, sf_dir)).select("file_id", "max_line_number", "max_byte_offset").filter("max_line_number is not null")
 
 
-@query("SELECT doc_id AS file_id, CASE doc_id % 3 WHEN 0 THEN 'CRLF' WHEN 1 THEN 'LF' ELSE CASE WHEN contains(text, chr(10)) THEN 'mixed' ELSE 'LF' END END AS line_ending FROM documents WHERE doc_id % 3 <> 0 OR contains(text, chr(10))")
+@query("SELECT doc_id AS file_id, CASE doc_id % 3 WHEN 0 THEN 'CRLF' WHEN 1 THEN 'LF' ELSE CASE WHEN contains(text, chr(10)) THEN 'mixed' ELSE 'LF' END END AS line_ending FROM documents WHERE text <> '' OR (doc_id % 3 = 0 AND text IS NOT NULL)")
 def index_line_endings(spark, sf_dir):
     """A third of the documents with carriage returns at all lines, a third with one behind the first."""
     docs = table(spark, sf_dir, "documents")
@@ -178,7 +178,7 @@ def index_line_endings(spark, sf_dir):
     from ..sources.lines import lines_of
 
     kind = F.col("doc_id") % 3
-    made = docs.filter((kind != 0) | (F.instr("text", "\n") > 0)).withColumn("text", F.when(kind == 0, crlf).when(kind == 1, F.col("text")).otherwise(one))
+    made = docs.withColumn("text", F.when(kind == 0, crlf).when(kind == 1, F.col("text")).otherwise(one))
     return index.line_endings(lines_of(made, "doc_id", "text"))
 
 
@@ -199,11 +199,11 @@ def index_checkpoints(spark, sf_dir):
 @query(
     _CHECKPOINTS
     + """SELECT t.file_id, t.line_number, w.line_number AS checkpoint_line, w.byte_offset AS checkpoint_offset
-FROM (SELECT file_id, line_number FROM lines WHERE line_number % 5 = 2) t ASOF JOIN walk w ON t.file_id = w.file_id AND t.line_number >= w.line_number"""
+FROM (SELECT file_id, line_number FROM lines) t ASOF JOIN walk w ON t.file_id = w.file_id AND t.line_number >= w.line_number"""
 )
 def checkpoint_lookup(spark, sf_dir):
     lines = document_lines(spark, sf_dir)
-    return index.nearest_checkpoint(lines.filter("line_number % 5 = 2"), index.checkpoints(lines, 2000))
+    return index.nearest_checkpoint(lines, index.checkpoints(lines, 2000))
 
 
 @query(with_lines("SELECT file_id, count(*) AS line_count, CAST(max(end_offset) AS BIGINT) AS size FROM lines GROUP BY 1 HAVING max(end_offset) >= 3000"))
@@ -655,13 +655,13 @@ def tree_totals(spark, sf_dir):
     return tree.totals(_entries(spark, sf_dir))
 
 
-@query("SELECT DISTINCT key, CAST(regexp_extract(key, '^-?[0-9]+') AS BIGINT) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN CAST(event_id % 97 AS VARCHAR) WHEN 1 THEN CAST(event_id % 89 AS VARCHAR) || '-' || (event_id % 89 + 5) ELSE '-' || (event_id % 83) END AS key FROM events) ORDER BY n, key LIMIT 200")
+@query("SELECT DISTINCT key, CAST(regexp_extract(key, '^-?[0-9]+') AS BIGINT) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN CAST(event_id % 97 AS VARCHAR) WHEN 1 THEN CAST(event_id % 89 AS VARCHAR) || '-' || (event_id % 89 + 5) ELSE '-' || (event_id % 83) END AS key FROM events) ")
 def sample_keys_in_order(spark, sf_dir):
     e = F.col("event_id")
     text = lambda n: (e % n).cast("string")
     key = F.when(e % 3 == 0, text(97)).when(e % 3 == 1, F.concat(text(89), F.lit("-"), (e % 89 + 5).cast("string"))).otherwise(F.concat(F.lit("-"), text(83)))
     keys = table(spark, sf_dir, "events").select(key.alias("key")).distinct()
-    return samples.in_order(keys).limit(200).select("key", F.regexp_extract("key", r"^-?\d+", 0).cast("long").alias("n"))
+    return samples.in_order(keys).select("key", F.regexp_extract("key", r"^-?\d+", 0).cast("long").alias("n"))
 
 
 @query(with_lines("SELECT file_id, '2' AS key, string_agg(CASE WHEN line_number = 2 THEN '> ' ELSE '  ' END || line_number || ': ' || line, chr(10) ORDER BY line_number) AS text FROM lines WHERE line_number BETWEEN 1 AND 3 GROUP BY 1"))
@@ -683,3 +683,37 @@ def first_of_each(spark, sf_dir):
 @query(with_lines("SELECT '{\"pattern_id\":\"p1\",\"file_id\":' || file_id || ',\"offset\":' || start_offset || ',\"line_number\":' || line_number || '}' AS json FROM lines WHERE contains(line, 'theaan')"))
 def trace_json(spark, sf_dir):
     return trace.as_json(_search(spark, sf_dir, "theaan").drop("line_text"))
+
+
+# Files, written by the query and read back.
+
+
+@query(f"WITH {FILED_SQL} SELECT * FROM filed")
+def files_lines(spark, sf_dir):
+    lines = sources.read_lines(spark, filed(spark, sf_dir), 1 << 20)
+    return lines.select(number_of(), "line_number", "start_offset", "line")
+
+
+@query(f"WITH {FILED_SQL} SELECT * FROM filed")
+def files_lines_gzip(spark, sf_dir):
+    lines = sources.read_lines(spark, filed(spark, sf_dir, "gzip"))
+    return lines.select(number_of(), "line_number", "start_offset", "line")
+
+
+@query(
+    f"""WITH {FILED_SQL}, n AS (SELECT k, max(line_number) AS n FROM filed GROUP BY 1),
+asked AS (SELECT k, '5' AS key, 2 AS low, 8 AS high FROM n UNION ALL SELECT k, '10-14', 10, 14 FROM n UNION ALL SELECT k, CAST(n AS VARCHAR), greatest(1, n - 3), n + 3 FROM n)
+SELECT a.k, a.key, f.line_number, f.start_offset, f.line FROM asked a JOIN filed f ON f.k = a.k AND f.line_number BETWEEN a.low AND a.high"""
+)
+def samples_indexed(spark, sf_dir):
+    """Through the checkpoints: only the bytes around the wanted lines are read."""
+    path = filed(spark, sf_dir)
+    built = index.build(sources.read_lines(spark, path), 4096)
+    found = samples.by_line_indexed(spark, path, built, "5, 10-14, -1")
+    return found.select(number_of(), "key", "line_number", "start_offset", "line")
+
+
+@query("SELECT doc_id % 20 AS k, '' AS format, true AS text, CAST(sum(strlen(text) + 1) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def files_catalog(spark, sf_dir):
+    listed = sources.catalog(spark, filed(spark, sf_dir)).filter("path like '%/k=%' and path like '%.txt'")
+    return listed.select(number_of("path"), "format", "text", "size")

@@ -5,6 +5,9 @@ The same SQL text makes the log lines in Spark and in the SQL that checks it.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +73,33 @@ def log_lines(spark: SparkSession, sf_dir: str, kind: str, size: int = STRETCH)
     within = Window.partitionBy(*keys).orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.select(*keys, "line", "n", F.row_number().over(within).alias("k"), F.sum("n").over(within).alias("upto")).join(parts, keys)
     return placed.select("file_id", (F.col("k") + F.col("rows")).cast("long").alias("line_number"), (F.col("bytes") + F.col("upto") - F.col("n")).cast("long").alias("start_offset"), (F.col("bytes") + F.col("upto")).cast("long").alias("end_offset"), "line")
+
+
+#: ``filed``: the lines of twenty files, each with every twentieth document by number.
+FILED_SQL = """pieces AS (
+  SELECT doc_id % 20 AS k, doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS piece
+  FROM documents WHERE text IS NOT NULL),
+filed AS (
+  SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS BIGINT) AS line_number,
+         CAST(sum(strlen(piece) + 1) OVER (PARTITION BY k ORDER BY doc_id, i) - strlen(piece) - 1 AS BIGINT) AS start_offset, regexp_replace(piece, '\\r$', '') AS line
+  FROM pieces)"""
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder that all executors see: below the one a cluster names in ``spark.checkpoint.dir``, or a local one on a single machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return f"{(named or tempfile.gettempdir()).rstrip('/')}/loglattice-{uuid.uuid4().hex}"
+
+
+def filed(spark: SparkSession, sf_dir: str, compression: str = "none") -> str:
+    """The folder of twenty text files of the documents."""
+    path = work_dir(spark)
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select((F.col("doc_id") % 20).alias("k"), "doc_id", "text")
+    docs.repartition("k").sortWithinPartitions("k", "doc_id").select("k", "text").write.partitionBy("k").option("compression", compression).text(path)
+    return path
+
+
+def number_of(file: str = "file_id"):
+    return F.regexp_extract(file, "/k=([0-9]+)/", 1).cast("long").alias("k")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import bz2
 import gzip
 import io
+import json
 import lzma
 import os
 from collections.abc import Iterator
@@ -18,11 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .lines import COLUMNS, split_lines
+from .seekable import FOOTER, is_seekable, read_seek_table
 
 MIN_CHUNK = 20 << 20
 MAX_CHUNKS = 20
 TEXT_PROBE = 8192
 BLOCK = 4 << 20
+#: Splits whose line counts are sent to all tasks; those of more are joined by a shuffle.
+MOST_SENT_SPLITS = 100_000
 
 # File name endings and first bytes of the formats.
 SUFFIXES = {".gz": "gzip", ".gzip": "gzip", ".zst": "zstd", ".zstd": "zstd", ".xz": "xz", ".bz2": "bz2", ".bzip2": "bz2"}
@@ -43,9 +48,9 @@ def format_of(path: Column, head: Column | None = None) -> Column:
     return out.otherwise("")
 
 
-def is_text(head: Column, kind: Column) -> Column:
-    """Compressed files count as text; others if their first bytes have no NUL."""
-    return (kind != "") | ~F.hex(F.substring(head, 1, TEXT_PROBE)).rlike("^(?:..)*?00")
+def is_text(head: Column, kind: Column, probe: int = TEXT_PROBE) -> Column:
+    """Compressed files count as text; others if their first ``probe`` bytes have no NUL."""
+    return (kind != "") | ~F.hex(F.substring(head, 1, probe)).rlike("^(?:..)*?00")
 
 
 def chunk_count(size: Column, min_chunk: int = MIN_CHUNK, most: int = MAX_CHUNKS) -> Column:
@@ -53,11 +58,21 @@ def chunk_count(size: Column, min_chunk: int = MIN_CHUNK, most: int = MAX_CHUNKS
     return F.greatest(F.lit(1), F.least(F.floor(size / min_chunk), F.lit(most))).cast("long")
 
 
-def catalog(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """``path, size, mtime, format, text``: the files below a path, the text test included."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    kind = format_of(F.col("path"), F.col("content"))
-    return read.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), kind.alias("format"), is_text(F.col("content"), kind).alias("text"))
+def catalog(spark: SparkSession, path: str, recursive: bool = True, probe: int = TEXT_PROBE) -> DataFrame:
+    """``path, size, mtime, format, text``: the files below a path; of each only the first bytes are read.
+
+    A file that can't be read has a null ``text``.
+    """
+    spark.dataSource.register(FileHeads)
+    read = spark.read.format("fileheads").option("recursive", str(recursive).lower()).load(path)
+    kind = format_of(F.col("path"), F.col("head"))
+    return read.select("path", "size", "mtime", kind.alias("format"), F.when(F.col("head").isNotNull(), is_text(F.col("head"), kind, probe)).alias("text"))
+
+
+def skipped(files: DataFrame) -> DataFrame:
+    """``path, reason`` of the files of a catalog whose lines aren't read."""
+    reason = F.when(F.col("text").isNull(), "unreadable").when(~F.col("text"), "binary")
+    return files.select("path", reason.alias("reason")).filter("reason is not null")
 
 
 def decompressed(stream: io.RawIOBase, kind: str):
@@ -73,11 +88,13 @@ def decompressed(stream: io.RawIOBase, kind: str):
     return stream
 
 
-def kind_of(path: str) -> str:
+def kind_of(path: str, head: bytes = b"") -> str:
+    """The format by name, else by first bytes; archives of several files count as none."""
     name = path.lower()
     if name.endswith(COMPOUND):
         return ""
-    return next((k for s, k in SUFFIXES.items() if name.endswith(s)), "")
+    by_name = next((k for s, k in SUFFIXES.items() if name.endswith(s)), "")
+    return by_name or next((k for m, k in MAGIC.items() if head.startswith(bytes.fromhex(m))), "")
 
 
 def _open(path: str):
@@ -88,57 +105,160 @@ def _open(path: str):
     return fs, inner
 
 
-def _listed(path: str) -> Iterator[tuple[str, int]]:
+def _listed(path: str, recursive: bool = True) -> list[pafs.FileInfo]:
     fs, inner = _open(path)
     info = fs.get_file_info(inner)
-    found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(inner, recursive=True))
-    yield from ((f.path, f.size) for f in sorted(found, key=lambda f: f.path) if f.is_file)
+    found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(inner, recursive=recursive))
+    return sorted((f for f in found if f.is_file), key=lambda f: f.path)
+
+
+class _Some(InputPartition):
+    def __init__(self, files: list[tuple]) -> None:
+        self.files = files
+
+
+class _HeadReader(DataSourceReader):
+    """Files by hundreds, each opened for its first bytes."""
+
+    def __init__(self, path: str, recursive: bool) -> None:
+        self.path, self.recursive = path, recursive
+
+    def partitions(self) -> list[_Some]:
+        found = [(f.path, f.size, f.mtime_ns or 0) for f in _listed(self.path, self.recursive)]
+        return [_Some(found[a : a + 100]) for a in range(0, max(1, len(found)), 100)]
+
+    def read(self, part: _Some) -> Iterator[pa.RecordBatch]:
+        fs, _ = _open(self.path)
+        heads = []
+        for path, _, _ in part.files:
+            try:
+                with fs.open_input_file(path) as f:
+                    heads.append(f.read(TEXT_PROBE))
+            except OSError:
+                heads.append(None)
+        paths, sizes, times = zip(*part.files) if part.files else ((), (), ())
+        moment = pa.timestamp("us", "UTC")
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array([t // 1000 for t in times], pa.int64()).cast(moment), pa.array(heads, pa.binary())], ["path", "size", "mtime", "head"])
+
+
+class FileHeads(DataSource):
+    """``spark.read.format("fileheads").load(path)``: files with their first bytes (null: unreadable)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fileheads"
+
+    def schema(self) -> str:
+        return "path string, size long, mtime timestamp, head binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _HeadReader(self.options["path"], self.options.get("recursive", "true") == "true")
+
+
+class FrameStream:
+    """The plain bytes of a seekable file, from any place on; one frame is held at a time."""
+
+    def __init__(self, raw, frames: list[tuple[int, int, int, int]]) -> None:
+        self.raw, self.frames = raw, frames
+        self.starts = [b for _, _, b, _ in frames]
+        self.at, self.held, self.plain = 0, -1, b""
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, most: int) -> bytes:
+        k = bisect.bisect_right(self.starts, self.at) - 1
+        while k < len(self.frames):
+            a, size, b, n = self.frames[k]
+            if self.at < b + n:
+                if k != self.held:
+                    self.raw.seek(a)
+                    self.held, self.plain = k, zstandard.ZstdDecompressor().decompress(self.raw.read(size), max_output_size=max(n, 1))
+                out = self.plain[self.at - b : self.at - b + most]
+                self.at += len(out)
+                return out
+            k += 1
+        return b""
+
+
+def seek_frames(raw, size: int) -> list[tuple[int, int, int, int]] | None:
+    """The frames of a seekable file by its last bytes, None if it isn't one."""
+    if size < FOOTER.size:
+        return None
+    raw.seek(size - FOOTER.size)
+    tail = raw.read(FOOTER.size)
+    n, flags, _ = FOOTER.unpack(tail)
+    if not is_seekable(tail):
+        return None
+    want = min(size, FOOTER.size + 8 + n * 12)
+    raw.seek(size - want)
+    return read_seek_table(raw.read(want), False)
 
 
 class _Split(InputPartition):
-    def __init__(self, path: str, start: int, stop: int, kind: str) -> None:
-        self.path, self.start, self.stop, self.kind = path, start, stop, kind
+    def __init__(self, path: str, start: int, stop: int, size: int, first: int = 1) -> None:
+        self.path, self.start, self.stop, self.size, self.first = path, start, stop, size, first
 
 
 class _LineReader(DataSourceReader):
-    def __init__(self, path: str, size: int) -> None:
-        self.path, self.size = path, size
+    def __init__(self, path: str, size: int, ranges: str) -> None:
+        self.path, self.size, self.ranges = path, size, json.loads(ranges) if ranges else None
 
     def partitions(self) -> list[_Split]:
-        out = []
-        for path, size in _listed(self.path):
-            kind = kind_of(path)
-            if kind:
-                out.append(_Split(path, 0, size, kind))
-            else:
-                out += [_Split(path, a, min(a + self.size, size), "") for a in range(0, size, self.size)]
-        return out or [_Split("", 0, 0, "")]
+        sizes = {f.path: f.size for f in _listed(self.path)}
+        if self.ranges is not None:
+            out = [_Split(path, a, b, sizes[path], first) for path, a, b, first in self.ranges if path in sizes]
+        else:
+            out = [_Split(path, a, min(a + self.size, size), size) for path, size in sizes.items() for a in range(0, size, self.size)]
+        return out or [_Split("", 0, 0, 0)]
 
     def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
-        """Lines that begin in the split; ``line_number`` is counted within it."""
+        """Lines that begin in the split; ``line_number`` is counted within it.
+
+        A split is a range of the file's own bytes.  Of a compressed file the
+        first split reads all, but of a seekable one each reads the frames that
+        begin in it; then ranges, where asked for, are of plain bytes.
+        """
         if not split.path:
             return
-        fs, inner = _open(split.path if "://" in self.path else split.path)
-        if "://" in self.path:
-            fs, _ = pafs.FileSystem.from_uri(self.path)
-            inner = split.path
-        with fs.open_input_file(inner) as raw:
-            start = split.start
-            if split.kind:
-                source, stop = decompressed(raw, split.kind), None
-            else:
-                source, stop = raw, split.stop
-                if start:
-                    raw.seek(start - 1)
-                    while True:
-                        block = raw.read(BLOCK)
-                        if not block:
-                            return
-                        cut = block.find(b"\n")
-                        if cut >= 0:
-                            start = raw.tell() - len(block) + cut + 1
-                            break
-                    raw.seek(start)
+        fs, _ = _open(self.path)
+        with fs.open_input_file(split.path) as raw:
+            head = raw.read(TEXT_PROBE)
+            kind = kind_of(split.path, head)
+            if not kind and b"\0" in head:
+                return
+            raw.seek(0)
+            source, start, stop = raw, split.start, split.stop
+            frames = seek_frames(raw, split.size) if kind == "zstd" else None
+            if frames is not None:
+                source = FrameStream(raw, frames)
+                if self.ranges is None:
+                    mine = [f for f in frames if split.start <= f[0] < split.stop]
+                    if not mine:
+                        return
+                    start, stop = mine[0][2], mine[-1][2] + mine[-1][3]
+            elif kind:
+                if start and self.ranges is None:
+                    return
+                raw.seek(0)
+                source, stop = decompressed(raw, kind), None if self.ranges is None else stop
+                skip = start
+                while skip > 0 and (block := source.read(min(BLOCK, skip))):
+                    skip -= len(block)
+            if (not kind or frames is not None) and start:
+                source.seek(start - 1)
+                while True:
+                    block = source.read(BLOCK)
+                    if not block:
+                        return
+                    cut = block.find(b"\n")
+                    if cut >= 0:
+                        start = source.tell() - len(block) + cut + 1
+                        break
+                source.seek(start)
             number, rest = 0, b""
             while stop is None or start < stop:
                 block = source.read(BLOCK)
@@ -149,21 +269,22 @@ class _LineReader(DataSourceReader):
                 data, rest = data[:cut], data[cut:]
                 if not data:
                     continue
-                _, n, a, b, text = split_lines(pa.array([data.decode("utf-8", "replace")], pa.large_string()))
-                if len(data.decode("utf-8", "replace").encode()) != len(data):  # not UTF-8: offsets from the bytes
+                text = data.decode("utf-8", "replace")
+                _, n, a, b, lines = split_lines(pa.array([text], pa.large_string()))
+                if len(text.encode()) != len(data):  # not UTF-8: offsets from the bytes
                     pieces = data.split(b"\n")
                     pieces = pieces[:-1] if not pieces[-1] else pieces
                     b = np.minimum(np.cumsum([len(p) + 1 for p in pieces]), len(data))
                     a = np.concatenate([[0], b[:-1]])
                 keep = len(n) if stop is None else int((a + start < stop).sum())
-                yield pa.RecordBatch.from_arrays([pa.array([split.path] * keep, pa.string()), pa.array([split.start] * keep, pa.int64()), pa.array(n[:keep] + number), pa.array(a[:keep] + start), pa.array(b[:keep] + start), text.slice(0, keep).cast(pa.string())], ["file_id", "split", "line_number", "start_offset", "end_offset", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array([split.path] * keep, pa.string()), pa.array([split.start] * keep, pa.int64()), pa.array(n[:keep] + number + split.first - 1), pa.array(a[:keep] + start), pa.array(b[:keep] + start), lines.slice(0, keep).cast(pa.string())], ["file_id", "split", "line_number", "start_offset", "end_offset", "line"])
                 number, start = number + len(n), start + len(data)
                 if not block:
                     return
 
 
 class LogLines(DataSource):
-    """``spark.read.format("loglines").load(path)``: addressed lines of plain and compressed files."""
+    """``spark.read.format("loglines").load(path)``: addressed lines of plain and compressed text files."""
 
     @classmethod
     def name(cls) -> str:
@@ -173,14 +294,14 @@ class LogLines(DataSource):
         return "file_id string, split long, line_number long, start_offset long, end_offset long, line string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _LineReader(self.options["path"], int(self.options.get("splitBytes", 64 << 20)))
+        return _LineReader(self.options["path"], int(self.options.get("splitBytes", 64 << 20)), self.options.get("ranges", ""))
 
 
 def read_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
-    """Lines of all files below a path, with numbers from the start of each file.
+    """Lines of all text files below a path, with numbers from the start of each file; binary ones are left out.
 
     A split counts its own lines; the counts of the splits before it, one row
-    for each split, are joined back.
+    for each split, are sent to all tasks where they are few.
     """
     from pyspark.sql import Window
 
@@ -188,4 +309,16 @@ def read_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> D
     part = spark.read.format("loglines").option("splitBytes", str(split_bytes)).load(path)
     before = F.sum("n").over(Window.partitionBy("file_id").orderBy("split")) - F.col("n")
     counts = part.groupBy("file_id", "split").agg(F.count("*").alias("n")).select("file_id", "split", before.alias("__before"))
+    if len(_LineReader(path, split_bytes, "").partitions()) <= MOST_SENT_SPLITS:
+        counts = F.broadcast(counts)
     return part.join(counts, ["file_id", "split"]).withColumn("line_number", F.col("line_number") + F.col("__before")).select(*COLUMNS)
+
+
+def read_ranges(spark: SparkSession, path: str, ranges: list[tuple[str, int, int, int]]) -> DataFrame:
+    """Lines that begin in ranges of bytes below ``path``: file, start and end of a range, and the number of its first line.
+
+    A range begins with a line.  Nothing else is read, but of compressed files
+    that aren't seekable what lies before the range.
+    """
+    spark.dataSource.register(LogLines)
+    return spark.read.format("loglines").option("ranges", json.dumps(ranges)).load(path).select(*COLUMNS)

@@ -26,8 +26,11 @@ def seek_table(sizes: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body
 
 
-def read_seek_table(data: bytes) -> list[tuple[int, int, int, int]]:
-    """Compressed place and size, plain place and size of each frame; entries with checksums are read too."""
+def read_seek_table(data: bytes, whole: bool = True) -> list[tuple[int, int, int, int]]:
+    """Compressed place and size, plain place and size of each frame; entries with checksums are read too.
+
+    ``data`` ends with the table; the frames before it needn't be ``whole``.
+    """
     if len(data) < FOOTER.size:
         raise ValueError("too short for a seek table")
     n, flags, magic = FOOTER.unpack_from(data, len(data) - FOOTER.size)
@@ -88,6 +91,36 @@ def frames(files: DataFrame) -> DataFrame:
     return files.select("file_id", "content").mapInArrow(run, f"file_id {kind}, frame int, compressed_offset long, compressed_size long, decompressed_offset long, decompressed_size long")
 
 
+def decode(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``file_id, frame, content``: the plain bytes of frames by number (``wanted``: ``file_id, frame``) of seekable files (``file_id, content``)."""
+    spots = frames(files).join(wanted.select("file_id", "frame").distinct(), ["file_id", "frame"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out = [plain.decompress(x, max_output_size=max(n, 1)) for x, n in zip(batch.column("packed").to_pylist(), batch.column("decompressed_size").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("frame"), pa.array(out, pa.binary())], ["file_id", "frame", "content"])
+
+    # Only a frame's own bytes leave the file's row.
+    packed = spots.join(files.select("file_id", F.col("content").alias("__all")), "file_id").select("file_id", "frame", "decompressed_size", F.substring("__all", F.col("compressed_offset").cast("int") + 1, F.col("compressed_size").cast("int")).alias("packed"))
+    kind = files.schema["file_id"].dataType.simpleString()
+    return packed.mapInArrow(run, f"file_id {kind}, frame int, content binary")
+
+
+def decode_range(files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``file_id, low, high, content``: plain bytes from ``low`` to ``high``, excluded, of each range (``file_id, low, high``), by the frames that overlap it."""
+    table = frames(files)
+    end = F.col("decompressed_offset") + F.col("decompressed_size")
+    spots = ranges.select("file_id", "low", "high").distinct().join(table, "file_id").filter((F.col("decompressed_offset") < F.col("high")) & (end > F.col("low")))
+    whole = decode(files, spots).withColumnRenamed("content", "plain")
+    from_ = F.greatest(F.lit(0), F.col("low") - F.col("decompressed_offset"))
+    upto = F.least(F.col("high"), end) - F.col("decompressed_offset")
+    part = F.substring("plain", from_.cast("int") + 1, (upto - from_).cast("int"))
+    cut = spots.join(whole, ["file_id", "frame"]).select("file_id", "low", "high", F.struct("frame", part.alias("part")).alias("p"))
+    parts = cut.groupBy("file_id", "low", "high").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return parts.select("file_id", "low", "high", F.aggregate("p.part", F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+
+
 def frame_lines(files: DataFrame) -> DataFrame:
     """Lines of seekable files, one frame at a time in memory."""
 

@@ -39,6 +39,74 @@ def test_catalog(spark, folder):
     assert got == {"a.log": ("", True), "b.log.gz": ("gzip", True), "c.bz2": ("bz2", True), "d.xz": ("xz", True), "e.zst": ("zstd", True), "z.bin": ("", False), "noext": ("gzip", True)}
 
 
+def test_reader_leaves_binaries_out_and_knows_formats(spark, folder):
+    (folder / "z.bin").write_bytes(b"a\0b\n")
+    (folder / "noext").write_bytes(gzip.compress(b"one\ntwo\n"))
+    (folder / "t.tar.gz").write_bytes(gzip.compress(b"x\0y\n", mtime=0))
+    got = files.read_lines(spark, str(folder), 64)
+    assert {f.rsplit("/", 1)[1] for (f,) in got.select("file_id").distinct().collect()} == {"a.log", "b.log.gz", "c.bz2", "d.xz", "e.zst", "noext"}
+    assert rows(got.filter(F.col("file_id").endswith("noext")), "line_number", "line") == [(1, "one"), (2, "two")]
+    assert {(r["path"].rsplit("/", 1)[1], r["reason"]) for r in files.skipped(files.catalog(spark, str(folder))).collect()} == {("z.bin", "binary"), ("t.tar.gz", "binary")}
+
+
+@pytest.mark.parametrize("split", [64, 300, 1 << 20])
+def test_seekable_files_are_split_by_frames(spark, tmp_path, split):
+    """Frames that end with a line, and frames that don't."""
+    data = TEXT.encode()
+    press = zstandard.ZstdCompressor().compress
+    for name, pieces in {"lines.zst": seekable.cut_frames(data, 200), "bytes.zst": [data[a : a + 137] for a in range(0, len(data), 137)]}.items():
+        packed = [press(p) for p in pieces]
+        (tmp_path / name).write_bytes(b"".join(packed) + seekable.seek_table([(len(a), len(b)) for a, b in zip(packed, pieces)]))
+    got = files.read_lines(spark, str(tmp_path), split)
+    for name in ("lines.zst", "bytes.zst"):
+        assert rows(got.filter(F.col("file_id").endswith(name)), "line_number", "start_offset", "end_offset", "line") == plain_lines(TEXT)
+
+
+def test_ranges_and_indexed_samples(spark, folder):
+    from loglattice.operators import index, samples
+
+    lines = files.read_lines(spark, str(folder))
+    built = index.build(lines, 512)
+    want = samples.by_line(lines, "3, 40-44, 250, -2")
+    got = samples.by_line_indexed(spark, str(folder), built, "3, 40-44, 250, -2")
+    columns = ("file_id", "key", "line_number", "start_offset", "line", "is_target")
+    assert rows(got, *columns) == rows(want, *columns)
+    places = {r["line_number"]: r["start_offset"] for r in lines.filter(F.col("file_id").endswith("a.log")).collect()}
+    some = files.read_ranges(spark, str(folder), [(str(folder / "a.log"), places[50], places[60], 50)])
+    assert rows(some, "line_number") == [(k,) for k in range(50, 60)]
+
+
+def test_decode_frames_and_ranges(spark):
+    data = TEXT.encode()
+    packed = seekable.encode(spark.createDataFrame([("f", bytearray(data)), ("g", bytearray(data[:100]))], "path string, content binary"), frame_bytes=300)
+    pieces = seekable.cut_frames(data, 300)
+    wanted = spark.createDataFrame([("f", 2), ("f", 0), ("f", 99), ("g", 0)], "file_id string, frame int")
+    assert {(r["file_id"], r["frame"]): bytes(r["content"]) for r in seekable.decode(packed, wanted).collect()} == {("f", 2): pieces[2], ("f", 0): pieces[0], ("g", 0): data[:100]}
+    ranges = spark.createDataFrame([("f", 10, 1500), ("f", 290, 310), ("g", 0, 1000)], "file_id string, low long, high long")
+    assert {(r["file_id"], r["low"]): bytes(r["content"]) for r in seekable.decode_range(packed, ranges).collect()} == {("f", 10): data[10:1500], ("f", 290): data[290:310], ("g", 0): data[:100]}
+
+
+def test_shell(spark, folder, tmp_path_factory, capsys):
+    from loglattice.__main__ import main
+
+    kept = str(tmp_path_factory.mktemp("kept") / "index")
+    said = lambda *args: (main(list(args)), capsys.readouterr().out)
+    code, out = said("trace", str(folder / "a.log"), "-e", "line 7 ")
+    assert code == 0 and "[line 7 ] offset=" in out and out.endswith("--- 1 matches in 1 files (skipped 0) ---\n")
+    assert said("trace", str(folder / "a.log"), "-e", "zzz") == (0, "no matches in 1 files\n")
+    assert said("trace", str(folder), "-e", "(")[0] == 5 and said("trace", str(folder / "none"), "-e", "x")[0] == 3
+    assert said("samples", str(folder / "a.log"), "-l", "x")[0] == 2
+    assert "> 5: line 4 é" in said("samples", str(folder / "a.log"), "-l", "5")[1]
+    assert said("index", str(folder), "--cache", kept) == (0, "no files indexed\n")
+    code, out = said("index", str(folder / "a.log"), "--cache", kept, "--analyze")
+    assert code == 0 and "301 lines, 1 checkpoints" in out
+    assert "no files indexed" in said("index", str(folder / "a.log"), "--cache", kept, "--analyze")[1]
+    assert "index built" not in said("index", str(folder / "a.log"), "--cache", kept, "--analyze", "--force")[1]
+    assert "1 entries, analysis=True" in said("index", str(folder / "a.log"), "--cache", kept, "--info")[1]
+    assert said("index", str(folder / "a.log"), "--cache", kept, "--delete") == (0, f"deleted index for {folder}/a.log\n")
+    assert "no index exists" in said("index", str(folder / "a.log"), "--cache", kept, "--info")[1]
+
+
 def test_seekable_round_trip(spark):
     data = TEXT.encode()
     plain = spark.createDataFrame([("f", bytearray(data)), ("empty", bytearray(b""))], "path string, content binary")
