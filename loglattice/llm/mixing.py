@@ -115,7 +115,8 @@ def _selection(narrow: DataFrame, weights: tuple[float, ...], most: float) -> li
         plan.append({"__s": s, "__source_size": size, "__target": float(targets[s]), "__epochs": epochs, "__left": left, "__edge": -1 if left == 0 else 0, "__shift": BITS, "__before": 0.0, "__last": -1.0})
     by = {p["__s"]: p for p in plan}
     same, digits = F.col("__source").eqNullSafe(F.col("__s")), F.expr("shiftright(__number, __shift)")
-    upto = F.sum("n").over(Window.partitionBy("__source").orderBy("digit"))
+    # Sums are made by source and digit first, not with all rows of a source in one task.
+    upto = F.sum("n").over(Window.partitionBy(F.struct("__source")).orderBy("digit"))
     # The sources whose edge isn't found to a few rows yet.
     open_ = [p for p in plan if p["__left"] > 0]
     for shift in range(BITS - DIGIT, -1, -DIGIT):
