@@ -101,7 +101,7 @@ def trim_newline(x: Column) -> Column:
 
 
 def is_blank(x: Column) -> Column:
-    return ~x.rlike("[^ \\t\\x0B\\f\\r\\n]")
+    return F.trim(x, F.lit(" \t\x0b\f\r\n")) == ""
 
 
 def indent(x: Column) -> Column:

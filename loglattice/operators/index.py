@@ -15,12 +15,13 @@ ENDING_SAMPLE = 64 << 10
 
 def line_stats(lines: DataFrame) -> DataFrame:
     """Counts and length statistics by file, blank lines left out of the lengths."""
-    size = F.octet_length(F.regexp_replace("line", "[\r\n]+$", ""))
-    full = F.when(~is_blank(F.col("line")), size)
+    size = F.octet_length(F.rtrim(F.col("line"), F.lit("\r\n")))
+    lines = lines.select("file_id", "line_number", "start_offset", F.when(~is_blank(F.col("line")), size).alias("__full"))
+    full = F.col("__full")
     longest = F.max_by(F.struct("line_number", "start_offset"), F.struct(full.alias("n"), (-F.col("line_number")).alias("k")))
     out = lines.groupBy("file_id").agg(
         F.count("*").alias("line_count"),
-        F.count_if(is_blank(F.col("line"))).alias("empty_line_count"),
+        F.count_if(full.isNull()).alias("empty_line_count"),
         F.coalesce(F.max(full), F.lit(0)).alias("line_length_max"),
         F.coalesce(F.avg(full), F.lit(0.0)).alias("line_length_avg"),
         F.percentile(full, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"),
