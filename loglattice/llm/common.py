@@ -64,15 +64,18 @@ def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished jobs soon.
 
     Spark drops them once the driver has collected their handles as garbage,
-    and offers nothing to ask for that; where the driver can't be reached this
-    way (Spark Connect) the files only stay longer.
+    and offers nothing to ask for that.  Events of the last job may hold them a
+    little longer, hence the second round.  Where the driver can't be reached
+    this way (Spark Connect) the files only stay longer.
     """
     import gc
+    import time
 
-    gc.collect()
     jvm = getattr(getattr(spark, "_sc", None), "_jvm", None)
-    if jvm is not None:
+    for _ in range(2 if jvm is not None else 0):
+        gc.collect()
         jvm.System.gc()
+        time.sleep(0.4)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int, field: str | None = None) -> Iterator[pa.RecordBatch]:

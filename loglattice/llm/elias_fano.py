@@ -95,11 +95,24 @@ class EliasFano(NamedTuple):
         word, off = (bit >> _SIX).astype(np.int64), bit & np.uint64(63)
         return ((self.low[word] >> off) | ((self.low[word + 1] << _ONE) << (np.uint64(63) - off))) & np.uint64((1 << self.width) - 1)
 
-    def _zeros_before(self, k: np.ndarray) -> np.ndarray:
-        """Values whose high bits are at most ``k``: the ones before the k-th zero."""
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th zero in the high bits."""
         zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         word = np.searchsorted(zeros, k, "right") - 1
-        return word * 64 + _within(~self.high[word], k - zeros[word]) - k
+        return word * 64 + _within(~self.high[word], k - zeros[word])
+
+    def _range(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions, from and to, of the values with these high bits: the ones between two zeros."""
+        place = np.zeros(len(high), np.int64)
+        some = high > 0
+        place[some] = self._zero(high[some] - 1) + 1
+        begin = place - high
+        off = (place & 63).astype(np.uint64)
+        rest = ~(self.high[place >> 6] >> off)
+        ones = np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
+        far = np.flatnonzero(ones + (place & 63) >= 64)  # the ones go on in the next word
+        ones[far] = self._zero(high[far]) - place[far]
+        return begin, begin + ones
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at positions from 0 to n - 1."""
@@ -119,10 +132,7 @@ class EliasFano(NamedTuple):
         want = x[near].astype(np.uint64)
         high = (want >> np.uint64(self.width)).astype(np.int64)
         want &= np.uint64((1 << self.width) - 1)
-        stop = self._zeros_before(high)
-        begin = np.zeros(len(near), np.int64)
-        some = high > 0
-        begin[some] = self._zeros_before(high[some] - 1)
+        begin, stop = self._range(high)
         end = stop.copy()
         open_ = np.flatnonzero(begin < end)
         while len(open_):
