@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.patterns import PatternSet
 from .operators import caches, detectors, index, samples, trace
-from .sources import files, seekable
+from .sources import compress, files, seekable
 
 #: Exit codes (fixed values).
 OK, FAILED, USAGE, NOT_FOUND, DENIED, BAD_REGEX = range(6)
@@ -47,10 +47,11 @@ def _parser() -> argparse.ArgumentParser:
     i.add_argument("--force", action="store_true", help="build also what is kept")
     i.add_argument("--info", action="store_true")
     i.add_argument("--delete", action="store_true")
-    c = sub.add_parser("compress", help="seekable zstandard files, as a table of names and contents")
+    c = sub.add_parser("compress", help="plain files as seekable zstandard files")
     c.add_argument("path")
     c.add_argument("out")
     c.add_argument("--level", type=int, default=seekable.LEVEL)
+    c.add_argument("--frame-size", type=int, default=seekable.FRAME_BYTES)
     for x in (t, s, i, c):
         x.add_argument("--json", action="store_true", help="one JSON object a row")
     return parser
@@ -119,12 +120,8 @@ def _index(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def _compress(spark: SparkSession, args: argparse.Namespace) -> None:
-    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(args.path)
-    seekable.encode(plain, level=args.level).write.mode("overwrite").parquet(args.out)
-    packed = spark.read.parquet(args.out)
-    sizes = seekable.frames(packed).groupBy("file_id").agg(F.sum("decompressed_size").alias("plain"), F.count("*").alias("frames"))
-    rows = packed.select("file_id", F.octet_length("content").alias("size")).join(sizes, "file_id")
-    _write(rows, lambda r: f"wrote {r['file_id']} ({r['plain']} bytes -> {r['size']} bytes, {r['plain'] / max(r['size'], 1):.2f}x) in {r['frames']} frames", args.json)
+    rows = compress.compress_files(spark, args.path, args.out, args.frame_size, args.level)
+    _write(rows, lambda r: f"wrote {r['output']} ({r['plain_size']} bytes -> {r['packed_size']} bytes, {r['plain_size'] / max(r['packed_size'], 1):.2f}x) in {r['frames']} frames", args.json)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -86,6 +86,26 @@ def test_decode_frames_and_ranges(spark):
     assert {(r["file_id"], r["low"]): bytes(r["content"]) for r in seekable.decode_range(packed, ranges).collect()} == {("f", 10): data[10:1500], ("f", 290): data[290:310], ("g", 0): data[:100]}
 
 
+@pytest.mark.parametrize("split", [100, 1 << 20])
+def test_compress_files(spark, folder, tmp_path_factory, split):
+    """Frames from many splits, in order; compressed files are left out."""
+    from loglattice.sources.compress import compress_files
+
+    (folder / "empty.log").write_bytes(b"")
+    (folder / "crlf.log").write_bytes(b"a\r\n" * 200)
+    out = tmp_path_factory.mktemp("out")
+    made = compress_files(spark, str(folder), str(out), 150, 3, split).collect()
+    assert {f.name for f in out.iterdir() if not f.name.startswith(".")} == {"a.log.zst", "crlf.log.zst"}
+    assert not [f for f in out.iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")]
+    for name, data in (("a.log", TEXT.encode()), ("crlf.log", b"a\r\n" * 200)):
+        stored = (out / f"{name}.zst").read_bytes()
+        assert zstandard.ZstdDecompressor().stream_reader(stored, read_across_frames=True).read() == data
+        frames = seekable.read_seek_table(stored)
+        (row,) = [r for r in made if r["file_id"].endswith(name)]
+        assert (row["plain_size"], row["packed_size"], row["frames"]) == (len(data), len(stored), len(frames)) and len(frames) > 3
+    assert rows(files.read_lines(spark, str(out), 64).filter(F.col("file_id").endswith("a.log.zst")), "line_number", "line") == [(n, line) for n, _, _, line in plain_lines(TEXT)]
+
+
 def test_shell(spark, folder, tmp_path_factory, capsys):
     from loglattice.__main__ import main
 
