@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, release_shuffles, slices, text_of, write_shared
+from .common import documents, drop_shared, release_shuffles, slices, text_of, write_shared
 
 LENGTH = 200
 GRAM = 50
@@ -168,6 +168,8 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     several = blocks.groupBy("gram").agg(F.count("*").alias("several"), F.min("n").alias("least")).filter("several > 1 and least = 1").select("gram", "several")
     status = write_shared(blocks.join(several, "gram", "left").filter("n > 1 or several is not null"), "anchor-status")
     marked = write_shared(digits.join(status, ["gram", "block"]), "anchor-marks")
+    for done in (digits, blocks, status):
+        drop_shared(done)
     release_shuffles(keyed.sparkSession)
     settled = marked.filter("n > 1").select(*KEYS, "first", "many")
     todo = marked.filter("several is not null").groupBy("gram", "block").agg(F.min("several").alias("several"), (F.min("n") == 1).alias("open"), F.min(F.struct(*KEYS, "first", "many", "lead")).alias("one"))
