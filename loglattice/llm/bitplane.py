@@ -117,7 +117,8 @@ def write_shards(
     Null texts are empty and give the end id only; null ids come first; rows
     with one id are ordered by their text.  Other columns are left out, whatever
     their names.  A document's ids are never split over shards, so a very long
-    text makes a larger shard.  An empty table gives no shard.
+    text makes a larger shard, up to the 2 GB of an Arrow cell (about 500 million
+    ids before compression; more fails the job).  An empty table gives no shard.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,8 +23,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) is a local folder set.
+    A cluster names it in ``spark.checkpoint.dir``; only on a single machine
+    (tests) is a local folder set where that is unset.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -32,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    context.setCheckpointDir("/tmp/loglattice-shared")
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
+    context.setCheckpointDir(f"{tempfile.gettempdir()}/loglattice-shared")
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
