@@ -107,6 +107,18 @@ def decode(files: DataFrame, wanted: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, f"file_id {kind}, frame int, content binary")
 
 
+def frame_line_counts(files: DataFrame) -> DataFrame:
+    """``file_id, frame, lines``: line feeds in each frame of seekable files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x.count(b"\n") for x in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("frame"), pa.array(found, pa.int64())], ["file_id", "frame", "lines"])
+
+    kind = files.schema["file_id"].dataType.simpleString()
+    return decode(files, frames(files)).mapInArrow(run, f"file_id {kind}, frame int, lines long")
+
+
 def decode_range(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """``file_id, low, high, content``: plain bytes from ``low`` to ``high``, excluded, of each range (``file_id, low, high``), by the frames that overlap it."""
     table = frames(files)

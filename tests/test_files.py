@@ -82,6 +82,7 @@ def test_decode_frames_and_ranges(spark):
     pieces = seekable.cut_frames(data, 300)
     wanted = spark.createDataFrame([("f", 2), ("f", 0), ("f", 99), ("g", 0)], "file_id string, frame int")
     assert {(r["file_id"], r["frame"]): bytes(r["content"]) for r in seekable.decode(packed, wanted).collect()} == {("f", 2): pieces[2], ("f", 0): pieces[0], ("g", 0): data[:100]}
+    assert rows(seekable.frame_line_counts(packed).filter("file_id = 'f'"), "frame", "lines") == [(k, p.count(b"\n")) for k, p in enumerate(pieces)]
     ranges = spark.createDataFrame([("f", 10, 1500), ("f", 290, 310), ("g", 0, 1000)], "file_id string, low long, high long")
     assert {(r["file_id"], r["low"]): bytes(r["content"]) for r in seekable.decode_range(packed, ranges).collect()} == {("f", 10): data[10:1500], ("f", 290): data[290:310], ("g", 0): data[:100]}
 
