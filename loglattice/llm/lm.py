@@ -36,6 +36,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -60,8 +61,11 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(np.round(-STEPS * np.log10(p)) + 1, 1, 255).astype(np.uint8)
 
 
+_LEVELS = np.concatenate([[0.0], 10.0 ** (-np.arange(255) / STEPS)])
+
+
 def unquantise(q: np.ndarray) -> np.ndarray:
-    return np.where(q > 0, 10.0 ** (-(q.astype(np.float64) - 1) / STEPS), 0.0)
+    return _LEVELS[q]
 
 
 def kappa_of(order: int, kappa: tuple[float, ...]) -> float:
@@ -140,10 +144,14 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", block_bytes):
-            split = [t.encode("utf-8", "replace").lower().split() for t in batch.column("text").to_pylist()]
-            many = np.fromiter(map(len, split), np.int64, len(split))
-            coded = pa.array([w for t in split for w in t], pa.binary()).dictionary_encode()
-            del split
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text")))
+            flat = lists.flatten().cast(pa.binary())
+            full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+            bounds = lists.offsets.to_numpy()
+            run = np.concatenate([[0], np.cumsum(full)])
+            many = run[bounds[1:] - bounds[0]] - run[bounds[:-1] - bounds[0]]
+            coded = flat.filter(pa.array(full)).dictionary_encode()
+            del lists, flat
             ids = batch.column("id").to_pylist()
             tokens = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32) + 1, np.cumsum(many), np.uint32(0))
             train = np.repeat(np.array([not held_out(i) for i in ids]), many + 1)
@@ -264,8 +272,9 @@ class Step(NamedTuple):
     pair: np.ndarray  # of each token: its pair, or -1
     keys: np.ndarray  # the pairs: context * 2**32 + local word
 
-    def context_count(self) -> np.ndarray:
-        return np.where(self.own >= 0, self.counts[self.own], 0)
+    def context_count(self, some: np.ndarray) -> np.ndarray:
+        own = self.own[some]
+        return np.where(own >= 0, self.counts[own], 0)
 
 
 class Block:
@@ -447,12 +456,14 @@ def score_documents(
         value = base.copy()
         for order, step in enumerate(block.steps, 2):
             k = kappa_of(order, kappa)
-            weight = quantise(k / (step.context_count() + k))
-            level = np.zeros(len(value), np.uint8)
+            level, weight = np.zeros(len(value), np.uint8), np.zeros(len(value), np.uint8)
+            left = np.arange(len(value))
             if order - 2 < len(block.answers):  # a block without a known pair has none
                 a, has = block.answers[order - 2], step.pair >= 0
                 weight[has] = a.weight[step.pair[has]]
                 level[has] = a.level[step.pair[has]]
+                left = np.flatnonzero(~has)
+            weight[left] = quantise(k / (step.context_count(left) + k))
             value = unquantise(level) + unquantise(weight) * value
 
         def by_doc(x: np.ndarray) -> np.ndarray:
