@@ -107,24 +107,52 @@ def test_cuts_are_the_best():
         assert sum(length - (b - a) + cost[places.index(b)] for a, b in zip(cuts, cuts[1:])) == best[places[-1]]
 
 
-def test_inner_cuts_only_out_of_reach():
-    """Ends of documents and sentences; places in between only in a gap over one sequence's length."""
-    ends = np.array([False, True])
-    ids = np.zeros(1000, np.uint32)
-    ids[[99, 199, 299, 899]] = 1
-    at, cost = packing.candidates(ids, np.array([150, 1000]), ends, 500)
-    inner = at[cost == packing.INNER_PENALTY]
-    assert at[cost == 0].tolist() == [0, 150, 1000] and at[cost == packing.SENTENCE_PENALTY].tolist() == [100, 200, 300, 900]
-    assert len(inner) and ((inner > 300) & (inner < 900)).all()
-    assert not (packing.candidates(ids, np.array([150, 1000]), ends, 600)[1] == packing.INNER_PENALTY).any()
-
-
-def test_little_padding(spark, make_docs, prose):
-    rows = packing.pack(make_docs([(i, prose(150 + i)) for i in range(400)]).coalesce(1), PATH, length=512).collect()
+def test_places_of_cuts():
+    """Ends of documents and sentences; places in between only in gaps over a 32nd of a sequence, dearer than both."""
+    ends = np.zeros(1000, bool)
+    ends[[9, 19, 29, 899]] = True
+    at, cost = packing.candidates(ends, np.array([25, 1000]), 512)
+    inner = at[cost == 12]
+    assert at[cost == 0].tolist() == [0, 25, 1000] and at[cost == 2].tolist() == [10, 20, 30, 900]
+    assert ((inner > 30) & (inner != 900)).all() and np.diff(at[at >= 30]).max() <= 4
+
+
+def test_sentence_ends_of_scripts():
+    """Against the text itself, however the vocabulary cuts the stops."""
+    t, ends = Tokenizer.from_file(PATH), packing.sentence_ends(BpeEncoder(PATH))
+    for text in ("One. Two! (Three?) four\nfive", "一句话。再一句！真的吗？好的｡嗯", "यह है। वह है॥ और", "هل؟ نعم۔ لا", "ሰላም። ነው", "x…y", '"He said." So'):
+        enc = t.encode(text, add_special_tokens=False)
+        got = ends.of(np.array(enc.ids, np.uint32))
+        for (_, stop), mark, after in zip(enc.offsets, got, [o[0] for o in enc.offsets[1:]] + [len(text)]):
+            whole = after >= stop  # the id ends where a character does
+            if whole and text[:stop].rstrip("\"')")[-1:] in tuple("。！？｡।॥؟۔።…"):
+                assert mark, (text, stop)
+        assert not ends.of(np.array(t.encode("no stop here, 一句", add_special_tokens=False).ids, np.uint32)).any()
+
+
+@pytest.mark.parametrize("kind", ["short", "middle", "large", "chinese", "code"])
+@pytest.mark.parametrize("length", [512, 2048])
+def test_little_padding(spark, make_docs, prose, kind, length):
+    """Texts without stops, of about one sequence or less; in a script with other stops; and without white space."""
+    rng = random.Random(11)
+    text = {
+        "short": lambda i: prose(150 + i, seed=i),
+        "middle": lambda i: prose(rng.randint(350, 500), seed=i),
+        "large": lambda i: prose(rng.randint(450, 650), seed=i),
+        "chinese": lambda i: "".join("".join(rng.choice("的一是不了人我在有他这中大来上国") for _ in range(rng.randint(10, 40))) + "。" for _ in range(rng.randint(10, 40))),
+        "code": lambda i: ";".join(f"x{rng.randint(0, 99)}=y" for _ in range(rng.randint(100, 400))),
+    }[kind]
+    rows = packing.pack(make_docs([(i, text(i)) for i in range(400)]).coalesce(1), PATH, length=length).collect()
     size = {}
     for r in rows:
         size[r["sequence_id"]] = size.get(r["sequence_id"], 0) + r["length"]
-    assert sum(512 - n for n in size.values()) < 0.05 * sum(size.values())
+    assert max(size.values()) <= length
+    # One sequence of each range of documents is as short as it happens to be.
+    ranges = {}
+    for s, n in sorted(size.items()):
+        ranges[s >> 33] = s
+    padding = sum(length - n for s, n in size.items() if s not in ranges.values())
+    assert padding < 0.05 * sum(size.values())
 
 
 def test_word_pieces_equal_the_library():
