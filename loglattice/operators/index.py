@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from .jumps import STRETCH, taken, with_stretch
+from .jumps import STRETCH, follow, kind_of, taken, with_stretch
+from .stored import kept
+from .survey import ENDING_BYTES, survey
 
 LARGE_FILE = 50 << 20
 STEP = LARGE_FILE // 50
-ENDING_SAMPLE = 64 << 10
+ENDING_SAMPLE = ENDING_BYTES
+#: Later parts of files whose entries are sent to all tasks; more are chosen from by stretches of lines.
+MOST_SENT = 100_000
 
 
 def line_stats(lines: DataFrame) -> DataFrame:
@@ -42,17 +50,104 @@ def line_endings(lines: DataFrame, sample: int = ENDING_SAMPLE) -> DataFrame:
     size = F.col("end_offset") - F.col("start_offset") - F.octet_length("line")
     lone = F.length("line") - F.length(F.replace(F.col("line"), F.lit("\r"), F.lit("")))
     seen = lines.filter(F.col("start_offset") < sample).groupBy("file_id").agg(F.count_if(size == 2).alias("crlf"), F.count_if(size == 1).alias("lf"), F.sum(lone).alias("cr"))
-    kinds = sum((F.col(c) > 0).cast("int") for c in ("crlf", "lf", "cr"))
-    kind = F.when(kinds > 1, "mixed").when(F.col("crlf") > 0, "CRLF").when(F.col("cr") > 0, "CR").otherwise("LF")
-    return seen.select("file_id", kind.alias("line_ending"))
+    return seen.select("file_id", _ending(F.col("crlf"), F.col("lf"), F.col("cr")).alias("line_ending"))
+
+
+def _ending(crlf: Column, lf: Column, cr: Column) -> Column:
+    kinds = sum((c > 0).cast("int") for c in (crlf, lf, cr))
+    return F.when(kinds > 1, "mixed").when(crlf > 0, "CRLF").when(cr > 0, "CR").otherwise("LF")
+
+
+def stats_of(parts: DataFrame) -> DataFrame:
+    """``line_stats`` and ``line_ending`` by file, from the ``stats`` of one pass (see ``survey``); all figures are exact."""
+    rows = parts.filter("family = 'stats'").select("file_id", "xs", F.posexplode_outer(F.arrays_zip(F.slice("xs", 10, F.greatest(F.size("xs") - 9, F.lit(0))).alias("size"), F.col("ys").alias("n"))).alias("pos", "p"))
+    rows = rows.select("file_id", "xs", F.col("p.size").alias("size"), F.col("p.n").alias("n"), (F.coalesce("pos", F.lit(0)) == 0).alias("head"))
+    total = lambda k: F.sum(F.when(F.col("head"), F.col("xs")[k]))
+    size, many, wide = F.col("size"), F.col("n"), F.col("size").cast("decimal(19,0)")
+    out = rows.groupBy("file_id").agg(
+        *(total(k).alias(n) for k, n in enumerate(("line_count", "empty_line_count", "crlf", "lf", "cr", "sampled"))),
+        F.max("size").alias("most"), F.sum(many).alias("full"), F.sum(size * many).alias("bytes"),
+        F.sum((wide * wide).cast("decimal(38,0)") * many).cast("decimal(38,0)").alias("squares"),
+        F.percentile(size, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.coalesce(many, F.lit(0))).alias("p"),
+        F.max_by(F.struct(F.col("xs")[7].alias("line"), F.col("xs")[8].alias("at")), F.struct(F.col("xs")[6].alias("n"), (-F.col("xs")[7]).alias("k"))).alias("longest"),
+    )
+    n = F.col("full").cast("decimal(19,0)")
+    spread = F.try_divide((n * F.col("squares") - F.col("bytes").cast("decimal(19,0)") * F.col("bytes")).cast("double"), (n * (n - 1)).cast("double"))
+    parts = [F.coalesce(F.col("p")[k], F.lit(0.0)).alias(c) for k, c in enumerate(("line_length_median", "line_length_p95", "line_length_p99"))]
+    some = F.col("full").isNotNull()
+    return out.select(
+        "file_id", "line_count", "empty_line_count", F.coalesce("most", F.lit(0)).cast("int").alias("line_length_max"), F.coalesce(F.col("bytes") / F.col("full"), F.lit(0.0)).alias("line_length_avg"), *parts,
+        F.coalesce(F.sqrt(spread), F.lit(0.0)).alias("line_length_stddev"), F.when(some, F.col("longest.line")).alias("max_line_number"), F.when(some, F.col("longest.at")).alias("max_byte_offset"),
+        _ending(F.col("crlf"), F.col("lf"), F.col("cr")).alias("line_ending"),
+    )
 
 
-def checkpoints(lines: DataFrame, step: int = STEP, size: int = STRETCH) -> DataFrame:
+def checkpoints(lines: DataFrame, step: int = STEP) -> DataFrame:
     """``file_id, line_number, byte_offset``: line 1, then each first line that begins ``step`` bytes or more after the last.
 
-    Each checkpoint hangs on the one before; a file's stretches of ``size``
-    lines are chosen from by all tasks all the same (see ``jumps``).
+    Each checkpoint hangs on the one before.  A pass over the lines, made when
+    this is called, gives those of the parts that begin a file; of other parts it
+    gives where each is left by where it is entered.  Only if there are such
+    parts are the lines read again, once all entries are known.
     """
+    return points_of(lines, kept(survey(lines, ("point",), step)), step)
+
+
+def points_of(lines: DataFrame, parts: DataFrame, step: int) -> DataFrame:
+    """The checkpoints of ``lines``, from the ``point``, ``jump`` and ``tail`` rows of one pass."""
+    first = parts.filter("family = 'point'").select("file_id", "line_number", F.col("start_offset").alias("byte_offset"))
+    kind = kind_of(lines)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, place = None, step
+        for batch in batches:
+            entries = []
+            for f, family, upto, out in zip(*(batch.column(c).to_pylist() for c in ("file_id", "family", "xs", "ys"))):
+                if f != file:
+                    file, place = f, step
+                entries.append(place)
+                if family == "tail":
+                    place = upto[0]
+                else:
+                    k = int(np.searchsorted(np.array(upto), place))
+                    place = out[k] if k < len(out) else place
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file_id", "family", "line_number")), pa.array(entries, pa.int64())], ["file_id", "family", "line_number", "entry"])
+
+    later = parts.filter("family = 'jump'")
+    many = later.count()
+    if not many:
+        return first
+    if many > MOST_SENT:
+        return _by_stretches(lines, step)
+    ends = parts.filter("family in ('jump', 'tail')").join(F.broadcast(later.select("file_id").distinct()), "file_id", "left_semi")
+    ends = ends.repartition("file_id").sortWithinPartitions("file_id", "line_number").select("file_id", "family", "line_number", "xs", "ys")
+    known = {(r["file_id"], r["line_number"]): r["entry"] for r in ends.mapInArrow(chain, f"file_id {kind}, family string, line_number long, entry long").filter("family = 'jump'").collect()}
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, following, place = None, 0, None
+        for batch in batches:
+            number, end = batch.column("line_number").to_numpy(), batch.column("end_offset").to_numpy()
+            code = batch.column("file_id").dictionary_encode().indices.fill_null(-1).to_numpy()
+            cuts = np.flatnonzero((code[1:] != code[:-1]) | (number[1:] != number[:-1] + 1)) + 1 if len(number) else []
+            for a, b in zip([0, *cuts], [*cuts, len(number)]):
+                if a == b:
+                    continue
+                f, at = batch.column("file_id")[int(a)].as_py(), int(number[a])
+                if f != file or at != following:
+                    place = None if at == 1 else known[f, at]
+                file, following = f, int(number[b - 1]) + 1
+                if place is not None:
+                    taken_rows = int(a) + np.array(follow(end[a:b], end[a:b] + step, place), np.int64)
+                    if len(taken_rows):
+                        place = int(end[taken_rows[-1]]) + step
+                        yield pa.RecordBatch.from_arrays([batch.column("file_id").take(pa.array(taken_rows)), pa.array(number[taken_rows] + 1), pa.array(end[taken_rows])], ["file_id", "line_number", "byte_offset"])
+
+    rest = lines.select("file_id", "line_number", "end_offset").mapInArrow(choose, f"file_id {kind}, line_number long, byte_offset long")
+    return first.unionByName(rest)
+
+
+def _by_stretches(lines: DataFrame, step: int, size: int = STRETCH) -> DataFrame:
+    """Checkpoints of any number of parts: stretches of ``size`` lines are dealt out and chosen from (see ``jumps``)."""
     end = F.col("end_offset")
     items = with_stretch(lines, size).select("file_id", "__stretch", end.alias("at"), (end + step).alias("next"), (F.col("line_number") + 1).alias("line_number"))
     later = taken(items, step).select("file_id", "line_number", F.col("at").alias("byte_offset"))
@@ -94,14 +189,18 @@ def build(lines: DataFrame, step: int = STEP, analyze: bool = False, files: Data
 
     ``analyzed`` tells whether ``anomalies`` were looked for.  With ``files``
     (``path, size, mtime``, the path being the file's id) the row also has these,
-    as kept indexes need.
+    as kept indexes need.  The lines are read once when this is called, and once
+    more if a file lies in several parts.
     """
-    points = checkpoints(lines, step).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "byte_offset"))).alias("line_index"))
-    out = line_stats(lines).join(line_endings(lines), "file_id").join(points, "file_id").withColumn("analyzed", F.lit(analyze))
-    if analyze:
-        from .detectors import analyze as anomalies_of
+    from . import detectors
 
-        found = anomalies_of(lines, window=window)
+    seen = detectors.window_lines(window)
+    families = ("stats", "point", *(detectors.families_of() if analyze else ()))
+    parts = kept(survey(lines, tuple(dict.fromkeys(families)), step, seen))
+    points = points_of(lines, parts, step).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "byte_offset"))).alias("line_index"))
+    out = stats_of(parts).join(points, "file_id").withColumn("analyzed", F.lit(analyze))
+    if analyze:
+        found = detectors.anomalies_of(parts, window=window)
         shape = F.struct(*[F.col(c) for c in found.columns if c != "file_id"])
         each = found.groupBy("file_id").agg(F.array_sort(F.collect_list(shape)).alias("anomalies"))
         out = out.join(each, "file_id", "left").withColumn("anomalies", F.coalesce("anomalies", F.array().cast(each.schema["anomalies"].dataType)))

@@ -33,12 +33,13 @@ def running(lines: DataFrame, file_col: str = "file_id", order: str = "line_numb
     return out.drop("__stretch", *(f"__{p}_{n}" for p in ("in", "before") for n in values))
 
 
-def previous(lines: DataFrame, value: Column, name: str, file_col: str = "file_id", size: int = STRETCH) -> DataFrame:
-    """``lines`` with ``name``, the value of the line before (null for the first)."""
+def previous_row(rows: DataFrame, value: Column, name: str, file_col: str = "file_id", order: str = "line_number", size: int = STRETCH) -> DataFrame:
+    """``rows`` with ``name``, the ``value`` (never null) of the row before in its file, however far away; null for the first."""
     keys = [file_col, "__stretch"]
-    rows = with_stretch(lines, size).withColumn("__value", value)
-    last = rows.groupBy(*keys).agg(F.max_by("__value", "line_number").alias("__carried")).withColumn("__stretch", F.col("__stretch") + 1)
-    own = F.lag("__value").over(Window.partitionBy(*keys).orderBy("line_number"))
-    first = (F.col("line_number") - 1) % size == 0
-    out = rows.withColumn("__own", own).join(last, keys, "left")
-    return out.withColumn(name, F.when(first, F.col("__carried")).otherwise(F.col("__own"))).drop("__stretch", "__value", "__own", "__carried")
+    rows = with_stretch(rows, size).withColumn("__value", value)
+    before = Window.partitionBy(file_col).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy(*keys).agg(F.max_by("__value", order).alias("__last"))
+    carried = last.select(*keys, F.last("__last").over(before).alias("__carried"))
+    own = F.lag("__value").over(Window.partitionBy(*keys).orderBy(order))
+    out = rows.withColumn("__own", own).join(carried, keys)
+    return out.withColumn(name, F.coalesce("__own", "__carried")).drop("__stretch", "__value", "__own", "__carried")

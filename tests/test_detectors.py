@@ -6,12 +6,16 @@ import re
 import pytest
 
 from loglattice.operators import detectors as d
-from loglattice.operators import running
+from loglattice.operators import running, shapes
 from loglattice.plans.corpus import KINDS
 
 from .helpers import lines_frame, rows
 
 
+#: The lines that come to a task's Python at once: runs end there, so small ones test what crosses their ends.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def random_files(kind, n=40, length=60, seed=5):
     rng = random.Random(seed)
     words = KINDS[kind]
@@ -21,9 +25,12 @@ def random_files(kind, n=40, length=60, seed=5):
 def check(spark, kind, detector, machine, **options):
     files = random_files(kind)
     want = sorted((f, a, b) for f, t in files.items() for a, b in machine(t.split("\n")[:-1]))
-    for parts in (1, 5):
-        found = detector(lines_frame(spark, files, parts), **options)
+    for parts, batch, mixed in ((1, 10_000, False), (5, 7, False), (3, 50, True)):
+        spark.conf.set(BATCH, batch)
+        lines = lines_frame(spark, files, parts)
+        found = detector(lines.repartition(3) if mixed else lines, **options)
         assert rows(found, "file_id", "start_line", "end_line") == want
+    spark.conf.set(BATCH, 10_000)
     assert want
 
 
@@ -40,7 +47,7 @@ def python_machine(lines):
         if state:
             out.append((first, last))
             state = 0
-        if line.rstrip(" \t") == d.PY_OPENER:
+        if line.rstrip(" \t") == shapes.PY_OPENER:
             state, first, last = 1, n, n
     return out + [(first, last)] * bool(state)
 
@@ -70,17 +77,17 @@ def simple_machine(openers, more, least=1):
 
 
 def test_java(spark):
-    check(spark, "java", d.traceback_java, simple_machine(d.JAVA_OPENERS, d.JAVA_MORE))
+    check(spark, "java", d.traceback_java, simple_machine(shapes.JAVA_OPENERS, shapes.JAVA_MORE))
 
 
 def test_js(spark):
-    check(spark, "js", d.traceback_js, simple_machine([d.JS_OPENER], d.JS_MORE, 2))
+    check(spark, "js", d.traceback_js, simple_machine([shapes.JS_OPENER], shapes.JS_MORE, 2))
 
 
 def go_machine(lines):
     out, state, first, last = [], 0, 0, 0
     for n, line in enumerate(lines, 1):
-        if re.search(d.GO_OPENER, line):
+        if re.search(shapes.GO_OPENER, line):
             if state:
                 out.append((first, last))
             state, first, last = 1, n, n
@@ -90,10 +97,10 @@ def go_machine(lines):
             if state == 2:
                 out.append((first, last))
             state = 2 if state == 1 else 0
-        elif state == 1 and re.search(d.GO_EXIT, line):
+        elif state == 1 and re.search(shapes.GO_EXIT, line):
             out.append((first, n))
             state = 0
-        elif any(re.search(m, line) for m in d.GO_MORE):
+        elif any(re.search(m, line) for m in shapes.GO_MORE):
             last, state = n, 1
         else:
             out.append((first, last))
@@ -123,10 +130,10 @@ def test_repeats(spark):
 @pytest.mark.parametrize("size", [1, 3, 7])
 def test_small_stretches(spark, size, monkeypatch):
     """Runs and segments that cross the borders of stretches."""
-    for f in (running.running, running.previous, running.with_stretch):
+    for f in (running.running, running.previous_row, running.with_stretch):
         monkeypatch.setitem(f.__kwdefaults__ or {}, "size", size)
     monkeypatch.setattr(running.with_stretch, "__defaults__", (size,))
-    monkeypatch.setattr(running.previous, "__defaults__", ("file_id", size))
+    monkeypatch.setattr(running.previous_row, "__defaults__", ("file_id", "line_number", size))
     monkeypatch.setattr(running.running, "__defaults__", ("file_id", "line_number", size))
     files = random_files("go", n=10, length=40)
     want = sorted((f, a, b) for f, t in files.items() for a, b in go_machine(t.split("\n")[:-1]))
@@ -135,7 +142,7 @@ def test_small_stretches(spark, size, monkeypatch):
 
 def dump_machine(lines):
     out, held = [], None
-    kind_of = lambda x: next((k for k, shape in d.DUMP_OPENERS.items() if re.match(shape, x)), "")
+    kind_of = lambda x: next((k for k, shape in shapes.DUMP_OPENERS.items() if re.match(shape, x)), "")
     for n, line in enumerate(lines, 1):
         kind = kind_of(line)
         if held:
@@ -145,12 +152,12 @@ def dump_machine(lines):
                 held = None
                 if line.startswith("(core dumped)"):
                     continue
-            elif name == "kernel" and re.match(d.KERNEL_LINE, line):
+            elif name == "kernel" and re.match(shapes.KERNEL_LINE, line):
                 held = (name, first, n)
                 continue
             elif name in ("asan", "stack-smash") and line and kind in ("", name):
                 held = (name, first, n)
-                if re.match(d.ASAN_END, line) if name == "asan" else line.startswith("Aborted (core dumped)"):
+                if re.match(shapes.ASAN_END, line) if name == "asan" else line.startswith("Aborted (core dumped)"):
                     out.append((first, n))
                     held = None
                 continue
@@ -199,7 +206,7 @@ def test_blobs(spark, window, size):
 
 def test_dumps_in_small_stretches(spark, monkeypatch):
     monkeypatch.setattr(running.with_stretch, "__defaults__", (3,))
-    monkeypatch.setattr(running.previous, "__defaults__", ("file_id", 3))
+    monkeypatch.setattr(running.previous_row, "__defaults__", ("file_id", "line_number", 3))
     monkeypatch.setattr(running.running, "__defaults__", ("file_id", "line_number", 3))
     files = random_files("dump", n=10, length=40)
     want = sorted((f, a, b) for f, t in files.items() for a, b in dump_machine(t.split("\n")[:-1]))

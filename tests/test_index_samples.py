@@ -3,6 +3,7 @@ import statistics
 
 import pytest
 
+from loglattice.operators.survey import survey
 from loglattice.operators import caches, frames, index, samples
 from loglattice.operators.samples import Request, parse
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def greedy(ends, step):
     return out
 
 
-def test_checkpoints(spark):
+def test_checkpoints(spark, monkeypatch):
     rng = random.Random(3)
     files = {f"f{k}": "".join("x" * rng.randrange(30) + "\n" for _ in range(rng.randrange(1, 200))) for k in range(20)}
     want = []
@@ -47,6 +48,69 @@ def test_checkpoints(spark):
         want += [(f, *p) for p in greedy(ends, 256)]
     for parts in (1, 6):
         assert rows(index.checkpoints(lines_frame(spark, files, parts), 256), "file_id", "line_number", "byte_offset") == sorted(want)
+    lines = lines_frame(spark, files, 6)
+    # Lines in any order: every one of them is a part of its own.
+    assert rows(index.checkpoints(lines.repartition(3).cache(), 256), "file_id", "line_number", "byte_offset") == sorted(want)
+    monkeypatch.setattr(index, "MOST_SENT", 10)
+    assert rows(index.checkpoints(lines.repartition(3).cache(), 256), "file_id", "line_number", "byte_offset") == sorted(want)
+
+
+def test_statistics_from_one_pass(spark):
+    """As from the lines themselves, whatever the batches and parts."""
+    rng = random.Random(6)
+    files = {f"f{k}": "".join(rng.choice(["", " ", "é" * rng.randrange(9), "x" * rng.randrange(40), "a\rb"]) + rng.choice(["\n", "\n", "\r\n"]) for _ in range(rng.randrange(1, 90))) for k in range(15)} | {"blank": "\n \n", "one": "x"}
+    lines = lines_frame(spark, files, 4)
+    want = index.line_stats(lines).join(index.line_endings(lines), "file_id")
+    for batch, parts in ((10_000, 4), (5, 4), (10_000, 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = index.stats_of(survey(lines_frame(spark, files, parts), ("stats",)))
+        assert got.schema.simpleString() == want.schema.simpleString()
+        plain = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+        assert plain(got) == plain(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+
+def test_index_of_parts(spark, tmp_path):
+    """Files in several splits: the source is read twice, with all detectors, and rows equal those of whole files."""
+    from loglattice.plans.corpus import KINDS
+    from loglattice.sources.files import read_lines
+
+    rng = random.Random(2)
+    for k in range(3):
+        (tmp_path / f"f{k}.log").write_text("".join(rng.choice(KINDS[rng.choice(list(KINDS))]) + "\n" for _ in range(600)))
+    whole = index.build(read_lines(spark, str(tmp_path)), 500, analyze=True)
+    parts = index.build(read_lines(spark, str(tmp_path), split_bytes=900), 500, analyze=True)
+    assert whole.orderBy("file_id").collect() == parts.orderBy("file_id").collect()
+    assert {x["detector"] for r in whole.collect() for x in r["anomalies"]} >= {"traceback-python", "traceback-java", "traceback-go", "coredump-unix", "json-blob-multiline"}
+
+
+class Reads:
+    """Counts the times that a table's lines are made, over all tasks."""
+
+    def __init__(self, spark, lines):
+        self.total = spark.sparkContext.accumulator(0)
+        total = self.total
+
+        def run(batches):
+            for batch in batches:
+                total.add(batch.num_rows)
+                yield batch
+
+        self.lines = lines.mapInArrow(run, lines.schema)
+
+
+def test_lines_are_read_once_or_twice(spark):
+    files = {f"f{k}": "".join(f"line {i} of {k}\n" for i in range(200)) for k in range(5)}
+    lines = lines_frame(spark, files)
+    once = Reads(spark, lines)
+    index.build(once.lines, 256, analyze=True).collect()
+    assert once.total.value == 1000
+    twice = Reads(spark, lines)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    index.build(twice.lines.repartitionByRange(7, "file_id", "line_number").sortWithinPartitions("file_id", "line_number"), 256, analyze=True).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    # The range shuffle samples its input: it makes the lines once more for each of the two passes.
+    assert twice.total.value <= 4000
 
 
 def test_checkpoint_lookup(spark):
