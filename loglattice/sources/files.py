@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import bz2
 import gzip
 import io
@@ -19,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .blocks import BlockStream, BzBlocks, xz_blocks, zstd_frame, zstd_frames
 from .lines import COLUMNS, split_lines
-from .seekable import FOOTER, is_seekable, read_seek_table
 
 MIN_CHUNK = 20 << 20
 MAX_CHUNKS = 20
@@ -155,47 +154,20 @@ class FileHeads(DataSource):
         return _HeadReader(self.options["path"], self.options.get("recursive", "true") == "true")
 
 
-class FrameStream:
-    """The plain bytes of a seekable file, from any place on; one frame is held at a time."""
-
-    def __init__(self, raw, frames: list[tuple[int, int, int, int]]) -> None:
-        self.raw, self.frames = raw, frames
-        self.starts = [b for _, _, b, _ in frames]
-        self.at, self.held, self.plain = 0, -1, b""
-
-    def seek(self, at: int) -> None:
-        self.at = at
-
-    def tell(self) -> int:
-        return self.at
-
-    def read(self, most: int) -> bytes:
-        k = bisect.bisect_right(self.starts, self.at) - 1
-        while k < len(self.frames):
-            a, size, b, n = self.frames[k]
-            if self.at < b + n:
-                if k != self.held:
-                    self.raw.seek(a)
-                    self.held, self.plain = k, zstandard.ZstdDecompressor().decompress(self.raw.read(size), max_output_size=max(n, 1))
-                out = self.plain[self.at - b : self.at - b + most]
-                self.at += len(out)
-                return out
-            k += 1
-        return b""
-
-
-def seek_frames(raw, size: int) -> list[tuple[int, int, int, int]] | None:
-    """The frames of a seekable file by its last bytes, None if it isn't one."""
-    if size < FOOTER.size:
-        return None
-    raw.seek(size - FOOTER.size)
-    tail = raw.read(FOOTER.size)
-    n, flags, _ = FOOTER.unpack(tail)
-    if not is_seekable(tail):
-        return None
-    want = min(size, FOOTER.size + 8 + n * 12)
-    raw.seek(size - want)
-    return read_seek_table(raw.read(want), False)
+def opened(raw, path: str, size: int) -> tuple[str | None, object, list | None]:
+    """The format, None for a binary file; a reader of its plain bytes, and the blocks that these lie in where each can be read by itself."""
+    head = raw.read(TEXT_PROBE)
+    kind = kind_of(path, head)
+    if not kind and b"\0" in head:
+        return None, raw, None
+    raw.seek(0)
+    if kind == "zstd" and (frames := zstd_frames(raw, size)) is not None:
+        return kind, BlockStream(raw, frames, zstd_frame), frames
+    if kind == "xz" and (found := xz_blocks(raw, size)) is not None:
+        blocks, decode = found
+        return kind, BlockStream(raw, blocks, decode), blocks
+    raw.seek(0)
+    return kind, raw if not kind else decompressed(raw, kind), None
 
 
 class _Split(InputPartition):
@@ -203,52 +175,70 @@ class _Split(InputPartition):
         self.path, self.start, self.stop, self.size, self.first = path, start, stop, size, first
 
 
+def _addressed(path: str, split: int, first: int, data: bytes, start: int, stop: int | None) -> tuple[pa.RecordBatch, int]:
+    """The lines of ``data``, which lies at ``start``, that begin before ``stop``; and how many it has in all."""
+    text = data.decode("utf-8", "replace")
+    _, n, a, b, lines = split_lines(pa.array([text], pa.large_string()))
+    if len(text.encode()) != len(data):  # not UTF-8: offsets from the bytes
+        pieces = data.split(b"\n")
+        pieces = pieces[:-1] if not pieces[-1] else pieces
+        b = np.minimum(np.cumsum([len(p) + 1 for p in pieces]), len(data))
+        a = np.concatenate([[0], b[:-1]])
+    keep = len(n) if stop is None else int((a + start < stop).sum())
+    return pa.RecordBatch.from_arrays([pa.array([path] * keep, pa.string()), pa.array([split] * keep, pa.int64()), pa.array(n[:keep] + first - 1), pa.array(a[:keep] + start), pa.array(b[:keep] + start), lines.slice(0, keep).cast(pa.string())], ["file_id", "split", "line_number", "start_offset", "end_offset", "line"]), len(n)
+
+
 class _LineReader(DataSourceReader):
-    def __init__(self, path: str, size: int, ranges: str) -> None:
-        self.path, self.size, self.ranges = path, size, json.loads(ranges) if ranges else None
+    """Splits are ranges of the files' own bytes; with ``ranges``, stretches of plain bytes that begin with a line; with ``splits``, some of the splits."""
+
+    def __init__(self, path: str, size: int, ranges: str = "", splits: str = "") -> None:
+        self.path, self.size = path, size
+        self.ranges, self.some = (json.loads(x) if x else None for x in (ranges, splits))
 
     def partitions(self) -> list[_Split]:
-        sizes = {f.path: f.size for f in _listed(self.path)}
-        if self.ranges is not None:
-            out = [_Split(path, a, b, sizes[path], first) for path, a, b, first in self.ranges if path in sizes]
+        if self.some is not None:
+            out = [_Split(*s) for s in self.some]
         else:
-            out = [_Split(path, a, min(a + self.size, size), size) for path, size in sizes.items() for a in range(0, size, self.size)]
+            sizes = {f.path: f.size for f in _listed(self.path)}
+            if self.ranges is not None:
+                out = [_Split(path, a, b, sizes[path], first) for path, a, b, first in self.ranges if path in sizes]
+            else:
+                out = splits_of(sizes, self.size)
         return out or [_Split("", 0, 0, 0)]
 
     def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
         """Lines that begin in the split; ``line_number`` is counted within it.
 
-        A split is a range of the file's own bytes.  Of a compressed file the
-        first split reads all, but of a seekable one each reads the frames that
-        begin in it; then ranges, where asked for, are of plain bytes.
+        Of a compressed file whose blocks can be read by themselves each split
+        reads the blocks that begin in it; of another the first split reads all.
+        Offsets of bzip2 are counted within the split too, since only reading
+        tells what lies before.
         """
         if not split.path:
             return
         fs, _ = _open(self.path)
         with fs.open_input_file(split.path) as raw:
-            head = raw.read(TEXT_PROBE)
-            kind = kind_of(split.path, head)
-            if not kind and b"\0" in head:
+            kind, source, blocks = opened(raw, split.path, split.size)
+            if kind is None:
                 return
-            raw.seek(0)
-            source, start, stop = raw, split.start, split.stop
-            frames = seek_frames(raw, split.size) if kind == "zstd" else None
-            if frames is not None:
-                source = FrameStream(raw, frames)
+            if kind == "bz2" and self.ranges is None:
+                yield from _bz_lines(raw, split)
+                return
+            start, stop = split.start, split.stop
+            if blocks is not None:
                 if self.ranges is None:
-                    mine = [f for f in frames if split.start <= f[0] < split.stop]
-                    if not mine:
+                    span = _span(blocks, split)
+                    if span is None:
                         return
-                    start, stop = mine[0][2], mine[-1][2] + mine[-1][3]
+                    start, stop = span
             elif kind:
                 if start and self.ranges is None:
                     return
-                raw.seek(0)
-                source, stop = decompressed(raw, kind), None if self.ranges is None else stop
+                stop = None if self.ranges is None else stop
                 skip = start
                 while skip > 0 and (block := source.read(min(BLOCK, skip))):
                     skip -= len(block)
-            if (not kind or frames is not None) and start:
+            if (not kind or blocks is not None) and start:
                 source.seek(start - 1)
                 while True:
                     block = source.read(BLOCK)
@@ -269,20 +259,47 @@ class _LineReader(DataSourceReader):
                 data, rest = data[:cut], data[cut:]
                 if not data:
                     continue
-                text = data.decode("utf-8", "replace")
-                _, n, a, b, lines = split_lines(pa.array([text], pa.large_string()))
-                if len(text.encode()) != len(data):  # not UTF-8: offsets from the bytes
-                    pieces = data.split(b"\n")
-                    pieces = pieces[:-1] if not pieces[-1] else pieces
-                    b = np.minimum(np.cumsum([len(p) + 1 for p in pieces]), len(data))
-                    a = np.concatenate([[0], b[:-1]])
-                keep = len(n) if stop is None else int((a + start < stop).sum())
-                yield pa.RecordBatch.from_arrays([pa.array([split.path] * keep, pa.string()), pa.array([split.start] * keep, pa.int64()), pa.array(n[:keep] + number + split.first - 1), pa.array(a[:keep] + start), pa.array(b[:keep] + start), lines.slice(0, keep).cast(pa.string())], ["file_id", "split", "line_number", "start_offset", "end_offset", "line"])
-                number, start = number + len(n), start + len(data)
+                batch, n = _addressed(split.path, split.start, split.first + number, data, start, stop)
+                yield batch
+                number, start = number + n, start + len(data)
                 if not block:
                     return
 
 
+def splits_of(sizes: dict[str, int], split_bytes: int) -> list[_Split]:
+    return [_Split(path, a, min(a + split_bytes, size), size) for path, size in sizes.items() for a in range(0, size, split_bytes)]
+
+
+def _span(blocks: list, split: _Split) -> tuple[int, int] | None:
+    """The plain bytes of the blocks that begin in a split."""
+    mine = [f for f in blocks if split.start <= f[0] < split.stop]
+    return (mine[0][2], mine[-1][2] + mine[-1][3]) if mine else None
+
+
+def _bz_lines(raw, split: _Split) -> Iterator[pa.RecordBatch]:
+    """The lines that begin behind the split's first plain byte (of the first split, also with it) and no later than behind its last."""
+    started, rest, at, number = not split.start, b"", 0, 0
+    for place, block in BzBlocks(raw, split.start, split.stop):
+        own = place < split.stop
+        if not own and not started:
+            return
+        data = rest + block
+        if not started:
+            cut = data.find(b"\n") + 1
+            at, data = at + (cut or len(data)), data[cut:] if cut else b""
+            started = bool(cut)
+        cut = (data.rfind(b"\n") if own else data.find(b"\n")) + 1
+        if cut:
+            batch, n = _addressed(split.path, split.start, split.first + number, data[:cut], at, None)
+            yield batch
+            number, at = number + n, at + cut
+            if not own:
+                return
+        rest = data[cut:]
+    if started and rest:
+        yield _addressed(split.path, split.start, split.first + number, rest, at, None)[0]
+
+
 class LogLines(DataSource):
     """``spark.read.format("loglines").load(path)``: addressed lines of plain and compressed text files."""
 
@@ -294,24 +311,117 @@ class LogLines(DataSource):
         return "file_id string, split long, line_number long, start_offset long, end_offset long, line string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _LineReader(self.options["path"], int(self.options.get("splitBytes", 64 << 20)), self.options.get("ranges", ""))
+        return _LineReader(self.options["path"], int(self.options.get("splitBytes", 64 << 20)), self.options.get("ranges", ""), self.options.get("splits", ""))
 
 
-def read_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
-    """Lines of all text files below a path, with numbers from the start of each file; binary ones are left out.
+class _CountReader(_LineReader):
+    """Of each split of a file with several, the lines that begin in it, and (bzip2) the plain bytes; from bytes alone."""
+
+    def partitions(self) -> list[_Split]:
+        return [s for s in super().partitions() if s.stop - s.start < s.size] or [_Split("", 0, 0, 0)]
 
-    A split counts its own lines; the counts of the splits before it, one row
-    for each split, are sent to all tasks where they are few.
+    def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
+        if not split.path:
+            return
+        fs, _ = _open(self.path)
+        with fs.open_input_file(split.path) as raw:
+            kind, source, blocks = opened(raw, split.path, split.size)
+            n = plain = 0
+            if kind == "bz2":
+                last = b""
+                for place, block in BzBlocks(raw, split.start, split.stop):
+                    if place >= split.stop:
+                        last = b""  # something follows
+                        break
+                    n, plain, last = n + block.count(b"\n"), plain + len(block), block[-1:]
+                n += (not split.start and plain > 0) - (last == b"\n")
+            elif kind is not None and (not kind or blocks is not None):
+                span = (split.start, split.stop) if blocks is None else _span(blocks, split)
+                if span is not None:
+                    at, stop = max(span[0] - 1, 0), span[1] - 1
+                    n = int(span[0] == 0)
+                    source.seek(at)
+                    while at < stop and (block := source.read(min(BLOCK, stop - at))):
+                        n, at = n + block.count(b"\n"), at + len(block)
+            elif kind is None or split.start:
+                return  # nothing is read of it, or all by its first split
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (split.path, split.start, n, plain)], ["file_id", "split", "n", "plain"])
+
+
+class LineCounts(DataSource):
+    """``spark.read.format("linecounts").load(path)``: lines by split, without decoding them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "linecounts"
+
+    def schema(self) -> str:
+        return "file_id string, split long, n long, plain long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _CountReader(self.options["path"], int(self.options.get("splitBytes", 64 << 20)), "", self.options.get("splits", ""))
+
+
+def split_counts(spark: SparkSession, path: str, split_bytes: int, splits: list[_Split], kept: str | None = None) -> DataFrame:
+    """``file_id, split, n, plain`` of the splits of files with several.
+
+    With ``kept``, a folder, counts of files that haven't changed since are
+    taken from there, and others are added to it.
     """
+    spark.dataSource.register(LineCounts)
+    read = spark.read.format("linecounts").option("splitBytes", str(split_bytes))
+    if kept is None:
+        return read.load(path) if not splits else read.option("splits", _as_option(splits)).load(path)
+    times = {f.path: f.mtime_ns or 0 for f in _listed(path)}
+    state = spark.createDataFrame(sorted({(s.path, s.size, times[s.path], split_bytes) for s in splits if s.stop - s.start < s.size}), "file_id string, size long, mtime long, split_bytes long")
+    keys = state.columns
+    fs, inner = _open(kept)
+    known = spark.read.parquet(kept) if fs.get_file_info(inner).type == pafs.FileType.Directory else state.limit(0).selectExpr("*", "0L AS split", "0L AS n", "0L AS plain")
+    missing = {r["file_id"] for r in state.join(known.select(*keys).distinct(), keys, "left_anti").select("file_id").toLocalIterator()}
+    if missing:
+        fresh = read.option("splits", _as_option([s for s in splits if s.path in missing])).load(path).join(state, "file_id")
+        fresh.select(*keys, "split", "n", "plain").write.mode("append").parquet(kept)
+        known = spark.read.parquet(kept)
+    return known.join(state, keys, "left_semi").select("file_id", "split", "n", "plain").distinct()
+
+
+def _as_option(splits: list[_Split]) -> str:
+    return json.dumps([(s.path, s.start, s.stop, s.size) for s in splits])
+
+
+def numbered(part: DataFrame, counts: DataFrame, few: bool) -> DataFrame:
+    """Lines of splits with their numbers and places in their files, by the counts of the splits before."""
     from pyspark.sql import Window
 
+    by = Window.partitionBy("file_id").orderBy("split")
+    before = counts.select("file_id", "split", (F.sum("n").over(by) - F.col("n")).alias("__before"), (F.sum("plain").over(by) - F.col("plain")).alias("__base"))
+    joined = part.join(F.broadcast(before) if few else before, ["file_id", "split"], "left")
+    base = F.coalesce("__base", F.lit(0))
+    return joined.withColumns({"line_number": F.col("line_number") + F.coalesce("__before", F.lit(0)), "start_offset": F.col("start_offset") + base, "end_offset": F.col("end_offset") + base}).drop("__before", "__base")
+
+
+def read_lines(spark: SparkSession, path: str, split_bytes: int = 64 << 20, kept_counts: str | None = None) -> DataFrame:
+    """Lines of all text files below a path, with numbers from the start of each file; binary ones are left out.
+
+    A split counts its own lines.  Only where a file has several splits are line
+    feeds counted beforehand, without decoding; ``kept_counts`` names a folder
+    where such counts are kept for later scans.  The counts, one row for each
+    split, are sent to all tasks where they are few.
+    """
     spark.dataSource.register(LogLines)
     part = spark.read.format("loglines").option("splitBytes", str(split_bytes)).load(path)
-    before = F.sum("n").over(Window.partitionBy("file_id").orderBy("split")) - F.col("n")
-    counts = part.groupBy("file_id", "split").agg(F.count("*").alias("n")).select("file_id", "split", before.alias("__before"))
-    if len(_LineReader(path, split_bytes, "").partitions()) <= MOST_SENT_SPLITS:
-        counts = F.broadcast(counts)
-    return part.join(counts, ["file_id", "split"]).withColumn("line_number", F.col("line_number") + F.col("__before")).select(*COLUMNS)
+    splits = splits_of({f.path: f.size for f in _listed(path)}, split_bytes)
+    if all(s.stop - s.start == s.size for s in splits):
+        return part.select(*COLUMNS)
+    few = len(splits) <= MOST_SENT_SPLITS
+    counts = split_counts(spark, path, split_bytes, splits if kept_counts else [], kept_counts)
+    return numbered(part, counts, few).select(*COLUMNS)
+
+
+def read_splits(spark: SparkSession, path: str, splits: list[_Split]) -> DataFrame:
+    """Lines of some splits, with ``split``; numbers are counted within each."""
+    spark.dataSource.register(LogLines)
+    return spark.read.format("loglines").option("splits", _as_option(splits)).load(path)
 
 
 def read_ranges(spark: SparkSession, path: str, ranges: list[tuple[str, int, int, int]]) -> DataFrame:

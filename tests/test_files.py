@@ -1,6 +1,7 @@
 import bz2
 import gzip
 import lzma
+import random
 import socket
 
 import pytest
@@ -32,6 +33,41 @@ def test_read_lines(spark, folder, split):
         assert rows(mine, "line_number", "start_offset", "end_offset", "line") == plain_lines(TEXT)
 
 
+@pytest.mark.parametrize("split", [20_000, 90_000, 1 << 20])
+@pytest.mark.parametrize("end", ["", "\n"])
+def test_large_compressed_files_are_split_by_blocks(spark, tmp_path, split, end):
+    """Blocks of bzip2, of several streams too, and of xz; lines longer than blocks and splits without any begin."""
+    rng = random.Random(3)
+    text = "".join(f"{k} {rng.random()} é\r\n" if k % 5 else f"{k}\n" for k in range(30_000)) + "x" * 300_000 + "\n" + "\n" * 50 + "last" + end
+    data = text.encode()
+    (tmp_path / "a.bz2").write_bytes(bz2.compress(data, 1))
+    (tmp_path / "b.bz2").write_bytes(b"".join(bz2.compress(data[a : a + 150_001], 2) for a in range(0, len(data), 150_001)))
+    (tmp_path / "c.xz").write_bytes(b"".join(lzma.compress(data[a : a + 100_003]) for a in range(0, len(data), 100_003)))
+    (tmp_path / "d.bz2").write_bytes(bz2.compress(b"one"))
+    got = files.read_lines(spark, str(tmp_path), split)
+    want = plain_lines(text)
+    for name in ("a.bz2", "b.bz2", "c.xz"):
+        assert rows(got.filter(F.col("file_id").endswith(name)), "line_number", "start_offset", "end_offset", "line") == want
+    assert rows(got.filter(F.col("file_id").endswith("d.bz2")), "line_number", "line") == [(1, "one")]
+    if split < 100_000:
+        tasks = files.read_splits(spark, str(tmp_path), files.splits_of({str(tmp_path / n): (tmp_path / n).stat().st_size for n in ("a.bz2", "c.xz")}, split))
+        assert all(r["n"] > 2 for r in tasks.groupBy("file_id").agg(F.countDistinct("split").alias("n")).collect())
+
+
+def test_counts_of_splits_are_kept(spark, folder, tmp_path_factory):
+    """Without decoding; a later scan reads no counts anew, a changed file's are counted again."""
+    kept = str(tmp_path_factory.mktemp("counts") / "c")
+    for _ in range(2):
+        got = files.read_lines(spark, str(folder), 100, kept)
+        assert rows(got.filter(F.col("file_id").endswith("a.log")), "line_number", "start_offset", "end_offset", "line") == plain_lines(TEXT)
+    n = spark.read.parquet(kept).count()
+    (folder / "a.log").write_bytes(b"new\n" * 90)
+    assert rows(files.read_lines(spark, str(folder), 100, kept).filter(F.col("file_id").endswith("a.log")), "line_number") == [(k,) for k in range(1, 91)]
+    assert spark.read.parquet(kept).count() == n + 4
+    one = files.read_lines(spark, str(folder / "a.log"))  # a single split needs no counts
+    assert "linecounts" not in one._jdf.queryExecution().toString().lower() and one.count() == 90
+
+
 def test_catalog(spark, folder):
     (folder / "z.bin").write_bytes(b"a\0b")
     (folder / "noext").write_bytes(gzip.compress(b"x"))
