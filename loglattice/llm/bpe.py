@@ -22,8 +22,8 @@ from tokenizers import Tokenizer
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A space that doesn't begin a pre-token with what follows.
 LOOSE_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}\x{180e}]|$)"
-#: Entries that the look-up table of one worker holds before it starts anew, and the longest one, in characters.
-CACHE_ENTRIES, CACHE_LENGTH = 200_000, 64
+#: Entries that the look-up table of one worker holds, and the longest one, in characters.
+CACHE_ENTRIES, CACHE_LENGTH = 600_000, 64
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -48,15 +48,21 @@ class BpeEncoder:
         self.model = self.tokenizer.model
         self.model._resize_cache(0)
         self.alphabet = _byte_alphabet()
+        #: Half of the table, and the half before; what is met again moves to the new half.
         self.pretokens: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: What any text with an added token matches; None if there is none.
         self.added = "|".join(map(regex.escape, added)) or None
 
     def _ids(self, pretoken: str) -> bytes:
         known = self.pretokens
-        if len(known) >= CACHE_ENTRIES:
+        if len(known) >= CACHE_ENTRIES // 2:
+            self.earlier = dict(known)
             known.clear()
+        if (ids := self.earlier.get(pretoken)) is not None:
+            known[pretoken] = ids
+            return ids
         mapped = pretoken.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
         ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
         if len(pretoken) <= CACHE_LENGTH:

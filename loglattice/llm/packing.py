@@ -55,19 +55,21 @@ class Ends:
             bare = data.decode("utf-8", "ignore").rstrip("\"')]}»”’")
             self.alone[i] = b"\n" in data or bare[-1:] in (".", "!", "?")
             self.size[i], self.tail[i] = max(len(data), 1), int.from_bytes(data[-3:], "big")
+        #: Whether an id's last byte is that of a longer stop.
+        self.may_end = np.isin(self.tail & 0xFF, np.array([*LONG_STOPS, *SHORT_STOPS]) & 0xFF)
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         """A stop of several bytes may be spread over up to three ids."""
         ids = np.minimum(ids, len(self.alone) - 1)
-        tail, shift = self.tail[ids], 8 * np.minimum(self.size[ids], 3)
+        out = self.alone[ids]
+        at = np.flatnonzero(self.may_end[ids] & ~out)
+        tail, shift = self.tail[ids[at]], 8 * np.minimum(self.size[ids[at]], 3)
         for back in (1, 2):
-            earlier = np.zeros_like(tail)
-            earlier[back:] = self.tail[ids[:-back]] << shift[back:]
-            tail = tail | earlier
-            more = np.zeros_like(shift)
-            more[back:] = 8 * np.minimum(self.size[ids[:-back]], 3)
-            shift = np.minimum(shift + more, 24)
-        return self.alone[ids] | np.isin(tail & 0xFFFFFF, LONG_STOPS) | np.isin(tail & 0xFFFF, SHORT_STOPS)
+            earlier = ids[np.maximum(at - back, 0)]
+            tail |= np.where(at >= back, self.tail[earlier] << shift, 0)
+            shift = np.minimum(shift + 8 * np.minimum(self.size[earlier], 3), 24)
+        out[at] = np.isin(tail & 0xFFFFFF, LONG_STOPS) | np.isin(tail & 0xFFFF, SHORT_STOPS)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -85,15 +87,18 @@ def candidates(ends: np.ndarray, doc_ends: np.ndarray, length: int) -> tuple[np.
     """
     reach = max(length // 32, 4)
     step = max(reach // 4, 1)
-    documents = np.concatenate([[0], doc_ends])
-    places = np.union1d(np.flatnonzero(ends) + 1, documents)
+    n, prices = len(ends), [length * a // b for a, b in (INNER_SHARE, SENTENCE_SHARE)]
+    # The dearest places first; what stands there otherwise lowers the price.
+    cost = np.full(n + 1, -1, np.int32)
+    stops = np.flatnonzero(ends) + 1
+    places = np.sort(np.concatenate([[0], stops, doc_ends]))
     far = np.flatnonzero(np.diff(places) > reach)
-    inner = [np.arange(places[k] + step, places[k + 1], step) for k in far]
-    at = np.union1d(places, np.concatenate(inner)) if inner else places
-    cost = np.full(len(at), length * INNER_SHARE[0] // INNER_SHARE[1])
-    cost[np.searchsorted(at, places)] = length * SENTENCE_SHARE[0] // SENTENCE_SHARE[1]
-    cost[np.searchsorted(at, documents)] = 0
-    return at, cost
+    for k in far.tolist():
+        cost[places[k] + step : places[k + 1] : step] = prices[0]
+    cost[stops] = prices[1]
+    cost[doc_ends] = cost[0] = 0
+    at = np.flatnonzero(cost >= 0)
+    return at, cost[at]
 
 
 def best_cuts(at: np.ndarray, cost: np.ndarray, length: int) -> list[int]:
