@@ -15,10 +15,19 @@ def frame_table(frames: DataFrame) -> DataFrame:
     return frames.select("file_id", "frame", start("compressed_size").alias("compressed_offset"), "compressed_size", start("decompressed_size").alias("decompressed_offset"), "decompressed_size")
 
 
-def overlapping(table: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Frames that hold a byte of a range (``file_id, low, high``, ``high`` excluded)."""
+def overlapping(table: DataFrame, ranges: DataFrame, bucket: int = 1 << 24) -> DataFrame:
+    """Frames that hold a byte of a range (``file_id, low, high``, ``high`` excluded).
+
+    Both meet by file and bucket of bytes, each pair in the first bucket that they
+    share; so the work follows the overlaps, however many frames a file has.
+    """
     end = F.col("decompressed_offset") + F.col("decompressed_size")
-    return ranges.join(table, "file_id").filter((F.col("decompressed_offset") < F.col("high")) & (end > F.col("low"))).select("file_id", "low", "high", "frame")
+    of = lambda c: F.floor(c / bucket)
+    spread = lambda df, low, high: df.withColumn("__bucket", F.explode(F.sequence(of(low), of(F.greatest(high - 1, low)))))
+    frames = spread(table.select("file_id", "frame", "decompressed_offset", "decompressed_size"), F.col("decompressed_offset"), end)
+    asked = spread(ranges.select("file_id", "low", "high"), F.col("low"), F.col("high"))
+    both = asked.join(frames, ["file_id", "__bucket"]).filter((F.col("decompressed_offset") < F.col("high")) & (end > F.col("low")))
+    return both.filter(F.col("__bucket") == F.greatest(of(F.col("low")), of(F.col("decompressed_offset")))).select("file_id", "low", "high", "frame")
 
 
 def locate(table: DataFrame, offsets: DataFrame, bucket: int = 1 << 26) -> DataFrame:

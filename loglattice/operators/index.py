@@ -65,7 +65,7 @@ def stats_of(parts: DataFrame) -> DataFrame:
     total = lambda k: F.sum(F.when(F.col("head"), F.col("xs")[k]))
     size, many, wide = F.col("size"), F.col("n"), F.col("size").cast("decimal(19,0)")
     out = rows.groupBy("file_id").agg(
-        *(total(k).alias(n) for k, n in enumerate(("line_count", "empty_line_count", "crlf", "lf", "cr", "sampled"))),
+        *(total(k).alias(n) for k, n in enumerate(("line_count", "empty_line_count", "crlf", "lf", "cr"))),
         F.max("size").alias("most"), F.sum(many).alias("full"), F.sum(size * many).alias("bytes"),
         F.sum((wide * wide).cast("decimal(38,0)") * many).cast("decimal(38,0)").alias("squares"),
         F.percentile(size, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.coalesce(many, F.lit(0))).alias("p"),
@@ -185,7 +185,7 @@ def nearest_checkpoint(wanted: DataFrame, points: DataFrame, by: str = "line_num
 
 
 def build(lines: DataFrame, step: int = STEP, analyze: bool = False, files: DataFrame | None = None, window: int | None = None) -> DataFrame:
-    """One row for each file: statistics, ending and the checkpoints as an array of (line, offset).
+    """One row for each file: statistics, ending, bytes and the checkpoints as an array of (line, offset).
 
     ``analyzed`` tells whether ``anomalies`` were looked for.  With ``files``
     (``path, size, mtime``, the path being the file's id) the row also has these,
@@ -198,7 +198,8 @@ def build(lines: DataFrame, step: int = STEP, analyze: bool = False, files: Data
     families = ("stats", "point", *(detectors.families_of() if analyze else ()))
     parts = kept(survey(lines, tuple(dict.fromkeys(families)), step, seen))
     points = points_of(lines, parts, step).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "byte_offset"))).alias("line_index"))
-    out = stats_of(parts).join(points, "file_id").withColumn("analyzed", F.lit(analyze))
+    sizes = parts.filter("family = 'stats'").groupBy("file_id").agg(F.max("end_offset").alias("byte_count"))
+    out = stats_of(parts).join(sizes, "file_id").join(points, "file_id").withColumn("analyzed", F.lit(analyze))
     if analyze:
         found = detectors.anomalies_of(parts, window=window)
         shape = F.struct(*[F.col(c) for c in found.columns if c != "file_id"])

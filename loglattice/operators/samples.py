@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CONTEXT = 3
+#: Lines of one key where windows meet the lines in them.
+BUCKET = 1 << 12
 _REQUESTS = "array<struct<key:string,first:bigint,last:bigint>>"
 
 
@@ -45,8 +47,12 @@ def _sizes(lines: DataFrame) -> DataFrame:
 
 
 def _windows(lines: DataFrame, windows: DataFrame) -> DataFrame:
-    """Lines of ``windows`` (``file_id, key, low, high, target``), and the offset of each target line (-1: none)."""
-    own = windows.join(lines, "file_id").filter("line_number between low and high")
+    """Lines of ``windows`` (``file_id, key, low, high, target``), and whether each is the target.
+
+    Both sides meet by file and bucket of lines, so a large file is no single key.
+    """
+    windows = windows.filter("low <= high").withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("low") / BUCKET), F.floor(F.col("high") / BUCKET))))
+    own = lines.withColumn("__bucket", F.floor(F.col("line_number") / BUCKET)).join(windows, ["file_id", "__bucket"]).filter("line_number between low and high")
     return own.withColumn("is_target", F.col("line_number").eqNullSafe(F.col("target"))).select("file_id", "key", "line_number", "start_offset", "line", "is_target")
 
 
@@ -56,10 +62,10 @@ def by_line(lines: DataFrame, spec: str | list[Request], before: int = CONTEXT,
     A single place comes with its context; a range has none.  A negative place
     counts from the last line and is renamed to the place it means.
     """
-    return _windows(lines, _line_windows(_sizes(lines), spec, before, after))
+    return _windows(lines, line_windows(_sizes(lines), spec, before, after))
 
 
-def _line_windows(sizes: DataFrame, spec: str | list[Request], before: int, after: int, *more: str) -> DataFrame:
+def line_windows(sizes: DataFrame, spec: str | list[Request], before: int, after: int, *more: str) -> DataFrame:
     """``file_id, key, low, high, target`` of the requests, from ``file_id, n_lines``."""
     place = F.when(F.col("first") < 0, F.greatest(F.lit(1), F.col("n_lines") + F.col("first") + 1)).otherwise(F.col("first"))
     single = F.col("last").isNull()
@@ -72,28 +78,10 @@ def _line_windows(sizes: DataFrame, spec: str | list[Request], before: int, afte
     )
 
 
-def by_line_indexed(spark, path: str, index: DataFrame, spec: str | list[Request], before: int = CONTEXT, after: int = CONTEXT) -> DataFrame:
-    """``by_line`` of files below ``path`` by their line index (``file_id, line_count, line_index``, see ``index.build``).
-
-    For each window only the bytes from the checkpoint at or before its first
-    line to the first checkpoint behind its last are read.  The driver gets one
-    range of bytes for each file and request.
-    """
-    from ..sources.files import read_ranges
-
-    points = F.col("line_index")
-    windows = _line_windows(index.select("file_id", F.col("line_count").alias("n_lines"), points), spec, before, after, "line_index").filter("low <= n_lines")
-    begin = F.filter(points, lambda p: p["line_number"] <= F.col("low"))
-    behind = F.filter(points, lambda p: p["line_number"] > F.col("high"))
-    spots = windows.select("file_id", F.element_at(begin, -1).alias("a"), F.try_element_at(behind, F.lit(1)).alias("b"))
-    spots = spots.select("file_id", F.col("a.byte_offset").alias("start"), F.coalesce("b.byte_offset", F.lit((1 << 63) - 1)).alias("stop"), F.col("a.line_number").alias("first"))
-    ranges: list[list] = []
-    for r in spots.orderBy("file_id", "start", "stop").collect():
-        if ranges and ranges[-1][0] == r["file_id"] and r["start"] < ranges[-1][2]:
-            ranges[-1][2] = max(ranges[-1][2], r["stop"])
-        else:
-            ranges.append([r["file_id"], r["start"], r["stop"], r["first"]])
-    return _windows(read_ranges(spark, path, ranges), windows.drop("n_lines", "line_index"))
+def asked_places(sizes: DataFrame, spec: str | list[Request], *more: str) -> DataFrame:
+    """``file_id, n_lines, n_bytes, key, a, b, single`` of the requests by byte, from ``file_id, n_lines, n_bytes``."""
+    byte = F.when(F.col("first") < 0, F.greatest(F.lit(0), F.col("n_bytes") + F.col("first"))).otherwise(F.col("first"))
+    return _asked(sizes, spec).select("file_id", "n_lines", "n_bytes", *more, F.when(F.col("first") < 0, byte.cast("string")).otherwise(F.col("key")).alias("key"), byte.alias("a"), F.coalesce("last", byte).alias("b"), F.col("last").isNull().alias("single"))
 
 
 def by_offset(lines: DataFrame, spec: str | list[Request], before: int = CONTEXT, after: int = CONTEXT) -> DataFrame:
@@ -102,9 +90,7 @@ def by_offset(lines: DataFrame, spec: str | list[Request], before: int = CONTEXT
     A negative byte counts from the end; one beyond the end means the place
     behind the last line.
     """
-    sizes = _sizes(lines)
-    byte = F.when(F.col("first") < 0, F.greatest(F.lit(0), F.col("n_bytes") + F.col("first"))).otherwise(F.col("first"))
-    asked = _asked(sizes, spec).select("file_id", "n_lines", "n_bytes", F.when(F.col("first") < 0, byte.cast("string")).otherwise(F.col("key")).alias("key"), byte.alias("a"), F.coalesce("last", byte).alias("b"), F.col("last").isNull().alias("single"))
+    asked = asked_places(_sizes(lines), spec)
     inside = lambda c: (F.col("start_offset") <= F.col(c)) & (F.col(c) < F.col("end_offset"))
     found = asked.join(lines.select("file_id", "line_number", "start_offset", "end_offset"), "file_id").filter(inside("a") | inside("b"))
     places = found.groupBy("file_id", "key", "single").agg(F.max(F.when(inside("a"), F.col("line_number"))).alias("x"), F.max(F.when(inside("b"), F.col("line_number"))).alias("y"))

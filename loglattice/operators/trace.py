@@ -32,8 +32,8 @@ def submatches(line: Column, regex: str) -> Column:
     return F.aggregate(parts, first, step, lambda acc: acc["out"])
 
 
-def matches(lines: DataFrame, patterns: PatternSet, with_submatches: bool = True) -> DataFrame:
-    """One row for each line and each pattern that it is due to.
+def matches(lines: DataFrame, patterns: PatternSet, with_submatches: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each line and each pattern that it is due to; with ``more`` of the lines' columns, if asked.
 
     A line is due to a pattern if one of the pattern's own matches is among
     the matches of the alternation; so a pattern whose matches an earlier one
@@ -43,7 +43,7 @@ def matches(lines: DataFrame, patterns: PatternSet, with_submatches: bool = True
     found = matching_lines(lines, patterns).withColumn("__texts", _texts(F.col("line"), patterns.combined))
     due = [F.when(F.arrays_overlap(_texts(F.col("line"), patterns.regex(k)), F.col("__texts")), F.lit(i)) for k, i in enumerate(patterns.ids)]
     out = found.withColumn("pattern_id", F.explode(F.array_compact(F.array(*due))))
-    out = out.select("pattern_id", "file_id", F.col("start_offset").alias("offset"), "line_number", F.col("line").alias("line_text"))
+    out = out.select("pattern_id", "file_id", F.col("start_offset").alias("offset"), "line_number", F.col("line").alias("line_text"), *more)
     if with_submatches:
         out = out.withColumn("submatches", submatches(F.col("line_text"), patterns.combined))
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.patterns import PatternSet
-from ..operators import caches, detectors, frames, index, samples, trace, tree
+from ..operators import caches, detectors, early, frames, index, samples, seek, trace, tree
 from ..sources import files as sources
 from .corpus import FILED_SQL, LINES_SQL, document_lines, filed, log_lines, log_sql, number_of, table
 
@@ -709,7 +709,7 @@ def samples_indexed(spark, sf_dir):
     """Through the checkpoints: only the bytes around the wanted lines are read."""
     path = filed(spark, sf_dir)
     built = index.build(sources.read_lines(spark, path), 4096)
-    found = samples.by_line_indexed(spark, path, built, "5, 10-14, -1")
+    found = seek.by_line(built, path, "5, 10-14, -1")
     return found.select(number_of(), "key", "line_number", "start_offset", "line")
 
 
@@ -717,3 +717,54 @@ def samples_indexed(spark, sf_dir):
 def files_catalog(spark, sf_dir):
     listed = sources.catalog(spark, filed(spark, sf_dir)).filter("path like '%/k=%' and path like '%.txt'")
     return listed.select(number_of("path"), "format", "text", "size")
+
+
+_FILE_NEEDLE = "theaan"
+_FILE_HITS = f"hits AS (SELECT k, line_number AS hit, start_offset AS at FROM filed WHERE contains(line, '{_FILE_NEEDLE}'))"
+
+
+@query(f"WITH {FILED_SQL}, {_FILE_HITS} SELECT 'p1' AS pattern_id, h.k, h.at AS match_offset, f.line_number, f.start_offset AS line_offset, f.line AS line_text FROM hits h JOIN filed f ON f.k = h.k AND f.line_number BETWEEN h.hit - 2 AND h.hit + 1")
+def files_contexts(spark, sf_dir):
+    """The lines around each match, read at its place."""
+    path = filed(spark, sf_dir)
+    found = trace.matches(sources.read_lines(spark, path, 1 << 20), PatternSet.of(_FILE_NEEDLE), with_submatches=False)
+    return seek.contexts(found, path, 2, 1).select("pattern_id", number_of(), "match_offset", "line_number", "line_offset", "line_text")
+
+
+@query(f"WITH {FILED_SQL}, {_FILE_HITS} SELECT 'p1' AS pattern_id, h.k, h.at AS \"offset\", f.line_number, f.line AS line_text FROM hits h JOIN filed f ON f.k = h.k AND f.line_number = h.hit")
+def files_reconstruct(spark, sf_dir):
+    """Kept matches with their lines, read at their places."""
+    path = filed(spark, sf_dir)
+    kept = trace.matches(sources.read_lines(spark, path), PatternSet.of(_FILE_NEEDLE), with_submatches=False).drop("line_text")
+    return seek.reconstruct(kept, path).select("pattern_id", number_of(), "offset", "line_number", "line_text")
+
+
+@query(
+    f"""WITH {FILED_SQL}, n AS (SELECT k, max(line_number) AS n, max(start_offset + strlen(line)) AS bytes FROM filed GROUP BY 1),
+held AS (SELECT *, lead(start_offset) OVER (PARTITION BY k ORDER BY line_number) AS following FROM filed),
+asked AS (SELECT k, '5000' AS key, 5000 AS a, 5000 AS b, 2 AS w FROM n UNION ALL SELECT k, '900-3000', 900, 3000, 0 FROM n),
+placed AS (SELECT a.k, a.key, a.w, coalesce(max(CASE WHEN start_offset <= a AND (a < following OR following IS NULL) THEN line_number END), max(n.n) + 1) AS x,
+  coalesce(max(CASE WHEN start_offset <= b AND (b < following OR following IS NULL) THEN line_number END), max(n.n) + 1) AS y FROM asked a JOIN held h USING (k) JOIN n USING (k) GROUP BY 1, 2, 3)
+SELECT p.k, p.key, f.line_number, f.start_offset, f.line, f.line_number = p.x AS is_target FROM placed p JOIN filed f ON f.k = p.k AND f.line_number BETWEEN p.x - p.w AND p.y + p.w"""
+)
+def samples_offsets_indexed(spark, sf_dir):
+    """Lines by byte, found around that byte, with numbers counted from the checkpoint before it."""
+    path = filed(spark, sf_dir)
+    built = index.build(sources.read_lines(spark, path), 4096)
+    return seek.by_offset(built, path, "5000, 900-3000", 2, 2).select(number_of(), "key", "line_number", "start_offset", "line", "is_target")
+
+
+@query(f"WITH {FILED_SQL} SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY line_number DESC) AS BIGINT) AS from_end, start_offset, line FROM filed QUALIFY from_end <= 50")
+def files_tail(spark, sf_dir):
+    """The last fifty lines of each file, from its end backwards."""
+    path = filed(spark, sf_dir)
+    listed = sources.catalog(spark, path).filter("text").select(F.col("path").alias("file_id"), F.col("size").alias("byte_count"))
+    return seek.tail(listed.filter("file_id like '%/k=%' and file_id like '%.txt'"), path, 50).select(number_of(), "from_end", "start_offset", "line")
+
+
+@query(f"WITH {FILED_SQL} SELECT 'p1' AS pattern_id, k, start_offset AS \"offset\", line_number, line AS line_text FROM filed WHERE contains(line, 'an') ORDER BY CAST(k AS VARCHAR), start_offset LIMIT 100")
+def files_first_matches(spark, sf_dir):
+    """The first hundred matches; splits behind them aren't read."""
+    path = filed(spark, sf_dir)
+    first = early.first_matches(spark, path, PatternSet.of("an"), 100, split_bytes=1 << 16, wave=2, with_submatches=False)
+    return first.rows.select("pattern_id", number_of(), "offset", "line_number", "line_text")

@@ -121,9 +121,11 @@ def frame_line_counts(files: DataFrame) -> DataFrame:
 
 def decode_range(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """``file_id, low, high, content``: plain bytes from ``low`` to ``high``, excluded, of each range (``file_id, low, high``), by the frames that overlap it."""
+    from ..operators.frames import overlapping
+
     table = frames(files)
     end = F.col("decompressed_offset") + F.col("decompressed_size")
-    spots = ranges.select("file_id", "low", "high").distinct().join(table, "file_id").filter((F.col("decompressed_offset") < F.col("high")) & (end > F.col("low")))
+    spots = overlapping(table, ranges.select("file_id", "low", "high").distinct()).join(table, ["file_id", "frame"])
     whole = decode(files, spots).withColumnRenamed("content", "plain")
     from_ = F.greatest(F.lit(0), F.col("low") - F.col("decompressed_offset"))
     upto = F.least(F.col("high"), end) - F.col("decompressed_offset")

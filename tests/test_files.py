@@ -99,19 +99,98 @@ def test_seekable_files_are_split_by_frames(spark, tmp_path, split):
 
 
 def test_ranges_and_indexed_samples(spark, folder):
-    from loglattice.operators import index, samples
+    from loglattice.operators import index, samples, seek
 
     lines = files.read_lines(spark, str(folder))
     built = index.build(lines, 512)
     want = samples.by_line(lines, "3, 40-44, 250, -2")
-    got = samples.by_line_indexed(spark, str(folder), built, "3, 40-44, 250, -2")
+    got = seek.by_line(built, str(folder), "3, 40-44, 250, -2")
     columns = ("file_id", "key", "line_number", "start_offset", "line", "is_target")
     assert rows(got, *columns) == rows(want, *columns)
+    for spec, before, after in (("0, 700, 2999, -1, -400", 2, 3), ("100-900, 9999, 3000-99999", 1, 1), ("5", 0, 0)):
+        assert rows(seek.by_offset(built, str(folder), spec, before, after), *columns) == rows(samples.by_offset(lines, spec, before, after), *columns)
     places = {r["line_number"]: r["start_offset"] for r in lines.filter(F.col("file_id").endswith("a.log")).collect()}
     some = files.read_ranges(spark, str(folder), [(str(folder / "a.log"), places[50], places[60], 50)])
     assert rows(some, "line_number") == [(k,) for k in range(50, 60)]
 
 
+def test_matches_are_read_at_their_places(spark, folder):
+    """Contexts and kept matches over plain and compressed files equal those by a join; no shuffle in the plan."""
+    from loglattice.functions.patterns import PatternSet
+    from loglattice.operators import seek, trace
+
+    lines = files.read_lines(spark, str(folder), 500)
+    found = trace.matches(lines, PatternSet.of("1[0-9] ", "^line 0", "end"))
+    for before, after in ((0, 0), (2, 3), (400, 400)):
+        got = seek.contexts(found, str(folder), before, after)
+        columns = ("pattern_id", "file_id", "match_offset", "line_number", "line_offset", "line_text")
+        assert rows(got, *columns) == rows(trace.contexts(found, lines, before, after), *columns)
+    kept = spark.createDataFrame(found.select("pattern_id", "file_id", "offset", "line_number").collect(), "pattern_id string, file_id string, offset long, line_number long")
+    again = seek.reconstruct(kept, str(folder))
+    assert rows(again, "pattern_id", "file_id", "offset", "line_number", "line_text") == rows(found, "pattern_id", "file_id", "offset", "line_number", "line_text")
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("packed", [lambda d: d, gzip.compress, lambda d: b"".join(lzma.compress(d[a : a + 90_000]) for a in range(0, len(d), 90_000))])
+def test_places_read_little(tmp_path, packed, monkeypatch):
+    """Any line, from any place; of files that can be entered only what lies around it."""
+    from loglattice.sources import places
+
+    monkeypatch.setattr(places, "HELD", 70_000)
+    rng = random.Random(4)
+    text = "".join("x" * rng.choice([0, 3, 70, 70_000 if rng.random() < 0.01 else 5]) + rng.choice(["\n", "\r\n", "é\n"]) for _ in range(6000)) + rng.choice(["", "tail"])
+    data = text.encode()
+    (tmp_path / "f").write_bytes(packed(data))
+    want = [(a, b, line) for _, a, b, line in plain_lines(text)]
+    file = places.Places(str(tmp_path), str(tmp_path / "f"))
+    starts = [a for a, _, _ in want]
+    assert list(file.lines(0)) == want
+    for _ in range(60):
+        k = rng.randrange(len(want))
+        assert file.start_of(rng.randrange(want[k][0], want[k][1])) == starts[k]
+        back = rng.choice([0, 1, 5, 900])
+        assert file.back(starts[k], back) == starts[max(0, k - back) : k]
+        assert [x for _, x in zip(range(3), file.lines(starts[k]))] == want[k : k + 3]
+    assert file.start_of(len(data)) is None
+    file.bytes_read = 0
+    file.back(len(data), 5), next(file.lines(starts[-3]))
+    assert file.bytes_read < 300_000 < len(data)
+
+
+def test_tail(spark, folder):
+    from loglattice.operators import seek
+
+    (folder / "feed.log").write_bytes(b"a\n\nb\n")
+    (folder / "empty.log").write_bytes(b"")
+    listed = files.catalog(spark, str(folder)).filter("path like '%.log'").select(F.col("path").alias("file_id"), F.col("size").alias("byte_count"))
+    got = seek.tail(listed, str(folder), 2)
+    assert rows(got.filter("file_id like '%/a.log'"), "from_end", "line") == [(1, "end"), (2, "line 299 é")]
+    assert rows(got.filter("file_id like '%/feed.log'"), "from_end", "start_offset", "line") == [(1, 3, "b"), (2, 2, "")]
+    assert got.filter("file_id like '%/empty.log'").count() == 0 and seek.tail(listed, str(folder), 99).filter("file_id like '%feed.log'").count() == 3
+
+
+def test_search_ends_early(spark, tmp_path):
+    """The rows of a whole search, from as few splits as hold them."""
+    from loglattice.functions.patterns import PatternSet
+    from loglattice.operators import early, trace
+
+    for k in range(6):
+        (tmp_path / f"f{k}").write_text("".join(f"line {i} {'error ' * (i % 9 == k % 3)}{'warn' * (i % 7 == 0)}\n" for i in range(500)))
+    (tmp_path / "f6.bz2").write_bytes(bz2.compress(b"error\n" * 500))
+    patterns = PatternSet.of("error", "warn")
+    whole = trace.ordered(trace.matches(files.read_lines(spark, str(tmp_path)), patterns))
+    want = [tuple(r) for r in whole.collect()]
+    read = []
+    for most in (1, 40, 300, 5000):
+        first = early.first_matches(spark, str(tmp_path), patterns, most, split_bytes=2000, wave=1)
+        assert [tuple(r) for r in first.rows.collect()] == want[:most]
+        read.append(first.splits_read)
+    assert read[0] == 1 and read[1] <= 3 and read == sorted(read) and read[-1] == first.splits > 15
+    assert early.first_matches(spark, str(tmp_path), PatternSet.of("zzz"), 5).rows.count() == 0
+    (tmp_path / "none").mkdir()
+    assert early.first_matches(spark, str(tmp_path / "none"), patterns, 5).rows.count() == 0
+
+
 def test_decode_frames_and_ranges(spark):
     data = TEXT.encode()
     packed = seekable.encode(spark.createDataFrame([("f", bytearray(data)), ("g", bytearray(data[:100]))], "path string, content binary"), frame_bytes=300)
