@@ -54,6 +54,14 @@ def patterns_hash(patterns: list[str], flags: list[str]) -> Column:
     return F.substring(F.sha2(F.lit(body), 256), 1, 16)
 
 
+def patterns_hash_of(patterns: Column, flags: Column) -> Column:
+    """``patterns_hash`` of arrays of patterns and flags."""
+    one = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(c), one), ", "), F.lit("]"))
+    kept = F.filter(flags, lambda f: f.isin(*MATCHING_FLAGS))
+    return F.substring(F.sha2(F.concat(F.lit('{"flags": '), listed(kept), F.lit(', "patterns": '), listed(patterns), F.lit("}")), 256), 1, 16)
+
+
 def path_hash(path: Column) -> Column:
     return F.substring(F.sha2(path, 256), 1, 16)
 

@@ -374,6 +374,8 @@ def registry(spark) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, detector string, category string, description string")
 
 
-def by_category(detectors: DataFrame) -> DataFrame:
-    """Categories in the order they are first met, with their detectors by name."""
-    return detectors.groupBy("category").agg(F.array_join(F.sort_array(F.collect_list("detector")), ",").alias("detectors"), F.count("*").alias("n"), F.min("ordinal").alias("first"))
+def by_category(anomalies: DataFrame) -> DataFrame:
+    """Each category of the registry that anomalies fall under, with their detectors by name and their number."""
+    known = F.broadcast(registry(anomalies.sparkSession).select("detector", F.col("category").alias("__category")))
+    counts = anomalies.groupBy("detector").agg(F.count("*").alias("n")).join(known, "detector")
+    return counts.groupBy(F.col("__category").alias("category")).agg(F.array_join(F.sort_array(F.collect_set("detector")), ",").alias("detectors"), F.sum("n").alias("n"))

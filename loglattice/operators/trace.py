@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import PatternSet
+from .prefilter import candidates
+
+#: Patterns from which on they are looked for by their texts first.
+MANY = 8
 
 
 def matching_lines(lines: DataFrame, patterns: PatternSet) -> DataFrame:
     return lines.filter(F.col("line").rlike(patterns.combined))
 
 
-def _texts(line: Column, regex: str) -> Column:
+def _texts(line: Column, regex: str | Column) -> Column:
     return F.regexp_extract_all(line, F.lit(regex), F.lit(0))
 
 
-def submatches(line: Column, regex: str) -> Column:
+def submatches(line: Column, regex: str | Column) -> Column:
     """``array<struct<text, start, end>>``: what the expression matches, left to right, in bytes of the line."""
     found = _texts(line, regex)
     # Each match with the text before it; the place where it begins runs along.
@@ -37,9 +41,12 @@ def matches(lines: DataFrame, patterns: PatternSet, with_submatches: bool = True
 
     A line is due to a pattern if one of the pattern's own matches is among
     the matches of the alternation; so a pattern whose matches an earlier one
-    always takes isn't reported.
+    always takes isn't reported.  Many patterns are looked for by texts that
+    their matches must hold first (see ``prefilter``).
     """
     patterns.check(lines.sparkSession)
+    if len(patterns.patterns) >= MANY:
+        return _matches_of_many(lines, patterns, with_submatches, more)
     found = matching_lines(lines, patterns).withColumn("__texts", _texts(F.col("line"), patterns.combined))
     due = [F.when(F.arrays_overlap(_texts(F.col("line"), patterns.regex(k)), F.col("__texts")), F.lit(i)) for k, i in enumerate(patterns.ids)]
     out = found.withColumn("pattern_id", F.explode(F.array_compact(F.array(*due))))
@@ -49,6 +56,23 @@ def matches(lines: DataFrame, patterns: PatternSet, with_submatches: bool = True
     return out
 
 
+def _matches_of_many(lines: DataFrame, patterns: PatternSet, with_submatches: bool, more: tuple[str, ...]) -> DataFrame:
+    """``matches``, with only those patterns tried on a line that it can match.
+
+    Patterns that match nowhere in a line can be left out of the alternation.
+    """
+    regexes = F.array(*(F.lit(patterns.regex(k)) for k in range(len(patterns.patterns))))
+    one = lambda k: F.element_at(regexes, k + 1)
+    found = candidates(lines.select("file_id", "line_number", "start_offset", "line", *more), patterns)
+    found = found.withColumn("__any", F.array_join(F.transform("__patterns", lambda k: F.concat(F.lit("(?:"), one(k), F.lit(")"))), "|"))
+    found = found.withColumn("__texts", _texts(F.col("line"), F.col("__any"))).filter(F.size("__texts") > 0)
+    found = found.withColumn("__k", F.explode("__patterns")).filter(F.arrays_overlap(_texts(F.col("line"), one(F.col("__k"))), F.col("__texts")))
+    out = found.select(F.concat(F.lit("p"), (F.col("__k") + 1).cast("string")).alias("pattern_id"), "file_id", F.col("start_offset").alias("offset"), "line_number", F.col("line").alias("line_text"), *more, "__any")
+    if with_submatches:
+        out = out.withColumn("submatches", submatches(F.col("line_text"), F.col("__any")))
+    return out.drop("__any")
+
+
 def ordered(found: DataFrame, most: int | None = None) -> DataFrame:
     """Matches by file, offset and pattern, ids as text; with ``most``, the first of them only."""
     by = found.orderBy(F.col("file_id").cast("string"), "offset", "pattern_id")

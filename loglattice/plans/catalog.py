@@ -95,6 +95,15 @@ def trace_shadowed_pattern(spark, sf_dir):
     return _search(spark, sf_dir, *SHADOWED)
 
 
+#: More than are tried one by one.
+MANY = tuple(f"{a}{b}" for a in ("the", "ing", "eau", "ti") for b in ("an", "re[a-d]", "on", "ch|zz+y", "(?:er|st)", "[^a-z]th"))
+
+
+@query(_search_sql(MANY))
+def trace_many_patterns(spark, sf_dir):
+    return _search(spark, sf_dir, *MANY)
+
+
 @query(
     with_lines(r"""SELECT file_id, line_number, CAST(k - 1 AS INTEGER) AS k, m[k] AS "text",
   CAST(list_sum(list_transform(s[1:k], lambda x: strlen(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: strlen(x))), 0) AS INTEGER) AS "start",
@@ -453,20 +462,27 @@ def severity_bands(spark, sf_dir):
 
 
 @query(
-    """SELECT * FROM (VALUES ('log-traceback', 'traceback-go,traceback-java,traceback-js,traceback-python', 4, 0), ('log-crash', 'coredump-unix', 1, 4),
-('format', 'json-blob-multiline,long-line', 2, 5), ('repetition', 'repeat-identical', 1, 7), ('secrets', 'secrets-scan', 1, 8)) v(category, detectors, n, "first")"""
+    f"""SELECT category, string_agg(DISTINCT detector, ',' ORDER BY detector) AS detectors, count(*) AS n FROM ({_ANOMALIES}) a
+JOIN (VALUES ('long-line', 'format'), ('secrets-scan', 'secrets')) v(detector, category) USING (detector) GROUP BY 1"""
 )
-def detector_catalog(spark, sf_dir):
-    out = detectors.by_category(detectors.registry(spark))
-    return out.withColumn("n", F.col("n").cast("int"))
+def anomalies_by_category(spark, sf_dir):
+    """Anomalies by the category that the registry of detectors names."""
+    return detectors.by_category(_anomalies(spark, sf_dir))
 
 
 # Scalars.
 
+_SETS = "SELECT event_id, [event_type, 'user ' || user_id, 'a\"\\b'] AS patterns, CASE event_id % 3 WHEN 0 THEN ['-w', '-i'] WHEN 1 THEN ['-i'] ELSE [] END AS flags FROM events"
+_JSON_LIST = "array_to_string(list_transform(list_sort({0}), lambda x: '\"' || replace(replace(x, '\\', '\\\\'), '\"', '\\\"') || '\"'), ', ')"
+
 
-@query("""SELECT substr(sha256('{"flags": ["-i", "-w"], "patterns": ["error", "warn"]}'), 1, 16) AS hash""")
+@query(f"""SELECT event_id, substr(sha256('{{"flags": [' || {_JSON_LIST.format("flags")} || '], "patterns": [' || {_JSON_LIST.format("patterns")} || ']}}'), 1, 16) AS hash FROM ({_SETS})""")
 def patterns_hash(spark, sf_dir):
-    return spark.range(1).select(fn.patterns_hash(["warn", "error"], ["-w", "--stats", "-i"]).alias("hash"))
+    """Of a set of patterns and flags in each row; flags that change no match are left out."""
+    e = F.col("event_id")
+    words = F.array("event_type", F.concat(F.lit("user "), F.col("user_id").cast("string")), F.lit('a"\\b'))
+    flags = F.when(e % 3 == 0, F.array(F.lit("-w"), F.lit("--stats"), F.lit("-i"))).when(e % 3 == 1, F.array(F.lit("-i"))).otherwise(F.array(F.lit("--color")))
+    return table(spark, sf_dir, "events").select("event_id", fn.patterns_hash_of(words, flags).alias("hash"))
 
 
 @query("SELECT page_id, substr(sha256(url), 1, 16) AS hash, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[^\\p{L}\\p{Nd}._-]', '_', 'g') || '_' || substr(sha256(url), 1, 16) || '.json' AS name FROM pages")

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -47,6 +48,41 @@ def test_context_and_limit(spark):
     assert len(trace.context_map(trace.contexts(hits, lines, 0, 0)).collect()) == 6
 
 
+@pytest.mark.parametrize("flags", [(), ("-i",), ("-w",), ("-F",), ("-i", "-x")])
+def test_many_patterns_give_the_rows_of_few(spark, monkeypatch, flags):
+    """Patterns with and without known texts, shadowed ones, other alphabets, empty lines."""
+    rng = random.Random(len(flags))
+    parts = ["ab", "abc", "b+c", "(?:ca|bb)", "a.c", "[ab]{2}", "é", "c?", "x|ca", "(ab)+c", "K", "ſs", "a{2,}b", "^ab", "ca$", "\\bab", "\\Qa.b\\E", "(?i)AB", "."]
+    patterns = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(30)]
+    text = "\n".join("".join(rng.choice("aabbcc éKkſsS\u212a.") for _ in range(rng.randint(0, 14))) for _ in range(300))
+    lines = lines_frame(spark, {"f": text, "g": "", "h": "\n\nab"}, 3)
+    monkeypatch.setattr(trace, "MANY", 1000)
+    columns = ("pattern_id", "file_id", "line_number", "offset", "line_text", "submatches")
+    want = rows(trace.matches(lines, PatternSet.of(*patterns, flags=flags)), *columns)
+    monkeypatch.setattr(trace, "MANY", 1)
+    for piece in (1 << 20, 40):
+        monkeypatch.setattr("loglattice.operators.prefilter.PIECE", piece)
+        assert rows(trace.matches(lines, PatternSet.of(*patterns, flags=flags)), *columns) == want
+    assert want or flags == ("-F",)
+
+
+def test_required_texts():
+    from loglattice.functions.literals import required
+
+    assert required("error: (\\d+) at line") == (" at line",) and required("(?:foo|barx)[0-9]") == ("barx", "foo")
+    assert required("(warn|fatal)+ing") == ("fatal", "warn") and required("a?b*") is None and required("x") is None
+    assert required("a.b", fixed=True) == ("a.b",) and required("ÄBCd", fold=True) == ("bcd",)
+    for foreign in ("\\Qabc\\E", "(?i)abc", "[a-z&&[abc]]xyz", "abc\\vdef", "\\p{L}abc", "(abc", "\\habc"):
+        assert required(foreign) is None
+    rng = random.Random(1)
+    for _ in range(3000):
+        p = "".join(rng.choice(["a", "b", "ab", "c", "(a|bc)", "(?:ab)?", "[ab]", "b+", "(ca){2}", ".", "|", "^", "$", "(?:b|)"]) for _ in range(rng.randint(1, 6)))
+        texts = required(p)
+        for _ in range(5 if texts else 0):
+            x = "".join(rng.choice("abc") for _ in range(8))
+            assert not re.search(p, x) or any(t in x for t in texts), (p, x, texts)
+
+
 def test_bad_pattern(spark):
     with pytest.raises(ValueError, match="p2"):
         trace.matches(lines_frame(spark, {"f": TEXT}), PatternSet.of("a", "(")).collect()
