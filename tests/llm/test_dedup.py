@@ -250,5 +250,7 @@ def test_similar_texts_by_brute_force(spark, make_docs, prose, odd_rows, small):
     want = sorted(least.values())
     assert sorted(10**9 if r["doc_id"] is None else r["doc_id"] for r in left.collect()) == want
     if small == 8:
-        assert corpus_pipeline.near_dedup(spark, docs, "").count() == len(want)
+        stage = corpus_pipeline.near_dedup(spark, docs, "")
+        assert stage.columns == docs.columns and sorted(10**9 if r["doc_id"] is None else r["doc_id"] for r in stage.collect()) == want
+        assert corpus_pipeline.near_dedup(spark, docs.filter("false"), "").count() == 0
         assert near_copies.keep_one_similar(docs.filter("false")).count() == 0
