@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.patterns import PatternSet
-from .operators import caches, detectors, index, samples, trace
+from .operators import caches, detectors, early, index, samples, seek, trace
+from .operators.stored import kept
 from .sources import compress, files, seekable
 
 #: Exit codes (fixed values).
@@ -27,7 +28,8 @@ def _parser() -> argparse.ArgumentParser:
     t.add_argument("-e", "--regexp", action="append", required=True)
     t.add_argument("-B", "--before", type=int, default=0)
     t.add_argument("-A", "--after", type=int, default=0)
-    t.add_argument("-m", "--max-results", type=int)
+    t.add_argument("-m", "--max-results", type=int, help="the first matches only; files behind them aren't read")
+    t.add_argument("--cache", help="folder where the matches of whole searches are kept")
     for flag in ("-i", "-w", "-x", "-F", "-P", "--case-sensitive"):
         t.add_argument(flag, action="append_const", dest="flags", const=flag, default=[])
     s = sub.add_parser("samples", help="lines by number or byte")
@@ -37,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
     one.add_argument("-b", "--offsets")
     s.add_argument("-B", "--before", type=int, default=0, help=f"0: {samples.CONTEXT}")
     s.add_argument("-A", "--after", type=int, default=0, help=f"0: {samples.CONTEXT}")
+    s.add_argument("--cache", help="folder where indexes are kept; files without one get it, and only the bytes around the lines are read")
     i = sub.add_parser("index", help="line index, with anomalies on demand")
     i.add_argument("path")
     i.add_argument("-a", "--analyze", action="store_true")
@@ -68,10 +71,17 @@ def _write(rows: DataFrame, text, as_json: bool) -> int:
 
 def _trace(spark: SparkSession, args: argparse.Namespace) -> None:
     patterns = PatternSet.of(*args.regexp, flags=tuple(args.flags))
-    lines, names = files.read_lines(spark, args.path), dict(zip(patterns.ids, patterns.patterns))
-    out = trace.ordered(trace.matches(lines, patterns), args.max_results)
+    names = dict(zip(patterns.ids, patterns.patterns))
+    if args.max_results is not None:
+        out = early.first_matches(spark, args.path, patterns, args.max_results).rows
+    elif args.cache:
+        listed = files.catalog(spark, args.path).filter("text")
+        out = trace.ordered(caches.search(spark, args.path, listed, patterns, args.cache))
+    else:
+        out = trace.ordered(trace.matches(files.read_lines(spark, args.path), patterns))
     if args.before or args.after:
-        _write(trace.contexts(out, lines, args.before, args.after).orderBy("file_id", "match_offset", "line_number"), lambda r: f"{r['file_id']}:{r['line_number']}: {r['line_text']}", args.json)
+        around = seek.contexts(out, args.path, args.before, args.after)
+        _write(around.orderBy("file_id", "match_offset", "line_number"), lambda r: f"{r['file_id']}:{r['line_number']}: {r['line_text']}", args.json)
         return
     n = _write(out, lambda r: f"{r['file_id']}: [{names[r['pattern_id']]}] offset={r['offset']} line={r['line_number']} {r['line_text']}", args.json)
     if not args.json:
@@ -82,11 +92,28 @@ def _trace(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def _samples(spark: SparkSession, args: argparse.Namespace) -> None:
     around = args.before or samples.CONTEXT, args.after or samples.CONTEXT
-    find = samples.by_line if args.lines else samples.by_offset
-    found = find(files.read_lines(spark, args.path), args.lines or args.offsets, *around)
+    if args.cache:
+        find = seek.by_line if args.lines else seek.by_offset
+        found = find(_indexed(spark, args.path, args.cache), args.path, args.lines or args.offsets, *around)
+    else:
+        find = samples.by_line if args.lines else samples.by_offset
+        found = find(files.read_lines(spark, args.path), args.lines or args.offsets, *around)
     _write(samples.grouped(found) if args.json else samples.in_order(samples.render(found)), lambda r: f"{r['file_id']} {r['key']}\n{r['text']}", args.json)
 
 
+def _indexed(spark: SparkSession, path: str, cache: str) -> DataFrame:
+    """The kept indexes of all text files below a path; those that lack one get it first."""
+    listed = files.catalog(spark, path).filter("text")
+    try:
+        missing = caches.to_build(listed, caches.load_index(spark, cache, listed))
+    except AnalysisException:
+        missing = listed  # nothing is kept yet
+    if not missing.isEmpty():
+        lines = files.read_lines(spark, path).join(missing.select(F.col("path").alias("file_id")), "file_id", "left_semi")
+        caches.save_index(index.build(lines, files=missing), cache)
+    return caches.load_index(spark, cache, listed)
+
+
 def _index(spark: SparkSession, args: argparse.Namespace) -> int:
     listed = files.catalog(spark, args.path).filter("text")
     if args.info or args.delete:
@@ -106,8 +133,8 @@ def _index(spark: SparkSession, args: argparse.Namespace) -> int:
             wanted = caches.to_build(wanted, caches.load_index(spark, args.cache, listed), args.analyze, args.force)
         except AnalysisException:
             pass  # nothing is kept yet
-    wanted = spark.createDataFrame(wanted.select("path", "size", "mtime").collect(), "path string, size long, mtime timestamp")
-    lines = files.read_lines(spark, args.path).join(F.broadcast(wanted.select(F.col("path").alias("file_id"))), "file_id", "left_semi")
+    wanted = kept(wanted.select("path", "size", "mtime"))  # what is kept later must not change it
+    lines = files.read_lines(spark, args.path).join(wanted.select(F.col("path").alias("file_id")), "file_id", "left_semi")
     window = detectors.window_lines(args.window, os.environ.get("LOGLATTICE_WINDOW_LINES"))
     built = index.build(lines, args.step, args.analyze, wanted, window)
     if args.cache:

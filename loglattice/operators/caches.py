@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.patterns import PatternSet
 from ..functions.text import patterns_hash
+from ..sources.files import read_lines
+from . import seek, trace
+from .stored import kept as kept_table
 
 VERSION = 2
 SOURCE = ["path", "size", "mtime"]
@@ -58,6 +63,35 @@ def save_matches(found: DataFrame, path: str, patterns: list[str], flags: list[s
     kept.write.mode("append").partitionBy("patterns_hash").parquet(path)
 
 
+def search(spark: SparkSession, path: str, files: DataFrame, patterns: PatternSet, cache: str) -> DataFrame:
+    """``trace.matches`` of ``files`` (``path, size, mtime``) below ``path``; what was searched before comes from ``cache``.
+
+    Kept are the places of matches only, and which files were searched, those
+    without a match too; lines are read again at their places.  Files that
+    changed since are searched anew.
+    """
+    wanted = files.select(*SOURCE).withColumn("patterns_hash", patterns_hash(list(patterns.patterns), list(patterns.flags)))
+    order = {p: k for k, p in enumerate(patterns.patterns)}  # the hash doesn't hang on the order
+    try:
+        searched = spark.read.parquet(f"{cache}/searched")
+        known, new = hits(wanted, searched), misses(wanted, searched)
+    except AnalysisException:
+        known, new = wanted.limit(0), wanted
+    new = kept_table(new)
+    if not new.isEmpty():
+        lines = read_lines(spark, path).join(new.select(F.col("path").alias("file_id")), "file_id", "left_semi")
+        found = trace.matches(lines, patterns, with_submatches=False).join(new.withColumnRenamed("path", "file_id"), "file_id")
+        text = F.create_map(*[F.lit(x) for kv in zip(patterns.ids, patterns.patterns) for x in kv])[F.col("pattern_id")]
+        rows = found.select(F.col("file_id").alias("path"), "size", "mtime", "patterns_hash", text.alias("pattern"), "offset", "line_number")
+        rows.write.mode("append").parquet(f"{cache}/matches")
+        new.write.mode("append").parquet(f"{cache}/searched")
+    now = known.unionByName(new)
+    number = F.create_map(*[F.lit(x) for p, k in order.items() for x in (p, f"p{k + 1}")])[F.col("pattern")]
+    places = spark.read.parquet(f"{cache}/matches").join(now, ["patterns_hash", *SOURCE], "left_semi").distinct()
+    read = seek.reconstruct(places.select(number.alias("pattern_id"), F.col("path").alias("file_id"), "offset", "line_number"), path)
+    return read.select("pattern_id", "file_id", "offset", "line_number", "line_text").withColumn("submatches", trace.submatches(F.col("line_text"), patterns.combined))
+
+
 def hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests (``patterns_hash`` and a source) that are kept: same hash, size and time."""
     return requests.join(cache.select("patterns_hash", *SOURCE), ["patterns_hash", *SOURCE], "left_semi")

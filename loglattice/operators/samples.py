@@ -113,8 +113,8 @@ def grouped(samples: DataFrame) -> DataFrame:
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """By the number that a key begins with, then by the key."""
-    return rows.orderBy(F.regexp_extract("key", r"^-?\d+", 0).cast("long"), "key")
+    """By the number that a key begins with, then by the key and, where there are several, by file."""
+    return rows.orderBy(F.regexp_extract("key", r"^-?\d+", 0).cast("long"), "key", *(c for c in ("file_id",) if c in rows.columns))
 
 
 def render(rows: DataFrame, regex: str | None = None) -> DataFrame:

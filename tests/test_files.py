@@ -243,6 +243,25 @@ def test_shell(spark, folder, tmp_path_factory, capsys):
     assert "no index exists" in said("index", str(folder / "a.log"), "--cache", kept, "--info")[1]
 
 
+def test_shell_uses_what_is_kept(spark, folder, tmp_path_factory, capsys):
+    """The same output with a cache, at first and again, and after a file has changed."""
+    from loglattice.__main__ import main
+
+    cache = str(tmp_path_factory.mktemp("kept") / "c")
+    said = lambda *args: (main(list(args)), capsys.readouterr().out)
+    path = str(folder)
+    searches = [("trace", path, "-e", "line 7", "-e", "é"), ("trace", path, "-e", "zzz"), ("trace", path, "-e", "line 29[0-9]", "-B", "1"), ("samples", path, "-l", "5, -2, 20-24"), ("samples", path, "-b", "700, 100-300", "-A", "1")]
+    for _ in range(2):
+        for args in searches:
+            want = said(*args)
+            for _ in range(2):
+                assert said(*args, "--cache", f"{cache}-{args[0]}") == want
+        (folder / "a.log").write_text("line 7 é\n" * 300)
+    assert said("trace", path, "-e", "é", "-e", "line 7", "--cache", f"{cache}-trace")[1].count("[line 7]") == said(*searches[0])[1].count("[line 7]")
+    first = said("trace", path, "-e", "line", "-m", "7")[1].splitlines()
+    assert len(first) == 8 and first[:7] == said("trace", path, "-e", "line")[1].splitlines()[:7]
+
+
 def test_seekable_round_trip(spark):
     data = TEXT.encode()
     plain = spark.createDataFrame([("f", bytearray(data)), ("empty", bytearray(b""))], "path string, content binary")
