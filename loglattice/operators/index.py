@@ -184,12 +184,13 @@ def nearest_checkpoint(wanted: DataFrame, points: DataFrame, by: str = "line_num
     return found.select("file_id", by, "found.*")
 
 
-def build(lines: DataFrame, step: int = STEP, analyze: bool = False, files: DataFrame | None = None, window: int | None = None) -> DataFrame:
+def build(lines: DataFrame, step: int = STEP, analyze: bool = False, files: DataFrame | None = None, window: int | None = None, lengths: bool = False) -> DataFrame:
     """One row for each file: statistics, ending, bytes and the checkpoints as an array of (line, offset).
 
     ``analyzed`` tells whether ``anomalies`` were looked for.  With ``files``
     (``path, size, mtime``, the path being the file's id) the row also has these,
-    as kept indexes need.  The lines are read once when this is called, and once
+    as kept indexes need; with ``lengths`` each line length with its number, so
+    that indexes can be merged.  The lines are read once when this is called, and once
     more if a file lies in several parts.
     """
     from . import detectors
@@ -205,11 +206,32 @@ def build(lines: DataFrame, step: int = STEP, analyze: bool = False, files: Data
         shape = F.struct(*[F.col(c) for c in found.columns if c != "file_id"])
         each = found.groupBy("file_id").agg(F.array_sort(F.collect_list(shape)).alias("anomalies"))
         out = out.join(each, "file_id", "left").withColumn("anomalies", F.coalesce("anomalies", F.array().cast(each.schema["anomalies"].dataType)))
+    if lengths:
+        pairs = parts.filter("family = 'stats'").select("file_id", F.explode(F.arrays_zip(F.slice("xs", 10, F.greatest(F.size("xs") - 9, F.lit(0))).alias("size"), F.col("ys").alias("n"))).alias("p"))
+        pairs = pairs.groupBy("file_id", "p.size").agg(F.sum("p.n").alias("n")).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("lengths"))
+        out = out.join(pairs, "file_id", "left")
     if files is not None:
         out = out.join(files.select(F.col("path").alias("file_id"), "path", "size", "mtime"), "file_id")
     return out
 
 
+def merged(index: DataFrame, by: str | None = None) -> DataFrame:
+    """The line statistics of all files of kept indexes together, or of each value of a column, without a scan.
+
+    The indexes need their ``lengths`` (see ``build``); the percentiles are exact.
+    """
+    keys = [by] if by else []
+    one = F.posexplode_outer("lengths").alias("pos", "p")
+    rows = index.select(*keys, "line_count", "empty_line_count", one).withColumn("head", F.coalesce("pos", F.lit(0)) == 0)
+    size, many = F.col("p.size"), F.col("p.n")
+    out = rows.groupBy(*keys).agg(
+        *(F.sum(F.when(F.col("head"), F.col(c))).alias(c) for c in ("line_count", "empty_line_count")), F.max(size).alias("line_length_max"),
+        (F.sum(size * many) / F.sum(many)).alias("line_length_avg"), F.percentile(size, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.coalesce(many, F.lit(0))).alias("p"),
+    )
+    named = [F.coalesce(F.col("p")[k], F.lit(0.0)).alias(c) for k, c in enumerate(("line_length_median", "line_length_p95", "line_length_p99"))]
+    return out.select(*keys, "line_count", "empty_line_count", F.coalesce("line_length_max", F.lit(0)).alias("line_length_max"), F.coalesce("line_length_avg", F.lit(0.0)).alias("line_length_avg"), *named)
+
+
 def needs_index(size: Column, analyze: bool = False, threshold: int = LARGE_FILE) -> Column:
     """Files under the threshold are left out, unless they are to be analyzed."""
     return (size >= threshold) | F.lit(analyze)

@@ -70,6 +70,18 @@ def test_statistics_from_one_pass(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
 
 
+def test_indexes_are_merged_without_lines(spark):
+    """Exact statistics of a directory from the indexes of its files."""
+    rng = random.Random(9)
+    files = {f"{d}/f{k}": "".join("x" * rng.randrange(60) + "\n" for _ in range(rng.randrange(1, 90))) for d in "ab" for k in range(4)} | {"b/blank": "\n\n"}
+    lines = lines_frame(spark, files, 3)
+    built = index.build(lines, 512, lengths=True).withColumn("dir", F.substring("file_id", 1, 1))
+    columns = ("line_count", "empty_line_count", "line_length_max", "line_length_avg", "line_length_median", "line_length_p95", "line_length_p99")
+    each = index.line_stats(lines.withColumn("file_id", F.substring("file_id", 1, 1)))
+    assert rows(index.merged(built, "dir"), "dir", *columns) == rows(each, "file_id", *columns)
+    assert rows(index.merged(built), *columns) == rows(index.line_stats(lines.withColumn("file_id", F.lit("all"))), *columns)
+
+
 def test_index_of_parts(spark, tmp_path):
     """Files in several splits: the source is read twice, with all detectors, and rows equal those of whole files."""
     from loglattice.plans.corpus import KINDS

@@ -99,3 +99,37 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     q = out.select("pattern_id", "line_text").writeStream.format("memory").queryName("live").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(tuple(r) for r in spark.table("live").collect()) == sorted((p, TEXT.split("\n")[n - 1]) for p, n, _ in found(spark, "error", "warn"))
+
+
+def test_growing_files(spark, tmp_path):
+    """Files that grow by pieces cut anywhere, over a restart, give the lines and matches of the whole files."""
+    from loglattice.sources.files import read_lines
+    from loglattice.streaming import tail
+    from loglattice.streaming import trace as live
+
+    rng = random.Random(7)
+    texts = {f"f{k}.log": "".join(rng.choice(["an error é", "warn", "", "x" * rng.randint(0, 40), "crlf\r"]) + "\n" for _ in range(150)).encode() for k in range(3)}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "old.gz").write_bytes(b"\x1f\x8b")
+    at, out = dict.fromkeys(texts, 0), str(tmp_path / "out")
+    for _ in range(3):
+        lines = tail.numbered(tail.read(spark, str(tmp_path / "in"), split_bytes=300))
+        query = lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").start()
+        for _ in range(2):
+            for name, data in texts.items():
+                more = rng.randint(0, len(data) // 3)
+                with open(tmp_path / "in" / name, "ab") as f:
+                    f.write(data[at[name] : at[name] + more])
+                at[name] += more
+            query.processAllAvailable()
+        query.stop()
+    got = spark.read.schema("file_id string, line_number long, start_offset long, end_offset long, line string").parquet(out)
+    (tmp_path / "in" / "old.gz").unlink()
+    whole = read_lines(spark, str(tmp_path / "in"))
+    # A last line without its line feed hasn't come yet.
+    open_ = {str(tmp_path / "in" / n): d[: at[n]].rfind(b"\n") + 1 for n, d in texts.items()}
+    columns = ("file_id", "line_number", "start_offset", "end_offset", "line")
+    want = [r for r in rows(whole, *columns) if r[2] < open_[r[0]]]
+    assert rows(got, *columns) == want and len(want) > 100
+    hits = lambda x: rows(live.trace(x, PatternSet.of("error", "warn")), "pattern_id", "file_id", "line_number", "offset")
+    assert hits(got) == [h for h in hits(whole) if h[3] < open_[h[1]]]
