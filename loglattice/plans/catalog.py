@@ -172,6 +172,34 @@ def index_line_stats(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("line_length_") and c != "line_length_max"})
 
 
+@query(
+    with_lines("")[:-1]
+    + f""", {_LENGTHS}
+SELECT d.lang, count(*) AS line_count, count(*) FILTER (WHERE size IS NULL) AS empty_line_count, CAST(coalesce(max(size), 0) AS BIGINT) AS line_length_max, round(coalesce(avg(size), 0), 6) AS line_length_avg,
+  round(coalesce(quantile_cont(size, 0.5), 0), 6) AS line_length_median, round(coalesce(quantile_cont(size, 0.95), 0), 6) AS line_length_p95, round(coalesce(quantile_cont(size, 0.99), 0), 6) AS line_length_p99
+FROM measured m JOIN documents d ON d.doc_id = m.file_id GROUP BY 1"""
+)
+def index_merged(spark, sf_dir):
+    """The statistics of each language's documents, from the index of each document."""
+    built = index.build(document_lines(spark, sf_dir), 2000, lengths=True)
+    named = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "lang")
+    out = index.merged(built.join(named, "file_id"), "lang")
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("line_length_") and c != "line_length_max"})
+
+
+@query(
+    with_lines("")[:-1]
+    + f""", {_LENGTHS}, stats AS (SELECT file_id, count(*) AS line_count, max(end_offset) AS byte_count, round(coalesce(quantile_cont(size, 0.95), 0), 6) AS line_length_p95, arg_max(line_number, (size, -line_number)) FILTER (WHERE size IS NOT NULL) AS max_line_number FROM measured GROUP BY 1)
+SELECT s.*, CAST(coalesce(a.n, 0) AS INTEGER) AS n_long FROM stats s LEFT JOIN (
+  SELECT m.file_id, count(*) AS n FROM measured m JOIN (SELECT file_id, floor(quantile_cont(size, 0.99)) AS p99, floor(quantile_cont(size, 0.5)) AS p50 FROM measured GROUP BY 1) t USING (file_id)
+  WHERE strlen(line) >= greatest(1024, p99 + 512, 4 * p50) GROUP BY 1) a USING (file_id)"""
+)
+def index_analyzed(spark, sf_dir):
+    """An index with its anomalies (here the long lines of each file), all from one pass over the lines."""
+    built = index.build(document_lines(spark, sf_dir), 2000, analyze=True)
+    return built.select("file_id", "line_count", "byte_count", F.round("line_length_p95", 6).alias("line_length_p95"), "max_line_number", F.size(F.filter("anomalies", lambda a: a["detector"] == "long-line")).alias("n_long"))
+
+
 @query(with_lines("")[:-1] + f", {_LENGTHS}\nSELECT file_id, arg_max(line_number, (size, -line_number)) AS max_line_number, arg_max(start_offset, (size, -line_number)) AS max_byte_offset FROM measured WHERE size IS NOT NULL GROUP BY 1")
 def index_longest_line(spark, sf_dir):
     return index.line_stats(document_lines(spark, sf_dir)).select("file_id", "max_line_number", "max_byte_offset").filter("max_line_number is not null")
