@@ -202,6 +202,24 @@ def test_decode_frames_and_ranges(spark):
     assert {(r["file_id"], r["low"]): bytes(r["content"]) for r in seekable.decode_range(packed, ranges).collect()} == {("f", 10): data[10:1500], ("f", 290): data[290:310], ("g", 0): data[:100]}
 
 
+def test_frames_of_files(spark, tmp_path):
+    """Frames read at their places, without whole files in cells."""
+    from loglattice.operators import frames
+
+    data = TEXT.encode()
+    pieces = seekable.cut_frames(data, 300)
+    packed = [zstandard.compress(p) for p in pieces]
+    (tmp_path / "a.zst").write_bytes(b"".join(packed) + seekable.seek_table([(len(a), len(b)) for a, b in zip(packed, pieces)]))
+    (tmp_path / "b.zst").write_bytes(zstandard.compress(data))
+    (tmp_path / "c").write_bytes(b"x")
+    table = frames.of_files(files.catalog(spark, str(tmp_path)).select(F.col("path").alias("file_id")), str(tmp_path))
+    assert {r[0].rsplit("/", 1)[1] for r in table.select("file_id").distinct().collect()} == {"a.zst"} and table.count() == len(pieces)
+    ranges = spark.createDataFrame([(str(tmp_path / "a.zst"), 250, 700)], "file_id string, low long, high long")
+    wanted = table.join(frames.overlapping(table, ranges).select("file_id", "frame"), ["file_id", "frame"])
+    assert {r["frame"]: bytes(r["content"]) for r in frames.content(wanted, str(tmp_path)).collect()} == dict(enumerate(pieces[:3]))
+    assert rows(frames.line_counts(table, str(tmp_path)), "frame", "lines") == [(k, p.count(b"\n")) for k, p in enumerate(pieces)]
+
+
 @pytest.mark.parametrize("split", [100, 1 << 20])
 def test_compress_files(spark, folder, tmp_path_factory, split):
     """Frames from many splits, in order; compressed files are left out."""
