@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: The characters that separate words everywhere in this package.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Rows that Spark sends to a Python worker at once.
+BATCH_ROWS = 2_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +84,26 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system, since Spark keeps Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` rows in an Arrow batch of this session, since each row holds a whole text; a lower number stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int, field: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``most`` bytes in ``column``, or in a ``field`` of that struct.
 
-    What Arrow holds free is given back after each batch, since Spark keeps
-    Python workers for later tasks.
+    What Arrow holds free is given back after each batch, and all that is free
+    after the last one.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -99,6 +117,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int, field: str
             yield batch.slice(a, b - a)
         del batch
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def text_of(df: DataFrame, text_col: str):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_shared, release_shuffles, slices, text_of, write_shared
+from .common import documents, drop_shared, give_back, release_shuffles, slices, small_batches, text_of, write_shared
 
 LENGTH = 200
 GRAM = 50
@@ -159,6 +159,7 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -
                 rows += [(t["gram"], t["block"], t["several"], t["open"], i, key, t["first"], t["lead"], data[t["first"] : t["first"] + t["many"] + length - 1]) for t in todo]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            del rows
 
     names = ["gram", "block", "several", "open", "id", "key", "first", "lead", "bytes"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -239,6 +240,8 @@ def _within_groups(length: int):
                 size += len(row[-1])
         if held:
             yield spans(held)
+        del held
+        give_back()
 
     return run
 
@@ -266,6 +269,7 @@ def _cell_hashes(size: int, length: int):
                 low, high, core, own = zip(*rows)
                 cols = [pa.array(low, pa.int32()), pa.array(high, pa.int32()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (core, own))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("gram", "block", "open", "lo")), *cols], ["gram", "block", "open", "lo", "low", "high", "core", "own"])
+        give_back()
 
     return run
 
@@ -321,6 +325,7 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans, which are gathered once.  A null text is empty; texts under
     ``length`` bytes repeat nothing.
     """
+    small_batches(docs.sparkSession)
     found = repeated_windows(_keyed(docs, id_col, text_col), length, gram)
     spans = found.groupBy(*KEYS).agg(F.collect_set(F.struct("first", "many")).alias("spans"))
     keyed = _keyed(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).drop("text")
@@ -336,7 +341,13 @@ def _cut(batches: Iterator[pa.RecordBatch], text_col: str, length: int) -> Itera
 
 
 def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document.
+
+    A null text is empty: nothing removed, the hash of no bytes.  Rows that agree
+    in id and text count as two places and give two rows.  A very long text is
+    worked on in runs of ``RUN`` bytes.  Other columns are left out, whatever their
+    names.  An empty table gives no row.
+    """
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts, cuts in _cut(batches, "text", length):
