@@ -13,7 +13,9 @@ largest weights; blocks are finished from the highest bound down until no bound
 reaches the k-th best cosine.  So the neighbours are exact.
 
 Neighbours vote by cosine squared.  The votes are calibrated by a logistic
-curve, fitted to the examples, each without itself among its neighbours.
+curve, fitted to the votes that examples get from an index of the other
+``FOLDS - 1`` parts of them, so neither an example's vector nor its label has a
+share in its own vote.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, text_of, write_shared
+from .common import documents, give_back, slices, small_batches, text_of, write_shared
 
 #: Labelled rows that are learned from at most, those with the least hash of id and text,
 #: and distinct words of theirs in all; both bound what every task holds.
@@ -44,6 +46,8 @@ RARE = 5
 NEIGHBOURS = 25
 BLOCK = 64
 EVIDENCE = 3
+#: Parts of the examples, each of which is voted on by the others to fit the calibration.
+FOLDS = 4
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -239,32 +243,39 @@ def learn(
     # Repeated rows are one example; the rest stops where the words exceed the bound.
     sizes = sorted({(r["key"], r["id"], r["n"]) for r in sample.select("key", "id", "n").distinct().collect()})
     fit = [(k, i) for (k, i, _), upto in zip(sizes, np.cumsum([n for *_, n in sizes]).tolist()) if upto <= max_postings]
-    kept = F.broadcast(spark.createDataFrame(fit, "key long, id long"))
-    rows = sample.join(kept, ["key", "id"]).dropDuplicates(["key", "id"]).orderBy("key", "id").collect()
+    # The order by key, a hash, deals the examples to the parts.
+    kept = F.broadcast(spark.createDataFrame([(k, i, at % FOLDS) for at, (k, i) in enumerate(fit)], "key long, id long, fold int"))
+    sample = sample.join(kept, ["key", "id"]).dropDuplicates(["key", "id"])
+    rows = sample.orderBy("key", "id").collect()
     vectors = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in rows]
-    ids, marked = [r["id"] for r in rows], [int(r["label"] > 0) for r in rows]
+    ids, marked, part = [r["id"] for r in rows], [int(r["label"] > 0) for r in rows], [r["fold"] for r in rows]
     del rows
+    votes = []
+    for fold_ in range(FOLDS):
+        others = [k for k, p in enumerate(part) if p != fold_]
+        index = build_index([ids[k] for k in others], [marked[k] for k in others], [vectors[k] for k in others])
+        if index.learned:
+            votes += votes_on(sample.filter(F.col("fold") == fold_), index)
+        del index
     index = build_index(ids, marked, vectors)
-    del vectors
-    return calibrated(index, sample.join(kept, ["key", "id"]).select("id", "hashes", "counts")) if index.learned else index
+    return index._replace(curve=fit_curve(np.array([v for v, _ in votes]), np.array([y for _, y in votes], float)))
 
 
-def calibrated(index: Index, sample: DataFrame) -> Index:
-    """The index with the curve of its own examples' votes, each left out of its neighbours."""
+def votes_on(sample: DataFrame, index: Index) -> list[tuple[float, int]]:
+    """The vote on each example of ``sample``, none of which the index holds, and its label."""
     shared = sample.sparkSession.sparkContext.broadcast(tuple(index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Index(*shared.value)
-        place = {int(i): k for k, i in enumerate(own.ids)}
         for batch in batches:
-            found = []
-            for i, h, c in zip(*(batch.column(x).to_pylist() for x in ("id", "hashes", "counts"))):
-                found.append(vote(own, *nearest(own, *vector(own, np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)), without=place[i])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([int(own.labels[place[i]]) for i in batch.column("id").to_pylist()], pa.int64()), pa.array(found, pa.float64())], ["id", "label", "vote"])
+            found = [vote(own, *nearest(own, *vector(own, np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)))) for h, c in zip(*(batch.column(x).to_pylist() for x in ("hashes", "counts")))]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.float64())], ["label", "vote"])
+        give_back()
 
-    votes = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "id long, label long, vote double").orderBy("id", "vote").collect()
+    dealt = sample.select("label", "hashes", "counts").repartition(sample.sparkSession.sparkContext.defaultParallelism)
+    votes = dealt.mapInArrow(run, "label int, vote double").orderBy("vote", "label").collect()
     shared.unpersist()
-    return index._replace(curve=fit_curve(np.array([r["vote"] for r in votes]), np.array([r["label"] for r in votes], float)))
+    return [(r["vote"], int(r["label"] > 0)) for r in votes]
 
 
 def score_toxicity(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
@@ -272,8 +283,11 @@ def score_toxicity(docs: DataFrame, index: Index, text_col: str = "text") -> Dat
 
     Null texts count as empty.  Every text is scored whole; equal texts get
     equal scores; a text without a known word gets the examples' rate,
-    calibrated.  What is sent to all tasks is bounded by ``learn``.
+    calibrated.  A very long text counts whole, and needs memory for its distinct
+    words.  An empty table gives no row; columns of any name pass within
+    ``__doc``.  What is sent to all tasks is bounded by ``learn``.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(index))
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 

@@ -144,6 +144,20 @@ def test_toxicity(spark, make_docs, odd_rows, prose):
     few = toxicity.learn(docs, known, max_postings=1000)
     assert len(few.value) + len(few.entry) <= 1000
     assert toxicity.score_toxicity(docs.filter("false"), index).count() == 0
+    # Two texts with one id are two examples, and each is voted on by the others alone.
+    other = toxicity.learn(docs.union(make_docs([(100, prose(40))])), known)
+    assert len(other.ids) == len(index.ids) + 1 and (other.ids == 100).sum() == 2
+
+
+def test_toxicity_calibration(spark, make_docs, prose):
+    """Labels by chance teach nothing: no example has a part in its own vote, so scores stay near the rate."""
+    rng = random.Random(11)
+    rows = [(i, prose(30)) for i in range(200)]
+    known = spark.createDataFrame([(i, int(rng.random() < 0.3)) for i, _ in rows], "doc_id long, toxic int")
+    rate = known.agg({"toxic": "avg"}).first()[0]
+    scores = [r[0] for r in toxicity.score_toxicity(make_docs(rows), toxicity.learn(make_docs(rows), known)).select("__score").collect()]
+    fresh = [r[0] for r in toxicity.score_toxicity(make_docs([(i, prose(30)) for i in range(200, 300)]), toxicity.learn(make_docs(rows), known)).select("__score").collect()]
+    assert len(scores) == 200 and abs(sum(fresh) / len(fresh) - rate) < 0.1 and max(fresh) < 0.7
 
 
 def test_water_fill():
