@@ -104,3 +104,39 @@ def test_one_document_and_none(spark, make_docs):
     (r,) = m.fingerprint(make_docs([(3, "one two")])).collect()
     assert (r["near_next"], r["class_id"], r["n_chars"]) == (1.0, 3, 7)
     assert m.fingerprint(make_docs([(3, "x")]).filter("false")).count() == 0
+
+
+def test_crowd_around_the_limit(spark, make_docs, prose, monkeypatch, tmp_path):
+    """Texts that meet in one band, most of them unlike its least: every link counts, in crowds that several tasks share too."""
+    rng = random.Random(8)
+    words, rows = prose(150, seed=77).split(), []
+    for n in range(90):
+        mine = list(words)
+        for at in rng.sample(range(150), rng.randint(4, 9)):
+            mine[at] = f"w{rng.randint(0, 10**6)}"
+        rows.append((n, " ".join(mine)))
+    # Pairs that are like nothing else.
+    for n in range(90, 130, 2):
+        text = prose(60, seed=n)
+        rows += [(n, text), (n + 1, f"{text} more")]
+    sets = [shingle_set(t) for _, t in rows]
+    least = list(range(len(rows)))
+    for _ in rows:
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                least[a] = least[b] = min(least[a], least[b])
+    assert len(set(least)) > 5
+    # Everything meets in one band, as in a table with a crowd.
+    monkeypatch.setattr(m, "_bands", one_band)
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for crowd in (4096, 20):
+        monkeypatch.setattr(m, "CROWD", crowd)
+        got = {r["doc_id"]: r["class_id"] for r in m.op12_minhash(spark, str(tmp_path)).collect()}
+        assert got == dict(enumerate(least))
+
+
+def one_band(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([7] * batch.num_rows, pa.int64()), batch.column("key")], ["band", "key"])
