@@ -37,7 +37,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The one with the least id stays, a null id last; null texts are empty, texts
     without words are copies of one another, of wholly repeated rows one stays.
-    Candidates agree in a band of MinHash values, and true similarity decides.
+    Candidates are linked by SimHash fingerprints within three bits; since these miss
+    most texts at 0.8, also those that agree in a band of MinHash values.  All of
+    them are gone through, and true similarity decides.
     """
     return keep_one_near(docs)
 

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import documents, drop_shared, give_back, slices, small_batches, text_of, write_shared
 from .components import components
 from .near_copies import bit_map
@@ -418,11 +419,19 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", *(F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")), "near_edited", "near_next", F.coalesce("class_id", "id").alias("class_id"))
 
 
+def _by_simhash(fingered: DataFrame) -> DataFrame:
+    """``band, key``: texts (``key, fp``) whose SimHash fingerprints are linked, directly or by others, meet in a band."""
+    roots = write_shared(components(simhash.links(fingered.select("fp").distinct())), "simhash-roots")
+    marked = fingered.select("key", "fp").distinct().join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return marked.select(F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("band"), "key")
+
+
 def keep_one_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of copies and near copies: that with the least id, null last, then the least hash of its text.
 
     Groups are those of ``near_groups``: a true similarity of 0.8 or more of
-    five-word shingle sets, among texts that agree in a band.  Texts without a word
+    five-word shingle sets, among texts whose SimHash fingerprints lie in one
+    component of links of three bits or fewer, or that agree in a MinHash band.  Texts without a word
     are equal.  Of wholly repeated rows one stays.  A very long text needs memory
     in proportion to its length.  All columns pass unchanged.  An empty table
     gives no row.
@@ -430,15 +439,16 @@ def keep_one_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            fp = fingerprints([t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array([r.astype(">u2").tobytes() for r in fp], pa.binary())], ["id", "key", "fingerprint"])
+            texts = [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+            cells = [pa.array([r.astype(">u2").tobytes() for r in fingerprints(texts)], pa.binary()), pa.array(simhash.fingerprints(texts, SHINGLE).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *cells], ["id", "key", "fingerprint", "fp"])
 
     small_batches(docs.sparkSession)
     text = text_of(docs, text_col)
     key = F.xxhash64(text)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), text.alias("text"))
-    fingered = write_shared(rows.mapInArrow(run, "id long, key long, fingerprint binary"), "minhash-documents")
-    roots = near_groups(fingered, docs, text_col).withColumnRenamed("node", "key")
+    fingered = write_shared(rows.mapInArrow(run, "id long, key long, fingerprint binary, fp long"), "minhash-documents")
+    roots = near_groups(fingered, docs, text_col, _by_simhash(fingered)).withColumnRenamed("node", "key")
     firsts = fingered.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("one"))
     rooted = firsts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     # Rows without an id are told apart by their text alone.

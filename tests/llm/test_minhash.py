@@ -140,3 +140,20 @@ def one_band(batches):
 
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array([7] * batch.num_rows, pa.int64()), batch.column("key")], ["band", "key"])
+
+
+def test_one_stays_of_what_simhash_alone_finds(spark, make_docs, prose, monkeypatch):
+    """Near copies that agree in no MinHash band meet by their SimHash fingerprints; what is unlike stays."""
+    words = prose(400, seed=5).split()
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, prose(400, seed=6)), (4, "a b c"), (5, None), (6, " ")]
+    a, b = m.simhash.fingerprints([t.encode() for _, t in rows[:2]], m.SHINGLE)
+    assert a != b and int(a ^ b).bit_count() <= 3
+    monkeypatch.setattr(m, "_bands", no_band)
+    assert sorted(r["doc_id"] for r in m.keep_one_near(make_docs(rows)).collect()) == [1, 3, 4, 5]
+
+
+def no_band(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("key")], ["band", "key"])
