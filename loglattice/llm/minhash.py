@@ -259,8 +259,8 @@ def _texts_of(docs: DataFrame, text_col: str, keys: DataFrame) -> DataFrame:
     return write_shared(texts.groupBy("key").agg(F.first(F.struct("packed", "n", "bits")).alias("x")).select("key", "x.*"), "minhash-texts")
 
 
-def tried(key: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, failed: list, block: np.ndarray | None = None, most: int = 1, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs of a band's texts to compare, the greater key first; ``key`` ascends.
+def tried(key: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, failed: list, block: np.ndarray | None = None, most: int = 1, percent: int = PERCENT) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of a band's texts to compare, the greater key first, and whether others may be left; ``key`` ascends.
 
     Pairs of one root are joined already, those in ``failed`` (of each text, lesser
     keys) are known to be unlike, and sizes or bit maps rule others out for sure.
@@ -269,7 +269,7 @@ def tried(key: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, fa
     if none were alike.  With ``block`` only pairs across blocks count.
     """
     _, group = np.unique(root, return_inverse=True)
-    out = []
+    out, more = [], False
     for i in range(1, len(key)):
         left = group[:i] != group[i]
         if block is not None:
@@ -286,14 +286,18 @@ def tried(key: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, fa
             continue
         met = np.unique(group[left])
         for g in met.tolist():
-            out += [(int(key[i]), int(k)) for k in key[left[group[left] == g][:most]]]
+            mine = left[group[left] == g]
+            more |= len(mine) > most
+            out += [(int(key[i]), int(k)) for k in key[mine[:most]]]
         if most == 1:
+            # Pairs within what is joined here are passed over, unless nothing comes after.
+            more |= i + 1 < len(key)
             group[np.isin(group, met)] = group[i]
-    return out
+    return out, more
 
 
 def _tries(most: int):
-    """``key, hub``: what ``tried`` takes from each band, or pair of a band's blocks; rows come in the order of these and of keys."""
+    """``band, key, hub, more``: what ``tried`` takes from each band, or pair of a band's blocks; rows come in the order of these and of keys."""
     order = ["band", "low", "high"]
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -303,9 +307,11 @@ def _tries(most: int):
         cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
         pairs = []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-            pairs += tried(key[a:b], root[a:b], n[a:b], bits[a:b], failed[a:b], block[a:b] if low[a] != high[a] else None, most)
+            some, more = tried(key[a:b], root[a:b], n[a:b], bits[a:b], failed[a:b], block[a:b] if low[a] != high[a] else None, most)
+            pairs += [(int(band[a]), *pair, more) for pair in some]
         if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["key", "hub"])
+            *cells, more = zip(*pairs)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cells), pa.array(more, pa.bool_())], ["band", "key", "hub", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -329,7 +335,7 @@ def _tries(most: int):
 
 
 def _to_try(members: DataFrame, texts: DataFrame, failed: DataFrame | None, most: int) -> DataFrame:
-    """Pairs of ``members`` (``band, key, many, root``) to compare; written to the shared folder.
+    """Pairs of ``members`` (``band, key, many, root``) to compare, with the bands that ask for them; written to the shared folder.
 
     A crowd of over ``CROWD`` texts is dealt to tasks by pairs of blocks.
     """
@@ -342,7 +348,7 @@ def _to_try(members: DataFrame, texts: DataFrame, failed: DataFrame | None, most
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "root", "n", "bits", "failed")
     rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "key")
-    return write_shared(rows.mapInArrow(_tries(most), "key long, hub long").distinct(), "minhash-pairs")
+    return write_shared(rows.mapInArrow(_tries(most), "band long, key long, hub long, more boolean"), "minhash-pairs")
 
 
 def near_groups(fingered: DataFrame, docs: DataFrame, text_col: str = "text", also: DataFrame | None = None) -> DataFrame:
@@ -350,9 +356,10 @@ def near_groups(fingered: DataFrame, docs: DataFrame, text_col: str = "text", al
 
     ``also`` gives further bands (``band, key``).  In rounds, tasks take pairs to
     compare from each band (``tried``): enough to join all that their sizes and
-    bit maps allow.  Bands with pairs that turn out unlike are taken up again,
-    with more pairs each time, until nothing is left; so no two that meet are
-    left apart unseen, and a crowd of copies takes about one comparison a member.
+    bit maps allow.  A band is taken up again, with more pairs each time, only
+    if one of its own pairs turned out unlike and others are left; so no two that
+    meet are left apart unseen, a crowd of copies takes about one comparison a
+    member, and bands that are settled aren't read again.
     """
     nodes = fingered.groupBy("key").agg(F.first("fingerprint").alias("fingerprint"))
     bands = nodes.mapInArrow(_bands, "band long, key long")
@@ -369,20 +376,20 @@ def near_groups(fingered: DataFrame, docs: DataFrame, text_col: str = "text", al
         fresh = _to_try(members, texts, failed, most)
         if fresh.isEmpty():
             break
-        good = _compared(fresh, texts)
+        good = _compared(fresh.select("key", "hub").distinct(), texts)
         unlike = write_shared(fresh.join(good, ["key", "hub"], "left_anti"), "minhash-unlike")
         if not good.isEmpty():
             links = good if links is None else links.unionByName(good)
             roots = write_shared(components(links.toDF("a", "b")), "minhash-roots")
         drop_shared(fresh)
-        # A band all of whose pairs are alike is joined as far as can be.
-        if unlike.isEmpty():
+        # A band all of whose own pairs are alike is joined as far as can be, and one without further pairs is done.
+        open_ = unlike.filter("more").select("band").distinct()
+        if open_.isEmpty():
             break
-        failed, most = unlike if failed is None else failed.unionByName(unlike), most * HUBS
-        again = state.join(state.join(unlike, "key", "left_semi").select("band").distinct(), "band", "left_semi")
-        held = again.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        apart = held.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-        members = held.join(apart, "band", "left_semi")
+        pairs = unlike.select("key", "hub").distinct()
+        failed, most = pairs if failed is None else failed.unionByName(pairs), most * HUBS
+        again = state.join(open_, "band", "left_semi")
+        members = again.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     drop_shared(texts)
     drop_shared(state)
     return roots

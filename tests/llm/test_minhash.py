@@ -135,6 +135,43 @@ def test_crowd_around_the_limit(spark, make_docs, prose, monkeypatch, tmp_path):
         assert got == dict(enumerate(least))
 
 
+def test_settled_bands_are_not_read_again(spark, make_docs, prose, monkeypatch):
+    """Only a band with an unlike pair of its own and others left goes into a further round, and no link is lost."""
+    words, many = prose(2000, seed=21).split(), range(40, 1950, 40)
+
+    def changed(*places):
+        return " ".join(f"w{n}" if n in places else w for n, w in enumerate(words))
+
+    # 1 and 2 are alike, 3 is too short for them; 4 is unlike both, which bit maps don't show, and 5 is like 4.
+    texts = {1: changed(), 2: changed(3), 3: " ".join(words[:500]), 4: changed(*many), 5: changed(3, *many)}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    alike = {(a, b) for a, b in itertools.combinations(texts, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert alike == {(1, 2), (4, 5)}
+    met = {70: (1, 2, 3), 71: (1, 4), 72: (1, 2, 4, 5)}
+    docs = make_docs(sorted(texts.items()))
+    key = {r["doc_id"]: r["k"] for r in docs.selectExpr("doc_id", "xxhash64(text) k").collect()}
+    bands = spark.createDataFrame([(band, key[i]) for band, ids in met.items() for i in ids], "band long, key long")
+    monkeypatch.setattr(m, "_bands", nothing)
+    read, to_try = [], m._to_try
+
+    def noted(members, *rest):
+        read.append({r["band"] for r in members.select("band").collect()})
+        return to_try(members, *rest)
+
+    monkeypatch.setattr(m, "_to_try", noted)
+    fingered = docs.selectExpr("xxhash64(text) key", "cast('' as binary) fingerprint")
+    found = {r["node"]: r["root"] for r in m.near_groups(fingered, docs, also=bands).collect()}
+    assert {frozenset(i for i in key if found.get(key[i]) == root) for root in found.values()} == {frozenset(x) for x in alike}
+    assert read[0] == set(met) and set().union(*read[1:]) == {72}
+
+
+def nothing(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("key").slice(0, 0)] * 2, ["band", "key"])
+
+
 def one_band(batches):
     import pyarrow as pa
 
