@@ -16,6 +16,8 @@ import numpy as np
 
 _HEAD = struct.Struct("<QQQQ")
 _ONE, _SIX = np.uint64(1), np.uint64(6)
+#: Values that are looked up at once; what that takes stays in a core's cache.
+CHUNK = 1 << 15
 
 
 def _select_table() -> np.ndarray:
@@ -63,9 +65,7 @@ class EliasFano(NamedTuple):
         top = int(values[-1]) if n else 0
         width = max(0, (top // max(n, 1)).bit_length() - 1)
         values = values.astype(np.uint64)
-        low = np.zeros(n * width, np.uint8)
-        for k in range(width):
-            low[k::width] = (values >> np.uint64(k)) & _ONE
+        low = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, count=width, bitorder="little").ravel()
         at = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         bits = np.zeros(n + (top >> width) + 2, np.uint8)
         bits[at] = 1
@@ -95,28 +95,33 @@ class EliasFano(NamedTuple):
         word, off = (bit >> _SIX).astype(np.int64), bit & np.uint64(63)
         return ((self.low[word] >> off) | ((self.low[word + 1] << _ONE) << (np.uint64(63) - off))) & np.uint64((1 << self.width) - 1)
 
-    def _zero(self, k: np.ndarray) -> np.ndarray:
+    def _zeros(self) -> np.ndarray:
+        """The zeros in the words of ``high`` before each."""
+        return np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+
+    def _zero(self, k: np.ndarray, zeros: np.ndarray) -> np.ndarray:
         """The place of the k-th zero in the high bits."""
-        zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         word = np.searchsorted(zeros, k, "right") - 1
         return word * 64 + _within(~self.high[word], k - zeros[word])
 
-    def _range(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _range(self, high: np.ndarray, zeros: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions, from and to, of the values with these high bits: the ones between two zeros."""
         place = np.zeros(len(high), np.int64)
         some = high > 0
-        place[some] = self._zero(high[some] - 1) + 1
+        place[some] = self._zero(high[some] - 1, zeros) + 1
         begin = place - high
         off = (place & 63).astype(np.uint64)
         rest = ~(self.high[place >> 6] >> off)
         ones = np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
         far = np.flatnonzero(ones + (place & 63) >= 64)  # the ones go on in the next word
-        ones[far] = self._zero(high[far]) - place[far]
+        ones[far] = self._zero(high[far], zeros) - place[far]
         return begin, begin + ones
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at positions from 0 to n - 1."""
         i = np.asarray(i, np.int64)
+        if len(i) > CHUNK:
+            return np.concatenate([self.get(i[a : a + CHUNK]) for a in range(0, len(i), CHUNK)])
         word = np.searchsorted(self.ones, i, "right") - 1
         place = word * 64 + _within(self.high[word], i - self.ones[word])
         return (((place - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)).astype(np.int64)
@@ -127,12 +132,16 @@ class EliasFano(NamedTuple):
         out, same = np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
         if not self.n:
             return out, same
-        top = self.get(np.array([self.n - 1]))[0]
-        near = np.flatnonzero(x <= top)
-        want = x[near].astype(np.uint64)
-        high = (want >> np.uint64(self.width)).astype(np.int64)
+        top, zeros = self.get(np.array([self.n - 1]))[0], self._zeros()
+        for a in range(0, len(x), CHUNK):
+            near = a + np.flatnonzero(x[a : a + CHUNK] <= top)
+            out[near], same[near] = self._near(x[near].astype(np.uint64), zeros)
+        return out, same
+
+    def _near(self, want: np.ndarray, zeros: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``_search`` gives, of numbers up to the last value."""
+        begin, stop = self._range((want >> np.uint64(self.width)).astype(np.int64), zeros)
         want &= np.uint64((1 << self.width) - 1)
-        begin, stop = self._range(high)
         end = stop.copy()
         open_ = np.flatnonzero(begin < end)
         while len(open_):
@@ -141,11 +150,10 @@ class EliasFano(NamedTuple):
             begin[open_] = np.where(less, middle + 1, begin[open_])
             end[open_] = np.where(less, end[open_], middle)
             open_ = open_[begin[open_] < end[open_]]
-        out[near] = begin
         # With the same high bits, the low bits decide.
-        within = np.flatnonzero(begin < stop)
-        same[near[within]] = self._low(begin[within]) == want[within]
-        return out, same
+        same, within = np.zeros(len(want), bool), np.flatnonzero(begin < stop)
+        same[within] = self._low(begin[within]) == want[within]
+        return begin, same
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The position of the first value of at least ``x``, n if there is none."""

@@ -5,9 +5,9 @@ dictionary of its own words, so that what is shuffled are a block's distinct
 words and distinct n-grams, not every token:
 
 1. Documents become blocks: local word codes, local words, training counts.
-2. Local words meet in one shuffle, sorted by word; they are counted and get
-   dense numbers as they stream by, and go back to their blocks.  That is the
-   level of unigrams.
+2. Local words meet in one shuffle, sorted by a hash of 64 bits, which Spark does
+   without comparing words; they are counted and get dense numbers as they stream
+   by, and go back to their blocks.  That is the level of unigrams.
 3. For each further order, blocks send their distinct n-grams to buckets, as
    pairs of a context (the node of the n-gram without its last word) and a word,
    with training counts.  A bucket builds its part of the level from all
@@ -115,6 +115,23 @@ def fresh(x: np.ndarray) -> np.ndarray:
     return np.append(True, x[1:] != x[:-1]) if len(x) else np.zeros(0, bool)
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers below 2**31 in ascending order, as ``a * 2**32 + b``, and of each given pair its place there."""
+    low, high, place = (int(x).bit_length() for x in (b.max(initial=0), a.max(initial=0), max(len(a) - 1, 0)))
+    if low + high + place > 63:
+        return np.unique((a << 32) | b, return_inverse=True)
+    # Places are sorted along with their pairs, which is faster than sorting them by their pairs.
+    both = (a << (low + place)) | (b << place)
+    both |= np.arange(len(a))
+    both.sort()
+    pairs = both >> place
+    new = fresh(pairs)
+    back = np.empty(len(a), np.int64)
+    back[both & ((1 << place) - 1)] = np.cumsum(new) - 1
+    pairs = pairs[new]
+    return ((pairs >> low) << 32) | (pairs & ((1 << low) - 1)), back
+
+
 def pack_cell(context: np.ndarray, word: np.ndarray, seen: np.ndarray, many: np.ndarray) -> bytes:
     """Pairs in the order of contexts and words: words as differences within their context, its count once."""
     new = fresh(context)
@@ -173,70 +190,65 @@ _WORD_ROWS = "block long, at int, place long, count long"
 PLACE_BITS, PLACE_MASK = 40, (1 << 40) - 1
 
 
+def _digest(word: str):
+    return F.xxhash64(word)
+
+
 def settle_words(blocks: DataFrame, most: int) -> tuple[DataFrame, np.ndarray, int, int]:
     """``to, at, place, count`` of all local words that training has; each part's first number; all training tokens; distinct words.
 
     One shuffle brings the local words of all blocks together; they stream by
-    in the order of words, and a task holds the rows of one word: one for each
-    block that has it.  ``place`` holds the part, and the word's place in it.
+    in the order of their hashes, and a task holds the rows of one hash: one for
+    each block that has the word.  Words with one hash are told apart.
+    ``place`` holds the part, and the word's place in it.
     """
     names = ["block", "at", "place", "count"]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, total = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple] = []  # of the last word so far: blocks, places and counts
+        held: list[pa.RecordBatch] = []  # rows of the last hash so far
         last = None
 
         def rows(block: np.ndarray, at: np.ndarray, places: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(block), pa.array(at, pa.int32()), pa.array((part << PLACE_BITS) + places), pa.array(count)], names)
 
-        def finish() -> Iterator[pa.RecordBatch]:
-            """The rows of the word that is held."""
-            nonlocal place, total, held
-            block, at, count = (np.concatenate(x) for x in zip(*held))
-            n = int(count.sum())
-            held = []
-            if n:
-                yield rows(block, at, np.full(len(block), place), np.full(len(block), n))
-                place, total = place + 1, total + n
+        def whole(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+            """The rows of words all of whose rows are here."""
+            nonlocal place, total
+            code = pa.concat_arrays([b.column("word") for b in some]).dictionary_encode().indices.to_numpy()
+            block, at, count = (np.concatenate([b.column(c).to_numpy() for b in some]) for c in ("block", "at", "count"))
+            sums = np.bincount(code, count).astype(np.int64)
+            places = place + np.cumsum(sums > 0) - 1
+            kept = np.flatnonzero(sums[code] > 0)
+            place, total = place + int((sums > 0).sum()), total + int(sums.sum())
+            return rows(block[kept], at[kept], places[code[kept]], sums[code[kept]])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = batch.column("word").dictionary_encode()
-            code = coded.indices.to_numpy()
-            block, at, count = (batch.column(c).to_numpy() for c in ("block", "at", "count"))
-            cuts = np.flatnonzero(np.diff(code)) + 1
-            same = last is not None and coded.dictionary[0].as_py() == last
-            if held and not same:
-                yield from finish()
-            begin = 0
-            if same:
-                begin = int(cuts[0]) if len(cuts) else len(code)
-                held.append((block[:begin], at[:begin], count[:begin]))
-                if len(cuts):
-                    yield from finish()
-            # Whole words of this batch, all but its last one.
-            end = int(cuts[-1]) if len(cuts) else begin
-            if end > begin:
-                inner = code[begin:end] - code[begin]
-                sums = np.bincount(inner, count[begin:end]).astype(np.int64)
-                places = place + np.cumsum(sums > 0) - 1
-                kept = np.flatnonzero(sums[inner] > 0)
-                yield rows(block[begin:end][kept], at[begin:end][kept], places[inner[kept]], sums[inner[kept]])
-                place, total = place + int((sums > 0).sum()), total + int(sums.sum())
-            if end < len(code):
-                held.append((block[end:], at[end:], count[end:]))
-            last = coded.dictionary[int(code[-1])].as_py()
+            digest = batch.column("digest").to_numpy()
+            if held and digest[0] != last:
+                yield whole(held)
+                held = []
+            last = digest[-1]
+            cuts = np.flatnonzero(np.diff(digest))
+            if len(cuts):
+                end = int(cuts[-1]) + 1
+                yield whole([*held, batch.slice(0, end)])
+                held = [batch.slice(end)]
+            else:
+                held.append(batch)
         if held:
-            yield from finish()
+            yield whole(held)
         # A row without a place in a block tells how many words the part has, and their count.
         yield rows(np.array([-1]), np.array([-1]), np.array([place]), np.array([total]))
 
     local = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "e")).select("block", "at", F.col("e.words").alias("word"), F.col("e.counts").alias("count"))
     many = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
     parts = max(blocks.sparkSession.sparkContext.defaultParallelism, int(many) // most + 1)
-    settled = write_shared(local.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(settle, _WORD_ROWS), "lm-words")
+    # The hash is made behind the shuffle, so that it takes no disk.
+    dealt = local.repartition(parts, "word").withColumn("digest", _digest("word")).sortWithinPartitions("digest")
+    settled = write_shared(dealt.mapInArrow(settle, _WORD_ROWS), "lm-words")
     found = settled.filter("at < 0").select("place", "count").collect()
     first = np.zeros(max((r["place"] >> PLACE_BITS for r in found), default=0) + 2, np.int64)
     for r in found:
@@ -250,7 +262,6 @@ class Grams(NamedTuple):
 
     context: np.ndarray  # of each pair: the node of its context,
     word: np.ndarray  # its word's number,
-    seen: np.ndarray  # its count in training documents of the block,
     many: np.ndarray  # the count of its context
     order: np.ndarray  # pairs as they are sent: by bucket, context and word
     cuts: np.ndarray  # where each bucket's pairs begin in that order
@@ -300,7 +311,7 @@ class Block:
         # The end of a text is also the context of a first word.
         own[self.starts] = self.end if nodes is self.numbers else -1
         known = (own >= 0) & (counts[own] > 0) & (self.word_counts[self.tokens] > 0)
-        keys, back = np.unique((own[known] << 32) | self.tokens[known], return_inverse=True)
+        keys, back = distinct_pairs(own[known], self.tokens[known])
         pair = np.full(len(own), -1, np.int64)
         pair[known] = back
         return Step(own, nodes, counts, pair, keys)
@@ -326,20 +337,26 @@ class Block:
                 out.node[known], out.count[known] = (b << NODE_BITS) + unzigzag(more[0]), more[1]
         return out
 
+    def seen(self, step: Step) -> np.ndarray:
+        """Of each pair its count in training documents of the block."""
+        train = np.repeat(np.array([not held_out(i) for i in self.ids], bool), self.sizes)
+        return np.bincount(step.pair[train & (step.pair >= 0)], minlength=len(step.keys))
+
+    def _deal(self, context: np.ndarray, word: np.ndarray | None = None) -> np.ndarray:
+        mixed = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        if word is not None:
+            mixed ^= word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return ((mixed >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
+
     def grams(self, step: Step) -> Grams:
         a, b = step.keys >> 32, step.keys & 0xFFFFFFFF
-        train = np.repeat(np.array([not held_out(i) for i in self.ids], bool), self.sizes)
-        seen = np.bincount(step.pair[train & (step.pair >= 0)], minlength=len(step.keys))
         context, word, many = step.nodes[a], self.numbers[b], step.counts[a]
+        bucket = self._deal(context) if step.nodes is self.numbers else context >> NODE_BITS
         # The words after a frequent context are spread over all buckets; others lie where their context does.
-        wide = many * 4 * self.buckets > self.total
-        mixed = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= np.where(wide, word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
-        bucket = ((mixed >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)
-        if step.nodes is not self.numbers:
-            bucket = np.where(wide, bucket, context >> NODE_BITS)
+        wide = np.flatnonzero(many * 4 * self.buckets > self.total)
+        bucket[wide] = self._deal(context[wide], word[wide])
         order = np.argsort(bucket.astype(np.min_scalar_type(self.buckets)), kind="stable")
-        return Grams(context, word, seen, many, order, np.searchsorted(bucket[order], np.arange(self.buckets + 1)))
+        return Grams(context, word, many, order, np.searchsorted(bucket[order], np.arange(self.buckets + 1)))
 
 
 def _dense(x: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
@@ -432,11 +449,11 @@ def score_documents(
     def asked(left: pa.Table, answers: pa.Table | None) -> Iterator[pa.RecordBatch]:
         for row in left.to_pylist():
             block = Block(row, answers, setting)
-            g = block.grams(block.steps[-1])
+            g, seen = block.grams(block.steps[-1]), block.seen(block.steps[-1])
             cells, buckets = [], np.flatnonzero(np.diff(g.cuts))
             for b in buckets.tolist():
                 own = g.order[g.cuts[b] : g.cuts[b + 1]]
-                cells.append(pack_cell(g.context[own], g.word[own], g.seen[own], g.many[own]))
+                cells.append(pack_cell(g.context[own], g.word[own], seen[own], g.many[own]))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([row["block"]] * len(cells), pa.int64()), pa.array(cells, pa.binary())], CELLS)
 
     CELLS = ["bucket", "block", "cell"]

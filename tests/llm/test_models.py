@@ -13,6 +13,41 @@ from pyspark.sql import functions as F
 from loglattice.llm import elias_fano, lm, matroska, mixing, toxicity
 
 
+def test_words_of_one_hash_are_told_apart(spark, make_docs, prose, monkeypatch):
+    """Local words are sorted by a hash alone: with one for all words, whose rows then mix over all batches, scores are the same."""
+    docs = make_docs([(n, prose(60, seed=n)) for n in range(40)]).repartition(3)
+    found = []
+    for digest in (lm._digest, lambda word: lm.F.lit(5).cast("long") + 0 * lm.F.length(word)):
+        monkeypatch.setattr(lm, "_digest", digest)
+        rows = lm.score_documents(docs, block_bytes=500).collect()
+        found.append(sorted((r["doc_id"], r["n_known"], r["train_tokens"], round(r["base_score"], 9), round(r["score"], 9)) for r in rows))
+    assert found[0] == found[1] and len(found[0]) == 40
+
+
+@pytest.mark.parametrize("top", [1, 9, 1 << 20, (1 << 31) - 1])
+def test_distinct_pairs(top):
+    """Equal to plain sorting, also where a pair and its place don't fit in one number."""
+    rng = np.random.default_rng(top)
+    for n in (0, 1, 2, 3000):
+        a, b = rng.integers(0, top, n), rng.integers(0, top, n)
+        a[n // 2 :], b[n // 2 :] = a[: n - n // 2], b[: n - n // 2]
+        pairs, back = np.unique((a << 32) | b, return_inverse=True)
+        got = lm.distinct_pairs(a, b)
+        assert (got[0] == pairs).all() and (got[1] == back).all() and len(got[1]) == n
+
+
+@pytest.mark.parametrize("width", [0, 3, 40])
+def test_elias_fano_over_many_values(width):
+    """Look-ups go through more values than are taken at once."""
+    values = np.sort(np.random.default_rng(width).integers(0, 70_000 << width, 70_000))
+    made = elias_fano.EliasFano.of(values)
+    asked = np.concatenate([values, values + 1, [0, int(values[-1]) + 5]])
+    assert len(asked) > 4 * elias_fano.CHUNK and (made.get(np.arange(len(values))) == values).all()
+    assert (made.successor(asked) == np.searchsorted(values, asked)).all()
+    at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+    assert (made.find(asked) == np.where(values[at] == asked, at, -1)).all()
+
+
 @pytest.mark.parametrize("n, top", [(0, 1), (1, 5), (1000, 10), (1000, 10**9), (50, 3), (3000, 2**50)])
 def test_elias_fano(n, top):
     rng = np.random.default_rng(n)
